@@ -81,12 +81,12 @@ def bucketed_rank(
     offsets = counts.select(
         *keys, "_b",
         F.coalesce(F.sum("_n").over(_before(W.partitionBy(*keys).orderBy("_b"))), F.lit(0)).alias("_off"),
-        F.sum("_n").over(W.partitionBy(*keys)).alias("_total"),
+        F.sum("_n").over(W.partitionBy(*keys)).alias("_all"),
     )
     ranked = cut.withColumn("_in", inside).join(offsets, [*keys, "_b"]).withColumn(out, F.col("_in") + F.col("_off"))
     if total:
-        ranked = ranked.withColumn(total, F.col("_total"))
-    return ranked.drop("_b", "_in", "_off", "_total")
+        ranked = ranked.withColumn(total, F.col("_all"))
+    return ranked.drop("_b", "_in", "_off", "_all")
 
 
 def hash_rank(

@@ -46,25 +46,20 @@ def pareto_front(df: DataFrame, f0: str, f1: str, tie_break: list[str] = (), buc
 def pareto_layers(df: DataFrame, f0: str, f1: str, row_key: list[str], n_target: int, max_layers: int | None = None) -> DataFrame:
     """Successive fronts, numbered from 0, until at least `n_target` rows are collected.
 
-    `row_key` must be unique; a copy of a front point belongs to a later layer. Each
-    round checkpoints what is left, so a lost executor never replays earlier rounds.
+    `row_key` must be unique; a copy of a front point belongs to a later layer. Only the
+    (small) fronts are checkpointed: each round reads `df` again without the rows found
+    so far, so the large side is never rewritten and its lineage does not grow.
     """
-    rest, layers, collected, layer = df, [], 0, 0
+    found, collected, layer = None, 0, 0
     while collected < n_target and (max_layers is None or layer < max_layers):
+        rest = df if found is None else df.join(found.select(*row_key), row_key, "left_anti")
         front = cut_lineage(pareto_front(rest, f0, f1, row_key).withColumn("layer", F.lit(layer)))
         n = front.count()
         if n == 0:
             break
-        layers.append(front)
+        found = front if found is None else found.unionByName(front)
         collected, layer = collected + n, layer + 1
-        if collected < n_target:
-            rest = cut_lineage(rest.join(front.select(*row_key), row_key, "left_anti"))
-    if not layers:
-        return df.limit(0).withColumn("layer", F.lit(0))
-    out = layers[0]
-    for part in layers[1:]:
-        out = out.unionByName(part)
-    return out
+    return df.limit(0).withColumn("layer", F.lit(0)) if found is None else found
 
 
 def dedup_rows(df: DataFrame, on: list[str], keep_first_by: list[str] | None = None) -> DataFrame:

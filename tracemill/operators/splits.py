@@ -117,13 +117,13 @@ def one_region_per_benchmark(df: DataFrame, seed: int | str, region: str = "regi
 
 def stratified_sample(df: DataFrame, n: int, key: list[str], seed: int) -> DataFrame:
     """n rows, proportional per benchmark (rounded), topped up from the rest when rounding falls short."""
-    ranked = hash_rank(df, ["benchmark"], key, seed, "_rank", "_total")
+    ranked = hash_rank(df, ["benchmark"], key, seed, "_rank", "_size")
     total = df.select(F.count(F.lit(1)).alias("n")).scalar()
     share = F.least(F.lit(1.0), F.lit(float(n)) / total)
-    flagged = ranked.withColumn("_in", F.col("_rank") < F.rint(share * F.col("_total")))
-    picked = flagged.filter("_in").drop("_rank", "_total", "_in")
+    flagged = ranked.withColumn("_in", F.col("_rank") < F.rint(share * F.col("_size")))
+    picked = flagged.filter("_in").drop("_rank", "_size", "_in")
     n_picked = picked.select(F.count(F.lit(1)).alias("n")).scalar()
-    rest = hash_rank(flagged.filter(~F.col("_in")).drop("_rank", "_total", "_in"), [], key, seed + 1, "_rank")
+    rest = hash_rank(flagged.filter(~F.col("_in")).drop("_rank", "_size", "_in"), [], key, seed + 1, "_rank")
     return picked.unionByName(rest.filter(F.col("_rank") < F.lit(n) - n_picked).drop("_rank"))
 
 

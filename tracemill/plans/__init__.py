@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["trace_queries", "program_queries", "sweep_queries", "split_queries", "matrix_queries"]
+FAMILIES = [
+    "trace_queries", "program_queries", "sweep_queries", "split_queries", "matrix_queries", "design_queries", "run_queries", "source_queries",
+]
 
 
 def load_all() -> None:

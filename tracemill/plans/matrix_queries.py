@@ -83,7 +83,7 @@ def _(spark, sf_dir):
 QUEUE_SQL = """q AS (SELECT user_id % 8 AS trace_id, 0 AS cfg_idx, size, event_id AS idx, CAST(floor(value * 10) AS BIGINT) % (16 * size) AS issue,
     CAST(floor(value * 10) AS BIGINT) % (16 * size) + CAST(floor(value) AS BIGINT) % 32 AS commit, CAST(floor(value * 100) AS BIGINT) % (24 + size) AS exec
     FROM events, (VALUES (1), (2), (4)) z(size)),
-  qo AS (SELECT trace_id, cfg_idx, size, 100.0E0 / (size + avg(issue)) AS thr FROM q GROUP BY ALL),
+  qo AS (SELECT trace_id, cfg_idx, size, 100.0E0 / (size + avg(issue)) AS thr FROM q GROUP BY trace_id, cfg_idx, size),
   qr AS (SELECT trace_id, cfg_idx, 1 AS part, size, CAST(issue AS DOUBLE) AS x FROM q UNION ALL SELECT trace_id, cfg_idx, 2, size, commit FROM q
     UNION ALL SELECT trace_id, cfg_idx, 3, 0, avg(exec) FROM q GROUP BY trace_id, cfg_idx, idx)"""
 

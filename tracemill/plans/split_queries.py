@@ -121,9 +121,9 @@ def _(spark, sf_dir):
     return splits.quantile_bins(b.sweep(spark, sf_dir), "cpi", BINS).select(*KEY, "bin")
 
 
-@query("e11_quantile_edges", f"{WITH_S}, {_EDGES} SELECT round(unnest(e), 6) AS edge FROM ed")
+@query("e11_quantile_edges", f"{WITH_S}, {_EDGES} SELECT round(unnest(e), 4) AS edge FROM ed")
 def _(spark, sf_dir):
-    return rounded(splits.quantile_edges(b.sweep(spark, sf_dir), "cpi", BINS).select(F.explode("edges").alias("edge")))
+    return rounded(splits.quantile_edges(b.sweep(spark, sf_dir), "cpi", BINS).select(F.explode("edges").alias("edge")), 4)
 
 
 @query(
