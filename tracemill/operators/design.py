@@ -265,9 +265,9 @@ def assemble_inference(
     lat = cache.select("trace_id", *[F.col(m).cast("bigint").alias(m) for m in memory], *[F.col(c).alias(f"cache_{c}") for c in CACHE_COLUMNS])
     n_traces = program.select(F.count(F.lit(1)).alias("n")).scalar()
     per_memory = lat.groupBy(*memory).agg(F.count(F.lit(1)).alias("_n"))
-    complete = per_memory.select(*memory, must(F.col("_n") == n_traces, "cache latency rows are missing for a memory configuration", F.lit(True)).alias("_ok"))
-    known = dim_join(keyed, complete, memory, "left").filter(must(F.col("_ok").isNotNull(), "no cache latency row for a memory configuration", F.lit(True))).drop("_ok")
-    paired = dim_join(known, lat, memory, "inner").drop(*memory)
+    text = "cache latency rows are missing for a memory configuration"
+    paired = dim_join(keyed, lat.join(per_memory, memory), memory, "left")
+    paired = paired.filter(must(F.col("_n") == n_traces, text, F.lit(True))).drop("_n", *memory)
     prog = program.select("trace_id", *[F.col(c).alias(f"prog_{c}") for c in program.columns if c != "trace_id"])
     bp_name = "misprediction_rate" if features and "misprediction_rate" in features else "bp_misprediction_rate"
     rate = rates.select("trace_id", F.lower("bp_type").alias("branch_predictor"), F.col("misprediction_rate").alias(bp_name))

@@ -121,7 +121,7 @@ def neighbor_density(
 
     def compare(qs: pd.DataFrame, ts: pd.DataFrame) -> pd.DataFrame:
         if qs.empty or ts.empty:
-            return pd.DataFrame({"qid": [], "h": [], "nh": [], "nl": []})
+            return pd.DataFrame({"qid": pd.Series(dtype="object"), **{c: pd.Series(dtype="int64") for c in ("h", "nh", "nl")}})
         tn, tc = np.stack(ts["num"].to_numpy()), np.stack(ts["cat"].to_numpy())
         rows = []
         for qid, num, cat in zip(qs["qid"], qs["num"], qs["cat"]):

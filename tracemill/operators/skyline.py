@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,57 +13,87 @@ from tracemill.operators.ordered import VALUE_BUCKETS, bucketed_rank
 from tracemill.session import cut_lineage
 
 
-def _cuts(df: DataFrame, x: str, buckets: int) -> Column:
-    """Split points of a column as a one-row scalar subquery over a mergeable sketch."""
-    points = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    return df.agg(F.percentile_approx(x, points, F.lit(10000)).alias("c")).scalar()
+def _bucket_number(cuts: Column, x: str) -> Column:
+    return F.coalesce(F.size(F.filter(cuts, lambda c: c < F.col(x))), F.lit(0))
 
 
 def _bucket(df: DataFrame, x: str, buckets: int) -> DataFrame:
-    """Adds `_b`: the value range of `x`, equal values together."""
-    cut = df.withColumn("_cuts", _cuts(df, x, buckets))
-    return cut.withColumn("_b", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(x))), F.lit(0))).drop("_cuts")
+    """Adds `_b`, the value range of `x` (equal values together), from a mergeable quantile sketch."""
+    points = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    cuts = df.agg(F.percentile_approx(x, points, F.lit(1000)).alias("c")).scalar()
+    return df.withColumn("_cuts", cuts).withColumn("_b", _bucket_number(F.col("_cuts"), x)).drop("_cuts")
+
+
+def _first_best(df: DataFrame, f0: str, f1: str, tie_break: list[str]) -> DataFrame:
+    """Per f0 only the smallest f1 can stay; a mergeable aggregate that also removes copies."""
+    whole = F.struct(*[F.col(c) for c in df.columns])
+    return df.groupBy(F.col(f0).alias("_f0")).agg(F.min_by(whole, F.struct(f1, *tie_break)).alias("_row"), F.min(f1).alias("_f1"))
 
 
 def pareto_front(df: DataFrame, f0: str, f1: str, tie_break: list[str] = (), buckets: int = VALUE_BUCKETS) -> DataFrame:
     """Rows that no other row beats in both objectives (smaller is better); equal points collapse to one.
 
-    1. Per f0 only the smallest f1 can stay: a mergeable aggregation, which also
-       removes copies. 2. Points are dealt into ranges of f0; a point stays when its f1
-       is below every smaller-f0 point: the running minimum inside its range and the
-       minimum of all earlier ranges (one small row each).
+    f0 is cut into ranges and the best f1 of every range is collected: two scans that
+    shuffle one small row per range. Each row is then compared with the best of all
+    earlier ranges where it is read, which drops nearly everything before the only full
+    shuffle: the exact running minimum of the survivors inside their range.
     """
-    whole = F.struct(*[F.col(c) for c in df.columns])
-    best = df.groupBy(F.col(f0).alias("_f0")).agg(F.min_by(whole, F.struct(f1, *tie_break)).alias("_row"), F.min(f1).alias("_f1"))
-    cut = _bucket(best, "_f0", buckets)
-    earlier = cut.groupBy("_b").agg(F.min("_f1").alias("_m")).select(
-        "_b", F.min("_m").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)).alias("_carry")
+    cut = _bucket(df, f0, buckets)
+    best = cut.groupBy("_b").agg(F.min(f1).alias("_m")).select(
+        "_b", F.min("_m").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)).alias("_m")
     )
-    inside = F.min("_f1").over(W.partitionBy("_b").orderBy("_f0").rowsBetween(W.unboundedPreceding, -1))
-    seen = cut.withColumn("_in", inside).join(earlier, "_b", "left")
-    bound = F.least("_in", "_carry")  # NULLs are skipped
-    return seen.filter(bound.isNull() | (F.col("_f1") < bound)).select("_row.*")
+    bounds = best.agg(F.map_from_entries(F.collect_list(F.struct("_b", "_m"))).alias("m")).scalar()
+    cut = cut.withColumn("_best", bounds).withColumn("_carry", F.try_element_at("_best", F.col("_b"))).drop("_best")
+    alive = cut.filter(F.col("_carry").isNull() | (F.col(f1) < F.col("_carry"))).drop("_carry")
+    firsts = _first_best(alive, f0, f1, tie_break)
+    inside = F.min("_f1").over(W.partitionBy("_row._b").orderBy("_f0").rowsBetween(W.unboundedPreceding, -1))
+    return firsts.withColumn("_in", inside).filter(F.col("_in").isNull() | (F.col("_f1") < F.col("_in"))).select("_row.*").drop("_b")
 
 
-def pareto_layers(df: DataFrame, f0: str, f1: str, row_key: list[str], n_target: int, max_layers: int | None = None) -> DataFrame:
+def pareto_layers(df: DataFrame, f0: str, f1: str, row_key: list[str], n_target: int, max_layers: int | None = None, buckets: int = VALUE_BUCKETS) -> DataFrame:
     """Successive fronts, numbered from 0, until at least `n_target` rows are collected.
 
-    `row_key` must be unique; a copy of a front point belongs to a later layer. Only the
-    (small) fronts are checkpointed: each round reads `df` again without the rows found
-    so far, so the large side is never rewritten and its lineage does not grow.
+    `row_key` must be unique; a copy of a front point belongs to a later layer. A row that
+    follows a chain of L ranges with non-decreasing best f1, all at most its own f1, cannot
+    be in the first L layers. So the rows that can be are filtered out of `df` in one scan
+    and checkpointed, fronts are peeled from those few, and L doubles when they run out.
     """
-    found, collected, layer = None, 0, 0
-    while collected < n_target and (max_layers is None or layer < max_layers):
-        rest = df if found is None else df.join(found.select(*row_key), row_key, "left_anti")
-        front = cut_lineage(pareto_front(rest, f0, f1, row_key).withColumn("layer", F.lit(layer)))
-        n = front.count()
-        if n == 0:
+    cut = _bucket(df, f0, buckets)
+    best = sorted((r["_b"], r["_m"]) for r in cut.groupBy("_b").agg(F.min(f1).alias("_m")).collect())  # one row per range
+    found, collected, layer, depth = None, 0, 0, 8
+    stop = max_layers if max_layers is not None else float("inf")
+    while collected < n_target and layer < stop:
+        near = cut.withColumn("_limit", _chain_limit(best, depth)).filter(F.col("_limit").isNull() | (F.col("_limit") > F.col(f1)))
+        near = cut_lineage(near.drop("_b", "_limit"))
+        before = layer
+        while collected < n_target and layer < min(stop, depth):
+            rest = near if found is None else near.join(found.select(*row_key), row_key, "left_anti")
+            front = cut_lineage(pareto_front(rest, f0, f1, row_key, buckets).withColumn("layer", F.lit(layer)))
+            n = front.count()
+            if n == 0:
+                break
+            found = front if found is None else found.unionByName(front)
+            collected, layer = collected + n, layer + 1
+        if layer < min(stop, depth) and (layer == before or collected < n_target):
             break
-        found = front if found is None else found.unionByName(front)
-        collected, layer = collected + n, layer + 1
+        depth *= 2
     return df.limit(0).withColumn("layer", F.lit(0)) if found is None else found
 
 
+def _chain_limit(best: list[tuple[int, float]], depth: int) -> Column:
+    """Per range: the smallest f1 at which `depth` earlier ranges form a non-decreasing chain."""
+    tails: list[float] = []
+    entries: list[Column] = []
+    for b, m in best:
+        if len(tails) >= depth:
+            entries += [F.lit(b), F.lit(tails[depth - 1])]
+        i = bisect.bisect_right(tails, m)
+        tails[i:i + 1] = [m]
+    if not entries:
+        return F.lit(None).cast("double")
+    return F.try_element_at(F.create_map(*entries), F.col("_b"))
+
+
 def dedup_rows(df: DataFrame, on: list[str], keep_first_by: list[str] | None = None) -> DataFrame:
     """One row per key; which one is fixed by `keep_first_by`."""
     whole = F.struct(*[F.col(c) for c in df.columns])

@@ -174,10 +174,10 @@ def _(spark, sf_dir):
     return rounded(out.select(*KEY, "ship", F.size(f).alias("n_features"), F.col("cpi").cast("double").alias("cpi"), (f[0] + f[1]).cast("double").alias("total")))
 
 
-@query("a15_skip_done", f"{WITH_S}, d AS (SELECT DISTINCT benchmark, region FROM s WHERE l_linenumber = 1 AND l_suppkey % 2 = 0) SELECT DISTINCT benchmark, region FROM s ANTI JOIN d USING (benchmark, region)")
+@query("a15_skip_done", f"{WITH_S}, d AS (SELECT DISTINCT benchmark, region FROM s WHERE l_linenumber = 1 AND l_suppkey % 4 = 0 AND l_partkey % 8 = 0) SELECT DISTINCT benchmark, region FROM s ANTI JOIN d USING (benchmark, region)")
 def _(spark, sf_dir):
     s = b.sweep(spark, sf_dir)
-    done = s.filter((F.col("l_linenumber") == 1) & (F.col("l_suppkey") % 2 == 0))
+    done = s.filter((F.col("l_linenumber") == 1) & (F.col("l_suppkey") % 4 == 0) & (F.col("l_partkey") % 8 == 0))
     return sweep_files.skip_done(s.select("benchmark", "region").distinct(), done, ["benchmark", "region"])
 
 

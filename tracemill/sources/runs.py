@@ -54,7 +54,7 @@ def parse_run_log(logs: DataFrame, layout: str, text: str = "value", keep: list[
 
 
 def read_run_log(spark: SparkSession, path: str, layout: str) -> DataFrame:
-    logs = spark.read.option("wholetext", True).text(path).select("value", F.col("_metadata.file_path").alias("path"))
+    logs = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
     return parse_run_log(logs, layout, keep=["path"])
 
 

@@ -33,7 +33,7 @@ def consolidate(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def _sidecar(spark: SparkSession, root: str, name: str) -> DataFrame:
     """(benchmark, value): the small file `name` of every benchmark folder that has it."""
-    files = spark.read.options(recursiveFileLookup=True, pathGlobFilter=name, wholetext=True).text(root)
+    files = spark.read.options(recursiveFileLookup=True, pathGlobFilter=name).text(root, wholetext=True)
     # root/<benchmark>/<subfolder>/<file>
     return files.select(F.regexp_extract("_metadata.file_path", r"([^/]+)/[^/]+/[^/]+$", 1).alias("benchmark"), "value")
 
