@@ -86,19 +86,19 @@ def parse_size(c: str | Column, unit: str = "kb") -> Column:
     """
     if unit not in ("kb", "bytes"):
         raise ValueError(f"unit must be kb or bytes, got {unit!r}")
-    text = F.trim(col_of(c).cast("string"))
-    pattern = r"(?i)^(\d+(?:\.\d+)?)\s*(?:([KMG])i?B?)?$"
-    number = F.regexp_extract(text, pattern, 1)
-    prefix = F.upper(F.regexp_extract(text, pattern, 2))
+    text = F.upper(F.trim(col_of(c).cast("string")))
+    digits = F.rtrim(text, F.lit("KMGIB "))
+    suffix = F.trim(F.substring(text, F.length(digits) + 1, F.lit(8)))
     base = 1 if unit == "kb" else 1024
     factor = (
-        F.when(prefix == "K", F.lit(base))
-        .when(prefix == "M", F.lit(base * 1024))
-        .when(prefix == "G", F.lit(base * 1024 * 1024))
-        .otherwise(F.lit(1))
+        F.when(suffix == "", F.lit(1))
+        .when(suffix.isin("K", "KB", "KI", "KIB"), F.lit(base))
+        .when(suffix.isin("M", "MB", "MI", "MIB"), F.lit(base * 1024))
+        .when(suffix.isin("G", "GB", "GI", "GIB"), F.lit(base * 1024 * 1024))
     )
+    size = (digits.try_cast("double") * factor).cast("bigint")
     bad = F.raise_error(F.concat(F.lit("unrecognised size: "), F.coalesce(text, F.lit("NULL")))).cast("bigint")
-    return F.when(F.coalesce(number, F.lit("")) == "", bad).otherwise((number.cast("double") * factor).cast("bigint"))
+    return F.when(size >= 0, size).otherwise(bad)
 
 
 def encode_predictor(c: str | Column) -> Column:

@@ -166,17 +166,41 @@ def _bounded(p: str, grid: dict[str, list]) -> Column:
     return F.greatest(F.least(F.col(p), F.lit(grid[p][-1])), F.lit(grid[p][0]))
 
 
-def _trimmed_widths(budget: Column) -> list[Column]:
-    """Issue widths lowered from the largest down until their sum fits the budget.
+def _clipped(level: Column | int) -> Column:
+    """Sum of the issue widths, each counted from 0 and cut to a level."""
+    cut = F.lit(level) if isinstance(level, int) else level
+    return reduce(lambda a, c: a + c, [F.least(F.col(w) - 1, cut) for w in ISSUE_WIDTHS])
 
-    With x = width - 1 and room = budget - 6, every x is cut to the highest level whose
-    clipped sum fits; what is left is given back one by one to the last positions above it.
+
+def settle(df: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """Replaces columns through a one-row generator.
+
+    Later steps then refer to finished values: filters and projections are not pushed
+    through a generator, which would copy the chained expressions into one another.
+    """
+    kept = [c for c in df.columns if c not in values]
+    order = [*df.columns, *[n for n in values if n not in df.columns]]
+    out = df.select(*kept, F.inline(F.array(F.struct(*[v.alias(n) for n, v in values.items()]))))
+    return out.select(*order)
+
+
+def _trim_widths(df: DataFrame, widest: int) -> DataFrame:
+    """Issue widths lowered from the largest down until their sum fits twice the rename width.
+
+    With x = width - 1, every x is cut to the highest level whose clipped sum fits the room;
+    what is left is given back one by one to the last positions above that level.
     """
-    x = F.array(*[F.col(c) - 1 for c in ISSUE_WIDTHS])
-    room = budget - len(ISSUE_WIDTHS)
-    clipped = lambda level: F.aggregate(F.col("_x"), F.lit(0), lambda s, v: s + F.least(v, level).cast("int"))
-    level = F.array_max(F.filter(F.sequence(F.lit(0), F.lit(7)), lambda lv: clipped(lv) <= F.col("_room")))
-    return [x, room, level]
+    room = F.col("rename_width") * ISSUE_WIDTH_RENAME_RATIO - len(ISSUE_WIDTHS)
+    level = F.greatest(*[F.when(_clipped(lv) <= room, F.lit(lv)) for lv in range(widest)])
+    out = settle(df, {"_room": room, "_level": level})
+    out = settle(out, {"_left": F.col("_room") - _clipped(F.col("_level"))})
+    above = [((F.col(w) - 1) > F.col("_level")) for w in ISSUE_WIDTHS]
+    trimmed = {}
+    for i, w in enumerate(ISSUE_WIDTHS):
+        later = reduce(lambda a, c: a + c, [c.cast("int") for c in above[i + 1:]], F.lit(0))
+        back = F.when(above[i] & (later < F.col("_left")), F.lit(1)).otherwise(F.lit(0))
+        trimmed[w] = (F.least(F.col(w) - 1, F.col("_level")) + back + 1).cast("int")
+    return settle(out, trimmed).drop("_room", "_level", "_left")
 
 
 def repair(df: DataFrame, predictor: str | None = None, grid: dict[str, list] = SEARCH_GRID) -> DataFrame:
@@ -185,34 +209,22 @@ def repair(df: DataFrame, predictor: str | None = None, grid: dict[str, list] =
     A list of expressions over each row only: no shuffle, no Python.
     """
     numeric = [p for p in grid if isinstance(grid[p][0], int) and len(grid[p]) > 2]
-    out = df.withColumns({p: _bounded(p, grid).cast("int") for p in numeric})
+    bounded = {p: _bounded(p, grid).cast("int") for p in numeric}
+    floor = F.lit(-(-len(ISSUE_WIDTHS) // ISSUE_WIDTH_RENAME_RATIO))
+    fetch = F.greatest(bounded["fetch_width"], floor)
+    decode = F.least(F.greatest(bounded["decode_width"], floor), fetch)
+    rename = F.least(F.greatest(bounded["rename_width"], floor), decode)
+    commit = F.least(bounded["commit_width"], rename)
+    values = {**bounded, "fetch_width": fetch, "decode_width": decode, "rename_width": rename, "commit_width": commit}
     if predictor is not None:
-        out = out.withColumn("branch_predictor", F.lit(predictor))
-    floor = -(-len(ISSUE_WIDTHS) // ISSUE_WIDTH_RENAME_RATIO)
-    for p in ("fetch_width", "decode_width", "rename_width"):
-        out = out.withColumn(p, F.greatest(F.col(p), F.lit(floor)))
-    for upper, lower in (("fetch_width", "decode_width"), ("decode_width", "rename_width"), ("rename_width", "commit_width")):
-        out = out.withColumn(lower, F.least(F.col(lower), F.col(upper)))
-    rob_floor = F.least(F.col("commit_width") * ROB_HEADROOM, F.lit(grid["rob_size"][-1]))
-    out = out.withColumn("rob_size", F.greatest(F.col("rob_size"), rob_floor))
-
-    x, room, level = _trimmed_widths(F.col("rename_width") * ISSUE_WIDTH_RENAME_RATIO)
-    out = out.withColumn("_x", x).withColumn("_room", room).withColumn("_level", level)
-    kept = F.aggregate("_x", F.lit(0), lambda s, v: s + F.least(v, F.col("_level")).cast("int"))
-    above_after = lambda i: F.size(F.filter(F.slice("_x", i + 2, len(ISSUE_WIDTHS)), lambda v: v > F.col("_level")))
-    out = out.withColumn("_left", F.col("_room") - kept)
-    trimmed = {}
-    for i, p in enumerate(ISSUE_WIDTHS):
-        value = F.get("_x", F.lit(i))
-        later = above_after(i) if i + 1 < len(ISSUE_WIDTHS) else F.lit(0)
-        back = F.when((value > F.col("_level")) & (later < F.col("_left")), F.lit(1)).otherwise(F.lit(0))
-        trimmed[p] = (F.least(value, F.col("_level")) + back + 1).cast("int")
-    out = out.withColumns(trimmed).drop("_x", "_room", "_level", "_left")
+        values["branch_predictor"] = F.lit(predictor)
+    out = settle(df, values)
+    out = _trim_widths(out, max(len(grid[w]) for w in ISSUE_WIDTHS))
 
+    rob_floor = F.least(F.col("commit_width") * ROB_HEADROOM, F.lit(grid["rob_size"][-1]))
     ports = F.col("read_port_issue_width") + F.col("rdwr_port_issue_width")
-    for p in ("lq_entries", "sq_entries"):
-        out = out.withColumn(p, F.greatest(F.col(p), F.least(ports, F.lit(grid[p][-1]))))
-    return out
+    queues = {p: F.greatest(F.col(p), F.least(ports, F.lit(grid[p][-1]))) for p in ("lq_entries", "sq_entries")}
+    return out.withColumns({"rob_size": F.greatest(F.col("rob_size"), rob_floor), **queues})
 
 
 def hardware_cost() -> Column:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracemill.functions.scalars import col_of
-from tracemill.operators.ordered import value_buckets
+from tracemill.operators.ordered import prefix_length, value_buckets
 
 # Percentile levels 1, 3, ..., 99.
 PERCENT_POINTS = list(range(1, 100, 2))
@@ -76,21 +78,27 @@ def _ranked_histogram(df: DataFrame, keys: list[str], x: str, limit: int | None)
     )
 
 
+def _hits(points: list[float], first: Callable[[Column], Column], last: Callable[[Column], Column]) -> Column:
+    """The points between two monotone conditions, found by binary search on the sorted list."""
+    array = F.array(*[F.lit(float(p)) for p in points])
+    n = len(points)
+    lo = prefix_length(n, lambda i: first(F.get(array, i)), n)
+    hi = prefix_length(n, lambda i: last(F.get(array, i)), n)
+    return F.when(hi > lo, F.slice(array, lo + 1, F.greatest(hi - lo, F.lit(0)))).otherwise(F.expr("CAST(array() AS ARRAY<DOUBLE>)"))
+
+
 def _raw_hits(points: list[float]) -> Column:
     """(point, value) pairs whose lower rank falls on this histogram row."""
     position = lambda p: (F.col("_n") - 1).cast("double") * p / 100.0
     lower = lambda p: F.floor(position(p))
-    mine = F.filter(
-        F.array(*[F.lit(float(p)) for p in points]),
-        lambda p: (lower(p) >= F.col("_clo")) & (lower(p) < F.col("_clo") + F.col("_c")),
-    )
-    last_copy = lambda p: lower(p) + 1 >= F.col("_clo") + F.col("_c")
+    end = F.col("_clo") + F.col("_c")
+    mine = _hits(points, lambda p: lower(p) < F.col("_clo"), lambda p: lower(p) < end)
     step = F.coalesce(F.col("_xn"), F.col("_x")) - F.col("_x")
     return F.transform(
         mine,
         lambda p: F.struct(
             p.alias("p"),
-            F.when(last_copy(p), F.col("_x") + step * (position(p) - lower(p))).otherwise(F.col("_x")).alias("v"),
+            F.when(lower(p) + 1 >= end, F.col("_x") + step * (position(p) - lower(p))).otherwise(F.col("_x")).alias("v"),
         ),
     )
 
@@ -103,10 +111,7 @@ def _weighted_hits(points: list[float]) -> Column:
     """
     wlo, w, wt, x, xp = (F.col(c) for c in ("_wlo", "_w", "_wt", "_x", "_xp"))
     share = lambda p: p / 100.0 * wt
-    mine = F.filter(
-        F.array(*[F.lit(float(p)) for p in points]),
-        lambda p: (w > 0) & (share(p) > wlo) & ((share(p) <= wlo + w) | F.col("_xn").isNull()),
-    )
+    mine = _hits(points, lambda p: share(p) <= wlo, lambda p: (w > 0) & ((share(p) <= wlo + w) | F.col("_xn").isNull()))
     rise = lambda p: (share(p) - wlo) / x
     return F.transform(
         mine,

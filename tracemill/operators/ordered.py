@@ -7,16 +7,20 @@ buckets), works inside the pieces, and carries one small summary row per piece.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracemill.functions.scalars import col_of, hash_hex
+from tracemill.session import cut_lineage
 
 SEGMENT_ROWS = 1 << 20      # rows of one key that a window may sort in one task
 BUCKET_ROWS = 1 << 20       # distinct values of one group before it is split by value
 VALUE_BUCKETS = 256         # pieces a large group is split into
 JOIN_SALTS = 8              # pieces a join key of the large side is split into
+BROADCAST_BYTES = 64 << 20  # largest dimension that is broadcast
 
 
 def _before(w: W) -> W:
@@ -103,41 +107,75 @@ def hash_rank(
     return bucketed_rank(hashed, keys, bucket, ["_h", *row_key], out, total).drop("_h")
 
 
+def prefix_length(length: int | Column, holds: Callable[[Column], Column], longest: int) -> Column:
+    """Binary search: how many leading positions (0-based) satisfy a condition that holds on a prefix only."""
+    steps = [1 << i for i in reversed(range(max(longest, 1).bit_length()))]
+    size = F.lit(length) if isinstance(length, int) else length
+
+    def step(pos: Column, width: Column) -> Column:
+        more = (pos + width <= size) & holds(pos + width - 1)
+        return F.when(F.coalesce(more, F.lit(False)), pos + width).otherwise(pos)
+
+    return F.aggregate(F.array(*[F.lit(x) for x in steps]), F.lit(0), step)
+
+
+def bucket_number(cuts: str | Column, x: str | Column, longest: int = VALUE_BUCKETS) -> Column:
+    """Number of sorted split points below `x`; equal values get the same number."""
+    c = col_of(cuts)
+    return F.coalesce(prefix_length(F.size(c), lambda i: F.get(c, i) < col_of(x), longest), F.lit(0))
+
+
 def value_buckets(df: DataFrame, keys: list[str], x: str, out: str, limit: int | None = None) -> DataFrame:
     """Bucket number that is monotone in `x`: 0 for small groups, split points for large ones.
 
-    Split points come from a mergeable quantile sketch of the groups above `limit`
-    rows only, so equal values share a bucket and no group is gathered whole.
+    Split points come from a mergeable quantile sketch of the groups above `limit` rows
+    only, so equal values share a bucket and no group is gathered whole. A group gets one
+    split point per `limit` rows, so all of them together number at most rows / limit:
+    that bound is why they are broadcast and `df` is not shuffled for the lookup.
     """
     limit = limit or BUCKET_ROWS
-    large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit).drop("_n")
+    large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
     points = F.array(*[F.lit(i / VALUE_BUCKETS) for i in range(1, VALUE_BUCKETS)])
-    cuts = dim_join(df.select(*keys, x), large, keys, "inner").groupBy(*keys).agg(
-        F.percentile_approx(x, points, F.lit(10000)).alias("_cuts")
-    )
-    return (
-        dim_join(df, cuts, keys, "left")
-        .withColumn(
-            out,
-            F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(
-                F.size(F.filter("_cuts", lambda c: c < F.col(x)))
-            ),
-        )
-        .drop("_cuts")
+    sketch = df.select(*keys, x).join(F.broadcast(large), keys).groupBy(*keys, "_n").agg(
+        F.percentile_approx(x, points, F.lit(10000)).alias("_sketch")
     )
+    wanted = F.least(F.ceil(F.col("_n") / F.lit(limit)) - 1, F.lit(VALUE_BUCKETS - 1)).cast("int")
+    thinned = F.transform(F.sequence(F.lit(1), wanted), lambda i: F.get("_sketch", (i * VALUE_BUCKETS / (wanted + 1)).cast("int") - 1))
+    cuts = sketch.select(*keys, thinned.alias("_cuts"))
+    return df.join(F.broadcast(cuts), keys, "left").withColumn(out, bucket_number("_cuts", x)).drop("_cuts")
+
+
+def _row_bytes(df: DataFrame) -> int:
+    """Generous in-memory size of one row: text and arrays count as 2 KiB each."""
+    fixed = {"byte": 1, "short": 2, "integer": 4, "long": 8, "float": 4, "double": 8, "boolean": 1, "date": 4, "timestamp": 8}
+    return 32 + sum(fixed.get(f.dataType.typeName(), 2048) for f in df.schema.fields)
+
+
+def small_enough(dim: DataFrame) -> tuple[DataFrame, bool]:
+    """(dimension, whether it may be broadcast). Spark's own estimate decides when it is small already;
+    otherwise the dimension is computed once into the checkpoint folder and its rows are counted.
+    """
+    estimate = int(str(dim._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if estimate <= BROADCAST_BYTES:
+        return dim, True
+    kept = cut_lineage(dim)
+    return kept, kept.count() * _row_bytes(kept) <= BROADCAST_BYTES
 
 
-def dim_join(big: DataFrame, dim: DataFrame, on: list[str], how: str = "left", salts: int | None = None) -> DataFrame:
+def dim_join(big: DataFrame, dim: DataFrame, on: list[str], how: str = "left", salts: int | None = None, check: bool = True) -> DataFrame:
     """Equi-join of a large side with a per-key dimension.
 
-    No broadcast is forced: AQE broadcasts the dimension when its measured size is
-    small. Otherwise the key is salted, so one hot key is spread over `salts` tasks.
+    A dimension whose size is checked to be small is broadcast, so the large side is not
+    shuffled. Beyond the bound the key is salted, so one hot key is spread over `salts`
+    tasks. `check=False` skips the check (and its job) and always salts.
     """
     salts = salts or JOIN_SALTS
-    if salts == 1:
-        return big.join(dim, on, how)
     if how not in ("left", "inner", "left_semi", "left_anti"):
         raise ValueError(f"a salted join keeps the large side; {how!r} does not")
+    if check:
+        dim, small = small_enough(dim)
+        if small:
+            return big.join(F.broadcast(dim), on, how)
     spread = F.pmod(F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in _hashable(big)]), F.lit(salts)) + F.spark_partition_id(), F.lit(salts))
     left = big.withColumn("_salt", spread.cast("int"))
     right = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

@@ -253,7 +253,7 @@ def resolve_dependencies(trace: DataFrame) -> DataFrame:
     """
     last_row = trace.groupBy("trace_id", "ip").agg(F.max("idx").alias("dep_idx")).withColumnRenamed("ip", "dep")
     wanted = trace.select("trace_id", "idx", F.explode_outer(F.array_distinct(F.concat("reg_deps", "mem_deps"))).alias("dep"))
-    found = dim_join(wanted, last_row, ["trace_id", "dep"], "left")
+    found = dim_join(wanted, last_row, ["trace_id", "dep"], "left", check=False)
     return found.groupBy("trace_id", "idx").agg(
         F.array_sort(F.collect_set(F.when(F.col("dep_idx") < F.col("idx"), F.col("dep_idx")))).alias("deps")
     )
@@ -273,7 +273,7 @@ def attach_latency(trace: DataFrame, latency: DataFrame) -> DataFrame:
             F.raise_error(F.concat(F.lit("latency length differs from the trace: "), F.col("trace_id").cast("string")))
         ).alias("_ok"),
     )
-    checked = dim_join(latency, sizes, ["trace_id", *config], "inner").filter("_ok").drop("_ok")
+    checked = dim_join(latency, sizes, ["trace_id", *config], "inner", check=False).filter("_ok").drop("_ok")
     return trace.join(checked, ["trace_id", "idx"])
 
 

@@ -9,19 +9,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracemill.functions.scalars import must
-from tracemill.operators.ordered import VALUE_BUCKETS, bucketed_rank
+from tracemill.operators.ordered import VALUE_BUCKETS, bucket_number, bucketed_rank
 from tracemill.session import cut_lineage
 
 
-def _bucket_number(cuts: Column, x: str) -> Column:
-    return F.coalesce(F.size(F.filter(cuts, lambda c: c < F.col(x))), F.lit(0))
-
-
 def _bucket(df: DataFrame, x: str, buckets: int) -> DataFrame:
     """Adds `_b`, the value range of `x` (equal values together), from a mergeable quantile sketch."""
     points = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
     cuts = df.agg(F.percentile_approx(x, points, F.lit(1000)).alias("c")).scalar()
-    return df.withColumn("_cuts", cuts).withColumn("_b", _bucket_number(F.col("_cuts"), x)).drop("_cuts")
+    return df.withColumn("_cuts", cuts).withColumn("_b", bucket_number("_cuts", x, buckets)).drop("_cuts")
 
 
 def _first_best(df: DataFrame, f0: str, f1: str, tie_break: list[str]) -> DataFrame:

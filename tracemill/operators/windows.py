@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracemill.functions.opclass import fu_group, mask_flags, opcode_dim
 from tracemill.functions.registry import REGISTRY, Registry
-from tracemill.operators.ordered import dim_join, last_before, prefix_sum
+from tracemill.operators.ordered import last_before, prefix_sum
 
 WINDOW_ROWS = 400  # fixed value: default window length
 
@@ -27,7 +27,8 @@ def instruction_flags(trace: DataFrame) -> DataFrame:
         .withColumn("store_addr", F.get("write_addrs", F.lit(0)))
     )
     if "opcode" in trace.columns:
-        out = dim_join(out, opcode_dim(trace), ["opcode"], "left")
+        # The mnemonics of an instruction set number a few thousand: a fixed bound.
+        out = out.join(F.broadcast(opcode_dim(trace)), "opcode", "left")
         return out.select("*", *[f.alias(n) for n, f in mask_flags().items()]).drop("mask")
     group = fu_group("op_class")
     return (
