@@ -86,19 +86,26 @@ def parse_size(c: str | Column, unit: str = "kb") -> Column:
     """
     if unit not in ("kb", "bytes"):
         raise ValueError(f"unit must be kb or bytes, got {unit!r}")
-    text = F.upper(F.trim(col_of(c).cast("string")))
+    raw = col_of(c).cast("string")
+    base = 1 if unit == "kb" else 1024
+
+    def whole(factor: int) -> Column:
+        return raw.substr(F.lit(1), F.length(raw) - 3).try_cast("bigint") * F.lit(factor)
+
+    # The two usual spellings cost one suffix test and one cast.
+    usual = F.when(raw.endswith("KiB"), whole(base)).when(raw.endswith("MiB"), whole(base * 1024))
+    text = F.upper(F.trim(raw))
     digits = F.rtrim(text, F.lit("KMGIB "))
     suffix = F.trim(F.substring(text, F.length(digits) + 1, F.lit(8)))
-    base = 1 if unit == "kb" else 1024
     factor = (
         F.when(suffix == "", F.lit(1))
         .when(suffix.isin("K", "KB", "KI", "KIB"), F.lit(base))
         .when(suffix.isin("M", "MB", "MI", "MIB"), F.lit(base * 1024))
         .when(suffix.isin("G", "GB", "GI", "GIB"), F.lit(base * 1024 * 1024))
     )
-    size = (digits.try_cast("double") * factor).cast("bigint")
+    other = F.when(digits.rlike(r"^\d+(\.\d+)?$"), (digits.try_cast("double") * factor).cast("bigint"))
     bad = F.raise_error(F.concat(F.lit("unrecognised size: "), F.coalesce(text, F.lit("NULL")))).cast("bigint")
-    return F.when(size >= 0, size).otherwise(bad)
+    return F.coalesce(usual, other, bad)
 
 
 def encode_predictor(c: str | Column) -> Column:

@@ -270,10 +270,11 @@ def assemble_inference(
     configurations are shared by all configs: the join salts them.
     """
     memory = ["l1i_kb", "l1d_kb", "l2_kb"]
-    keyed = configs
-    for level in ("l1i", "l1d", "l2"):
-        keyed = keyed.withColumn(f"{level}_kb", parse_size(f"{level}_size"))
-        keyed = keyed.withColumn(f"{level}_size", (F.col(f"{level}_kb") * 1024).cast("double"))
+    # Each config becomes one row per trace: deal the narrow configs evenly first. The mean
+    # over traces later reuses this partitioning.
+    sizes = {f"{level}_kb": parse_size(f"{level}_size") for level in ("l1i", "l1d", "l2")}
+    keyed = configs.withColumns(sizes).repartition(F.col(config_id))
+    keyed = keyed.withColumns({f"{level}_size": (F.col(f"{level}_kb") * 1024).cast("double") for level in ("l1i", "l1d", "l2")})
     lat = cache.select("trace_id", *[F.col(m).cast("bigint").alias(m) for m in memory], *[F.col(c).alias(f"cache_{c}") for c in CACHE_COLUMNS])
     n_traces = program.select(F.count(F.lit(1)).alias("n")).scalar()
     per_memory = lat.groupBy(*memory).agg(F.count(F.lit(1)).alias("_n"))
@@ -284,10 +285,10 @@ def assemble_inference(
     bp_name = "misprediction_rate" if features and "misprediction_rate" in features else "bp_misprediction_rate"
     rate = rates.select("trace_id", F.lower("bp_type").alias("branch_predictor"), F.col("misprediction_rate").alias(bp_name))
     wide = dim_join(dim_join(paired.withColumn("branch_predictor", F.lower("branch_predictor")), prog, ["trace_id"], "inner"), rate, ["trace_id", "branch_predictor"], "inner")
-    for v in SEARCH_GRID["stride_prefetcher_degree"]:
-        wide = wide.withColumn(f"stride_prefetcher_degree_{v}", (F.col("stride_prefetcher_degree") == v).cast("double"))
-    for q in ("lq_entries", "sq_entries", "rob_size"):
-        wide = wide.withColumn(f"reciprocal_{q}", F.lit(1.0) / F.col(q))
+    wide = wide.withColumns({
+        **{f"stride_prefetcher_degree_{v}": (F.col("stride_prefetcher_degree") == v).cast("double") for v in SEARCH_GRID["stride_prefetcher_degree"]},
+        **{f"reciprocal_{q}": F.lit(1.0) / F.col(q) for q in ("lq_entries", "sq_entries", "rob_size")},
+    })
     if features is None:
         skip = {config_id, "trace_id", "branch_predictor", "stride_prefetcher_degree"}
         features = [f.name for f in wide.schema.fields if f.name not in skip and f.dataType.typeName() in ("double", "float", "integer", "long")]

@@ -17,7 +17,7 @@ from tracemill.functions.scalars import col_of, hash_hex
 from tracemill.session import cut_lineage
 
 SEGMENT_ROWS = 1 << 20      # rows of one key that a window may sort in one task
-BUCKET_ROWS = 1 << 20       # distinct values of one group before it is split by value
+BUCKET_ROWS = 1 << 18       # distinct values of one group before it is split by value
 VALUE_BUCKETS = 256         # pieces a large group is split into
 JOIN_SALTS = 8              # pieces a join key of the large side is split into
 BROADCAST_BYTES = 64 << 20  # largest dimension that is broadcast

@@ -39,8 +39,8 @@ def response_curves(df: DataFrame, params: list[str], numeric: dict[str, Column]
     """One-factor-at-a-time curves: (param, benchmark, value, cpi).
 
     Rows that agree on every other parameter form a group; per (param, benchmark) the
-    largest group with at least two points is the curve. The group sizes are counted
-    first (pre-aggregated) and only the points of the chosen groups are kept.
+    largest group with at least two points is the curve. Group sizes are counted first,
+    combined before the shuffle, so a hot benchmark never travels whole.
     `numeric` gives the numeric value of each parameter.
     """
     entries = F.explode(F.array(*[
@@ -53,9 +53,14 @@ def response_curves(df: DataFrame, params: list[str], numeric: dict[str, Column]
     ]))
     order = F.struct(*tie_break) if tie_break else F.lit(0)
     long = df.select("benchmark", F.col(cpi).alias("cpi"), order.alias("_o"), entries.alias("e")).select("benchmark", "cpi", "_o", "e.*")
-    groups = long.groupBy("param", "benchmark", "others").agg(F.count(F.lit(1)).alias("n"), F.min("_o").alias("_first")).filter(F.col("n") >= 2)
-    chosen = groups.groupBy("param", "benchmark").agg(F.min_by("others", F.struct(-F.col("n"), "_first", "others")).alias("others"))
-    return dim_join(long, chosen, ["param", "benchmark", "others"], "inner").select("param", "benchmark", "value", "cpi", "_o")
+    counts = long.groupBy("param", "benchmark", "others").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= 2)
+    top = counts.groupBy("param", "benchmark").agg(F.max("n").alias("_top"))
+    largest = counts.join(top, ["param", "benchmark"]).filter(F.col("n") == F.col("_top")).select("param", "benchmark", "others")
+    # Only the points of the largest groups are kept; ties between them go to the earliest row.
+    tied = dim_join(long, largest, ["param", "benchmark", "others"], "inner")
+    first = tied.groupBy("param", "benchmark", "others").agg(F.min("_o").alias("_first"))
+    chosen = first.groupBy("param", "benchmark").agg(F.min_by("others", F.struct("_first", "others")).alias("others"))
+    return tied.join(chosen, ["param", "benchmark", "others"]).select("param", "benchmark", "value", "cpi", "_o")
 
 
 def curve_points(curves: DataFrame) -> DataFrame:

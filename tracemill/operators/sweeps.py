@@ -189,9 +189,7 @@ def join_cache(sweep: DataFrame, cache: DataFrame, prefix: str = "cache_", on_mi
         F.col("benchmark").alias("_key"), *[F.col(k).cast("bigint").alias(f"_{k}") for k in keys],
         *[F.col(c).alias(f"{prefix}{c}") for c in names],
     )
-    keyed = sweep.withColumn("_key", _trace_key(sweep))
-    for level in ("l1i", "l1d", "l2"):
-        keyed = keyed.withColumn(f"_{level}_kb", parse_size(f"{level}_size"))
+    keyed = sweep.withColumns({"_key": _trace_key(sweep), **{f"_{level}_kb": parse_size(f"{level}_size") for level in ("l1i", "l1d", "l2")}})
     on = ["_key", *[f"_{k}" for k in keys]]
     return _lookup(keyed, dim, on, on_missing, "cache latency row").drop(*on)
 
