@@ -172,8 +172,9 @@ def test_r2_edges(spark):
         metrics.ols_r2(df.limit(1), ["x"])
 
 
-def test_early_stop(spark):
+@pytest.mark.parametrize("segment", [3, None])
+def test_early_stop(spark, segment):
     loss = [5, 4, 3] + [3.5] * 12 + [1.0]
     df = spark.createDataFrame([(1, i + 1, float(x), float(x)) for i, x in enumerate(loss)], "run_id int, epoch int, eval_loss double, percent_error double")
-    r = metrics.best_epoch(df).first()
+    r = metrics.best_epoch(df, segment_rows=segment).first()
     assert (r["best_epoch"], r["stop_epoch"], r["best_eval_loss"]) == (3, 13, 3.0)

@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracemill.functions.scalars import percent_error
-from tracemill.operators.ordered import dim_join
+from tracemill.operators.ordered import dim_join, last_before, prefix_min
 
 PATIENCE = 10  # fixed value: epochs without improvement before training stops
 
@@ -107,19 +106,15 @@ def standard_scale(fit: DataFrame, apply: DataFrame, cols: list[str]) -> DataFra
     return out.withColumns(scaled).drop("_s")
 
 
-def best_epoch(metrics: DataFrame, patience: int = PATIENCE) -> DataFrame:
-    """Per run: best epoch, its loss and error, and the epoch at which training stops early.
-
-    A run is one training log of at most a few hundred epochs, so ordering one run is small.
-    """
-    w = W.partitionBy("run_id").orderBy("epoch")
-    before = F.min("eval_loss").over(w.rowsBetween(W.unboundedPreceding, -1))
-    improved = before.isNull() | (F.col("eval_loss") < before)
-    marked = metrics.withColumn("_imp", F.when(improved, F.col("epoch")))
-    last_improved = F.last("_imp", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
-    marked = marked.withColumn("_gap", F.col("epoch") - last_improved)
-    stops = marked.groupBy("run_id").agg(F.min(F.when(F.col("_gap") >= patience, F.col("epoch"))).alias("stop_epoch"), F.max("epoch").alias("n_epochs"))
-    within = metrics.join(stops, "run_id").filter(F.col("epoch") <= F.coalesce("stop_epoch", "n_epochs"))
+def best_epoch(metrics: DataFrame, patience: int = PATIENCE, segment_rows: int | None = None) -> DataFrame:
+    """Per run: best epoch, its loss and error, and the epoch at which training stops early."""
+    seen = prefix_min(metrics, ["run_id"], ["epoch"], "eval_loss", "_before", segment_rows)
+    improved = F.col("_before").isNull() | (F.col("eval_loss") < F.col("_before"))
+    marked = seen.withColumn("_imp", F.when(improved, F.col("epoch"))).drop("_before")
+    gaps = last_before(marked, ["run_id"], ["epoch"], "_imp", "_last", segment_rows)
+    gap = F.col("epoch") - F.coalesce("_imp", "_last")
+    stops = gaps.groupBy("run_id").agg(F.min(F.when(gap >= patience, F.col("epoch"))).alias("stop_epoch"), F.max("epoch").alias("n_epochs"))
+    within = dim_join(metrics, stops, ["run_id"], "inner").filter(F.col("epoch") <= F.coalesce("stop_epoch", "n_epochs"))
     order = F.struct("eval_loss", "epoch")
     return within.groupBy("run_id").agg(
         F.min_by("epoch", order).alias("best_epoch"), F.min("eval_loss").alias("best_eval_loss"),

@@ -52,26 +52,41 @@ def last_before(
     )
 
 
-def prefix_sum(
-    df: DataFrame, keys: list[str], order: list[str], value: str | Column, out: str, segment_rows: int | None = None
+def _running(
+    df: DataFrame, keys: list[str], order: list[str], value: str | Column, out: str, segment_rows: int | None,
+    aggregate: Callable[[str], Column], combine: Callable[[Column, Column], Column],
 ) -> DataFrame:
-    """Exclusive running sum in row order, two levels: inside segments, then over segments."""
+    """Aggregate of all earlier rows in two levels: inside a segment, then over earlier segments."""
     rows = segment_rows or SEGMENT_ROWS
     cut = df.withColumn("_v", col_of(value)).withColumn("_seg", F.floor(F.col(order[0]) / F.lit(rows)))
-    inside = F.sum("_v").over(_before(W.partitionBy(*keys, "_seg").orderBy(*order)))
-    totals = cut.groupBy(*keys, "_seg").agg(F.sum("_v").alias("_t"))
+    inside = aggregate("_v").over(_before(W.partitionBy(*keys, "_seg").orderBy(*order)))
+    totals = cut.groupBy(*keys, "_seg").agg(aggregate("_v").alias("_t"))
     carry = totals.select(
-        *keys, "_seg", F.sum("_t").over(_before(W.partitionBy(*keys).orderBy("_seg"))).alias("_carry")
-    ).filter(F.col("_carry") != 0)
-    zero = F.lit(0)
+        *keys, "_seg", aggregate("_t").over(_before(W.partitionBy(*keys).orderBy("_seg"))).alias("_carry")
+    ).filter(F.col("_carry").isNotNull())
     return (
         cut.withColumn("_in", inside)
         .join(carry, [*keys, "_seg"], "left")
-        .withColumn(out, F.coalesce("_in", zero) + F.coalesce("_carry", zero))
+        .withColumn(out, combine(F.col("_in"), F.col("_carry")))
         .drop("_v", "_seg", "_in", "_carry")
     )
 
 
+def prefix_sum(
+    df: DataFrame, keys: list[str], order: list[str], value: str | Column, out: str, segment_rows: int | None = None
+) -> DataFrame:
+    """Exclusive running sum in row order; 0 for the first row."""
+    zero = F.lit(0)
+    return _running(df, keys, order, value, out, segment_rows, F.sum, lambda a, b: F.coalesce(a, zero) + F.coalesce(b, zero))
+
+
+def prefix_min(
+    df: DataFrame, keys: list[str], order: list[str], value: str | Column, out: str, segment_rows: int | None = None
+) -> DataFrame:
+    """Exclusive running minimum in row order; NULL for the first row."""
+    return _running(df, keys, order, value, out, segment_rows, F.min, lambda a, b: F.least(a, b))
+
+
 def bucketed_rank(
     df: DataFrame, keys: list[str], bucket: Column, order: list[str | Column], out: str, total: str | None = None
 ) -> DataFrame:

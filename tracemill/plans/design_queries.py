@@ -60,7 +60,7 @@ def _(spark, sf_dir):
 
 @query(
     "h1_param_sweep",
-    """SELECT resource, p0, p1, n FROM (SELECT l_linenumber % 3 AS resource, count(*) AS n FROM lineitem GROUP BY ALL), (SELECT unnest(range(1, 9)) AS p0), (SELECT unnest([16, 32, 64, 128, 256]) AS p1)""",
+    """SELECT resource, p0, p1, n FROM (SELECT l_linenumber % 3 AS resource, count(*) AS n FROM lineitem GROUP BY ALL), (SELECT CAST(unnest(range(1, 9)) AS INT) AS p0), (SELECT unnest([16, 32, 64, 128, 256]) AS p1)""",
 )
 def _(spark, sf_dir):
     per = b.table(spark, sf_dir, "lineitem").groupBy((F.col("l_linenumber") % 3).alias("resource")).agg(F.count(F.lit(1)).alias("n"))
