@@ -25,9 +25,13 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles at a fixed number of decimals, so sums in another order compare equal."""
+def rounded(df: DataFrame, digits: int = 6, nudge: float = 0.0) -> DataFrame:
+    """Doubles at a fixed number of decimals, so sums in another order compare equal.
+
+    Interpolated percentiles often end exactly in a 5; a nudge far below the last kept
+    digit then decides the rounding, in the SQL text as well.
+    """
     return df.select(*[
-        F.round(f.name, digits).alias(f.name) if f.dataType.typeName() in ("double", "float") else F.col(f.name)
+        F.round(F.col(f.name) + nudge, digits).alias(f.name) if f.dataType.typeName() in ("double", "float") else F.col(f.name)
         for f in df.schema.fields
     ])

@@ -73,10 +73,10 @@ def encode_sql(rows: str, keys: str) -> str:
         UNION ALL SELECT {keys}, 100, avg(x) FROM {rows} GROUP BY {keys})"""
 
 
-@query("d18_stall_features", f"{STALL_SQL}, {encode_sql('sc', 'trace_id, kind')} SELECT trace_id, CAST(kind * 101 + pos AS INT) AS pos, round(v, 5) AS v FROM ev")
+@query("d18_stall_features", f"{STALL_SQL}, {encode_sql('sc', 'trace_id, kind')} SELECT trace_id, CAST(kind * 101 + pos AS INT) AS pos, round(v + 1e-9, 5) AS v FROM ev")
 def _(spark, sf_dir):
     s = matrix.stall_features(b.trace(spark, sf_dir), K)
-    return rounded(s.select("trace_id", F.posexplode("vec").alias("pos", "v")), 5)
+    return rounded(s.select("trace_id", F.posexplode("vec").alias("pos", "v")), 5, 1e-9)
 
 
 # Queue latencies derived from the events: three queue sizes per instruction.
@@ -102,10 +102,10 @@ _QPOS = """SELECT trace_id, CAST(CASE part WHEN 1 THEN 3 + list_position([1, 2,
   UNION ALL SELECT trace_id, CAST(list_position([1, 2, 4], size) - 1 AS INT), thr FROM qo"""
 
 
-@query("d19_queue_latency_features", f"WITH {QUEUE_SQL}, {encode_sql('qr', 'trace_id, cfg_idx, part, size')}, qv AS ({_QPOS}) SELECT trace_id, pos, round(v, 5) AS v FROM qv")
+@query("d19_queue_latency_features", f"WITH {QUEUE_SQL}, {encode_sql('qr', 'trace_id, cfg_idx, part, size')}, qv AS ({_QPOS}) SELECT trace_id, pos, round(v + 1e-9, 5) AS v FROM qv")
 def _(spark, sf_dir):
     out = matrix.queue_latency_features(*queue(spark, sf_dir))
-    return rounded(out.select("trace_id", F.posexplode("vec").alias("pos", "v")), 5)
+    return rounded(out.select("trace_id", F.posexplode("vec").alias("pos", "v")), 5, 1e-9)
 
 
 # The throughput traces A, N, R are matched with traces 0, 1, 2 of the events.

@@ -141,15 +141,15 @@ def _(spark, sf_dir):
     "minimum_slice",
     f"""{WITH_COUNTS}, x AS (SELECT trace_id, CAST(w.p0 AS INT) AS p0,
       CASE WHEN n_alu = 0 THEN size ELSE size / greatest(n_alu / CAST(w.p0 AS DOUBLE), 1.0E0) END AS thr FROM g, range(1, 9) w(p0))
-      SELECT trace_id, p0, round(quantile_cont(thr, 0.01), 5) AS p1, round(quantile_cont(thr, 0.5), 5) AS p50,
-      round(quantile_cont(thr, 0.99), 5) AS p99 FROM x GROUP BY ALL""",
+      SELECT trace_id, p0, round(quantile_cont(thr, 0.01) + 1e-9, 5) AS p1, round(quantile_cont(thr, 0.5) + 1e-9, 5) AS p50,
+      round(quantile_cont(thr, 0.99) + 1e-9, 5) AS p99 FROM x GROUP BY ALL""",
 )
 def flagship(spark, sf_dir):
     """Issue-width bound per window, then its distribution per trace and width."""
     thr = windows.issue_throughput(counts(spark, sf_dir), "alu_issue")
     d = encode.distribution(thr, ["trace_id", "p0"], "thr", points=[1, 50, 99], weighted=False)
     v = lambda i: F.element_at("raw", i)
-    return rounded(d.select("trace_id", "p0", v(1).alias("p1"), v(2).alias("p50"), v(3).alias("p99")), 5)
+    return rounded(d.select("trace_id", "p0", v(1).alias("p1"), v(2).alias("p50"), v(3).alias("p99")), 5, 1e-9)
 
 
 WKEYS = "trace_id, resource, p0"
@@ -164,11 +164,11 @@ WEIGHTED_SQL = f"""ws AS (SELECT {WKEYS}, thr AS x, greatest(thr, 0) AS wt,
 
 
 def _long(df, keys, vec):
-    return rounded(df.select(*keys, F.posexplode(vec).alias("pos", "v")).select(*keys, "pos", "v"), 5)
+    return rounded(df.select(*keys, F.posexplode(vec).alias("pos", "v")).select(*keys, "pos", "v"), 5, 1e-9)
 
 
-RAW_LONG = f"SELECT {WKEYS}, CAST((pt - 1) // 2 AS INT) AS pos, round(v, 5) AS v FROM wr"
-WEIGHTED_LONG = f"""SELECT {WKEYS}, CAST((pt - 1) // 2 AS INT) AS pos, round(coalesce(wp.v, wr.v), 5) AS v FROM wr LEFT JOIN wp USING ({WKEYS}, pt)"""
+RAW_LONG = f"SELECT {WKEYS}, CAST((pt - 1) // 2 AS INT) AS pos, round(v + 1e-9, 5) AS v FROM wr"
+WEIGHTED_LONG = f"""SELECT {WKEYS}, CAST((pt - 1) // 2 AS INT) AS pos, round(coalesce(wp.v, wr.v) + 1e-9, 5) AS v FROM wr LEFT JOIN wp USING ({WKEYS}, pt)"""
 
 
 @query("d14_cdf_raw", f"WITH {b.W_SQL}, {WEIGHTED_SQL} {RAW_LONG}")
@@ -189,13 +189,13 @@ VEC_SQL = f"""WITH {b.W_SQL}, {WEIGHTED_SQL}, vv AS (
     UNION ALL SELECT {WKEYS}, 100, avg(thr) FROM w GROUP BY ALL)"""
 
 
-@query("d16_cdf_encode", f"{VEC_SQL} SELECT {WKEYS}, pos, round(v, 5) AS v FROM vv")
+@query("d16_cdf_encode", f"{VEC_SQL} SELECT {WKEYS}, pos, round(v + 1e-9, 5) AS v FROM vv")
 def _(spark, sf_dir):
     keys = ["trace_id", "resource", "p0"]
     return _long(encode.cdf_encode(b.window_thr(spark, sf_dir), keys, "thr"), keys, "vec")
 
 
-@query("d17_build_lookup", f"{VEC_SQL} SELECT trace_id, resource, CAST(0 AS INT) AS cfg_idx, p0, CAST(0 AS INT) AS p1, pos, round(v, 5) AS v FROM vv")
+@query("d17_build_lookup", f"{VEC_SQL} SELECT trace_id, resource, CAST(0 AS INT) AS cfg_idx, p0, CAST(0 AS INT) AS p1, pos, round(v + 1e-9, 5) AS v FROM vv")
 def _(spark, sf_dir):
     return _long(encode.build_lookup(b.window_thr(spark, sf_dir)), encode.LOOKUP_KEYS, "vec")
 
