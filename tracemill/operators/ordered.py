@@ -20,7 +20,8 @@ SEGMENT_ROWS = 1 << 20      # rows of one key that a window may sort in one task
 BUCKET_ROWS = 1 << 18       # distinct values of one group before it is split by value
 VALUE_BUCKETS = 256         # pieces a large group is split into
 JOIN_SALTS = 8              # pieces a join key of the large side is split into
-BROADCAST_BYTES = 64 << 20  # largest dimension that is broadcast
+BROADCAST_BYTES = 64 << 20  # largest dimension that is broadcast after counting its rows
+ESTIMATE_BYTES = 10 << 20   # largest dimension that is broadcast on Spark's estimate alone
 
 
 def _before(w: W) -> W:
@@ -171,7 +172,7 @@ def small_enough(dim: DataFrame) -> tuple[DataFrame, bool]:
     otherwise the dimension is computed once into the checkpoint folder and its rows are counted.
     """
     estimate = int(str(dim._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if estimate <= BROADCAST_BYTES:
+    if estimate <= ESTIMATE_BYTES:
         return dim, True
     kept = cut_lineage(dim)
     return kept, kept.count() * _row_bytes(kept) <= BROADCAST_BYTES

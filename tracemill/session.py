@@ -18,6 +18,8 @@ DEFAULTS = {
     # Generated methods above 8000 bytes are not compiled by the JVM; Spark then uses
     # smaller per-expression methods, several times faster for wide arithmetic rows.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Checkpoint files go away with the DataFrames that use them.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
 }
 
