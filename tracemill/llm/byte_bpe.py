@@ -7,17 +7,18 @@ import functools
 import hashlib
 import struct
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
+import numpy as np
 import pyarrow as pa
 import regex
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from tracemill.llm.common import slices
+from tracemill.llm.common import SLICE_BYTES, slices
 
-CACHED_TOKENS = 200_000
-LONGEST_CACHED = 64
+RUN_TOKENS = 1 << 21
+KNOWN_TOKENS = 400_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -68,51 +69,77 @@ def build_model(ranks: dict[bytes, int]) -> bytes:
 
 
 class ByteBpe:
-    """Encodes and decodes texts; equal pre-tokens are encoded once."""
+    """Encodes and decodes groups of texts; equal pre-tokens of a run are encoded once."""
 
     def __init__(self, model: bytes, pattern: str):
         self.processor = sentencepiece.SentencePieceProcessor(model_proto=model)
-        self.find = regex.compile(pattern).findall
+        self.pattern = regex.compile(pattern)
         self.alphabet = byte_alphabet()
         back = {c: b for b, c in enumerate(self.alphabet)}
-        size = self.processor.get_piece_size() - 1
-        self.piece_bytes = [bytes(back[c] for c in self.processor.id_to_piece(i)) for i in range(size)]
-        self.whole = {token: i for i, token in enumerate(self.piece_bytes)}
-        self.decimal = [str(i) for i in range(size)]
-        self.cache: dict[str, list[int]] = {}
-
-    def _learn(self, tokens: list[str]) -> dict[str, list[int]]:
-        """Ids of pre-tokens: a pre-token that is itself in the vocabulary is that piece, others are merged."""
-        found, rest = {}, []
-        for token in tokens:
-            whole = self.whole.get(token.encode())
-            if whole is None:
-                rest.append(token)
-            else:
-                found[token] = [whole]
-        visible = [t.encode().decode("latin-1").translate(self.alphabet) for t in rest]
-        found.update(zip(rest, self.processor.encode(visible, out_type=int, num_threads=1), strict=True))
-        return found
-
-    def encode(self, text: str) -> list[int]:
-        tokens = self.find(text)
-        cache = self.cache
-        new = [t for t in dict.fromkeys(tokens) if t not in cache]
-        if new:
-            learnt = self._learn(new)
-            if len(cache) + len(new) > CACHED_TOKENS:
-                cache = {t: cache[t] for t in dict.fromkeys(tokens) if t in cache}
-                self.cache = {}
-            if cache is not self.cache or len(new) > CACHED_TOKENS // 2:
-                return list(chain.from_iterable(map((cache | learnt).__getitem__, tokens)))
-            self.cache.update((t, ids) for t, ids in learnt.items() if len(t) <= LONGEST_CACHED)
-            long = {t: ids for t, ids in learnt.items() if len(t) > LONGEST_CACHED}
-            if long:
-                return list(chain.from_iterable(long[t] if t in long else cache[t] for t in tokens))
-        return list(chain.from_iterable(map(cache.__getitem__, tokens)))
-
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.piece_bytes.__getitem__, ids))
+        pieces = [bytes(back[c] for c in self.processor.id_to_piece(i)) for i in range(self.processor.get_piece_size() - 1)]
+        self.known: dict[str, list[int]] = {}
+        self.whole = {token: i for i, token in enumerate(pieces)}
+        self.pieces = pa.array(pieces, pa.binary())
+        self.decimal = pa.array([b"%d " % i for i in range(len(pieces))], pa.binary())
+
+    def _merge(self, tokens: list[str]) -> list[list[int]]:
+        """Ids of distinct pre-tokens: one that is itself in the vocabulary is that piece, others are merged.
+
+        What earlier runs have merged is kept as long as it is at most KNOWN_TOKENS pre-tokens.
+        """
+        out = list(map(self.known.get, tokens))
+        rest = [t for t, ids in zip(tokens, out, strict=True) if ids is None]
+        whole = [self.whole.get(t.encode()) for t in rest]
+        visible = [t.encode().decode("latin-1").translate(self.alphabet) for t, i in zip(rest, whole, strict=True) if i is None]
+        merged = iter(self.processor.encode(visible, out_type=int, num_threads=1))
+        new = {t: next(merged) if i is None else [i] for t, i in zip(rest, whole, strict=True)}
+        if len(self.known) + len(new) > KNOWN_TOKENS:
+            self.known = {}
+        if len(new) <= KNOWN_TOKENS:
+            self.known.update(new)
+        return [new[t] if ids is None else ids for t, ids in zip(tokens, out, strict=True)]
+
+    def _run(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a run of pre-tokens and how many each has."""
+        coded = pa.array(tokens, pa.string()).dictionary_encode()
+        merged = self._merge(coded.dictionary.to_pylist())
+        codes = coded.indices.to_numpy()
+        length = np.fromiter(map(len, merged), np.int64, len(merged))
+        flat = np.fromiter(chain.from_iterable(merged), np.int32, int(length.sum()))
+        counts = length[codes]
+        ends = counts.cumsum()
+        shift = (length.cumsum() - length)[codes] - (ends - counts)
+        return flat[np.repeat(shift, counts) + np.arange(int(counts.sum()))], counts
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and where each text ends; pre-tokens are held for one run at a time."""
+        ids, counts, run, bounds, n = [], [], [], [], 0
+        for text in texts:
+            matches = (m.group() for m in self.pattern.finditer(text)) if len(text) > RUN_TOKENS else None
+            while found := self.pattern.findall(text) if matches is None else list(islice(matches, RUN_TOKENS)):
+                run += found
+                n += len(found)
+                if len(run) >= RUN_TOKENS:
+                    for out, part in zip((ids, counts), self._run(run), strict=True):
+                        out.append(part)
+                    run = []
+                if matches is None:
+                    break
+            bounds.append(n)
+        for out, part in zip((ids, counts), self._run(run), strict=True):
+            out.append(part)
+        ends = np.concatenate([[0], np.concatenate(counts).cumsum()])
+        return np.concatenate(ids), ends[bounds].astype(np.int64)
+
+    def written(self, ids: np.ndarray, ends: np.ndarray, values: pa.Array) -> Iterator[memoryview]:
+        """The bytes that `values` has for the ids of each text, in a row."""
+        out = values.take(pa.array(ids, pa.int32()))
+        offsets = np.frombuffer(out.buffers()[1], np.int32, len(out) + 1, 4 * out.offset) if len(out) else np.zeros(1, np.int32)
+        data = memoryview(out.buffers()[2] or b"")
+        start = 0
+        for end in offsets[ends].tolist():
+            yield data[start:end]
+            start = end
 
 
 @functools.lru_cache(maxsize=2)
@@ -130,26 +157,20 @@ def tokenize(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text",
     """
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(build_model(read_ranks(vocabulary)))
-    added = {"ids": pa.list_(pa.int32())} if with_ids else {}
-    added |= {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
+    added = ["ids"] * with_ids + ["n_tokens", "ids_sha256", "decoded_sha256"]
     kept = docs.drop("ids", "n_tokens", "ids_sha256", "decoded_sha256")
     schema = ", ".join(["`{}` {}".format(f.name.replace("`", "``"), f.dataType.simpleString()) for f in kept.schema])
     schema += (", ids array<int>" if with_ids else "") + ", n_tokens long, ids_sha256 string, decoded_sha256 string"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _loaded(model.value, pattern)
-        decimal = bpe.decimal
         for batch in batches:
-            for part in slices(batch, text):
-                columns: dict[str, list] = {name: [] for name in added}
-                for value in part.column(text):
-                    ids = bpe.encode(value.as_py() or "")
-                    if with_ids:
-                        columns["ids"].append(ids)
-                    columns["n_tokens"].append(len(ids))
-                    columns["ids_sha256"].append(hashlib.sha256(" ".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
-                    columns["decoded_sha256"].append(hashlib.sha256(bpe.decode(ids)).hexdigest())
-                arrays = [*part.columns, *(pa.array(columns[n], t) for n, t in added.items())]
-                yield pa.RecordBatch.from_arrays(arrays, names=[*part.schema.names, *added])
+            for part in slices(batch, text, 2 * SLICE_BYTES):
+                ids, ends = bpe.encode([t or "" for t in part.column(text).to_pylist()])
+                arrays = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids, pa.int32()))] if with_ids else []
+                arrays.append(pa.array(np.diff(ends, prepend=0), pa.int64()))
+                arrays.append(pa.array([hashlib.sha256(d[:-1]).hexdigest() for d in bpe.written(ids, ends, bpe.decimal)], pa.string()))
+                arrays.append(pa.array([hashlib.sha256(d).hexdigest() for d in bpe.written(ids, ends, bpe.pieces)], pa.string()))
+                yield pa.RecordBatch.from_arrays([*part.columns, *arrays], names=[*part.schema.names, *added])
 
     return kept.mapInArrow(encode, schema)
