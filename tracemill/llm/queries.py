@@ -10,8 +10,13 @@ from pyspark.sql import functions as F
 
 from tracemill.llm.byte_bpe import tokenize
 from tracemill.llm.chat_format import format_chats, loss_text, read_chats
-from tracemill.llm.common import table
+from tracemill.llm.common import id_remainder, table
+from tracemill.llm.language_id import fit_sample as fit_languages
+from tracemill.llm.language_id import identify
 from tracemill.llm.mixing import mix_sources
+from tracemill.llm.simhash_dedup import near_duplicates
+from tracemill.llm.toxicity import fit_sample as fit_toxicity
+from tracemill.llm.toxicity import score_toxicity
 from tracemill.llm.url_vocabulary import SOFT_TERMS, STRICT_TERMS, judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,3 +129,25 @@ hits AS (SELECT *, {_rule_sql("rule")} AS rule, {_rule_sql("verdict")} AS action
 SELECT page_id, host, path, rule, strict_hits, soft_hits,
   coalesce(action, CASE WHEN strict_hits > 0 OR soft_hits >= 2 THEN 'block' ELSE 'allow' END) AS verdict FROM hits
 """
+
+
+@query
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = id_remainder("doc_id", 3) == 1
+    found = identify(docs.select("doc_id", "text"), fit_languages(docs, ~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+@query
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = id_remainder("doc_id", 4) == 2
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"), ~held_out)
+    scored = score_toxicity(docs, model).withColumn("held_out", held_out)
+    return scored.select("doc_id", "held_out", "score", "predicted", F.size("toxic_spans").alias("n_spans"))
