@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tracemill.llm.byte_bpe import tokenize
 from tracemill.llm.chat_format import format_chats, loss_text, read_chats
 from tracemill.llm.common import id_remainder, table
+from tracemill.llm.hilbert_ann import nearest
 from tracemill.llm.language_id import fit_sample as fit_languages
 from tracemill.llm.language_id import identify
 from tracemill.llm.mixing import mix_sources
@@ -151,3 +152,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = fit_toxicity(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"), ~held_out)
     scored = score_toxicity(docs, model).withColumn("held_out", held_out)
     return scored.select("doc_id", "held_out", "score", "predicted", F.size("toxic_spans").alias("n_spans"))
+
+
+@query
+def op7_hilbert_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embeddings = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest(embeddings, F.coalesce(F.col("vec_id") % 50 == 0, F.lit(False)))
