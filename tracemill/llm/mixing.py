@@ -36,7 +36,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], budget_share: flo
         "room": F.sum("source_size").over(every) * F.lit(float(budget_share)) - F.coalesce(F.sum("cap").over(reach), F.lit(0.0)),
         "open": F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(reach), F.lit(0.0)),
     })
-    level = F.min(F.when(F.col("room") / F.col("open") <= F.col("cap") / F.col("weight"), F.col("room") / F.col("open"))).over(every)
+    level = F.max(F.when(F.col("room") / F.col("open") <= F.col("cap") / F.col("weight"), F.col("room") / F.col("open"))).over(every)
     rows = rows.withColumn("level", level)
     return rows.select("source", "source_size", F.least("cap", F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target"))
 

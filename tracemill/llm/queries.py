@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from tracemill.llm.byte_bpe import tokenize
 from tracemill.llm.chat_format import format_chats, loss_text, read_chats
 from tracemill.llm.common import id_remainder, table
+from tracemill.llm.decision_list import judge_quality
 from tracemill.llm.hilbert_ann import nearest
+from tracemill.llm.html_extract import extract_main_text
 from tracemill.llm.language_id import fit_sample as fit_languages
 from tracemill.llm.language_id import identify
 from tracemill.llm.mixing import mix_sources
@@ -82,7 +84,7 @@ room AS (
   FROM sizes WINDOW below AS (ORDER BY source_size * 2.0::DOUBLE / weight, encode(source) NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 targets AS (
   SELECT source, CAST(source_size AS BIGINT) AS source_size,
-    least(cap, coalesce(min(CASE WHEN room / open <= cap / weight THEN room / open END) OVER () * weight, cap)) AS target FROM room),
+    least(cap, coalesce(max(CASE WHEN room / open <= cap / weight THEN room / open END) OVER () * weight, cap)) AS target FROM room),
 passes AS (
   SELECT d.*, t.source_size, t.target, pass, (CAST(sum(d.size) OVER (PARTITION BY d.source, pass ORDER BY key, doc_id, d.size ROWS UNBOUNDED PRECEDING) AS BIGINT)
     + pass * t.source_size) / t.target AS finish
@@ -158,3 +160,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_hilbert_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     embeddings = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return nearest(embeddings, F.coalesce(F.col("vec_id") % 50 == 0, F.lit(False)))
+
+
+@query
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+@query
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_quality(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality"))
