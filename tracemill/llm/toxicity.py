@@ -53,9 +53,8 @@ def read_words(texts: pa.Array) -> Words:
         if len(run) > 1 << 20:
             chunks.append(pa.array(run, pa.binary()))
             run = []
-    coded = pa.chunked_array([*chunks, pa.array(run, pa.binary())]).dictionary_encode().unify_dictionaries()
-    codes = np.concatenate([c.indices.to_numpy() for c in coded.chunks])
-    return Words(word_features(coded.chunks[0].dictionary), codes, lengths.cumsum() - lengths, lengths)
+    coded = pa.concat_arrays([*chunks, pa.array(run, pa.binary())]).dictionary_encode()
+    return Words(word_features(coded.dictionary), coded.indices.to_numpy(), lengths.cumsum() - lengths, lengths)
 
 
 def word_features(words: pa.Array) -> np.ndarray:
