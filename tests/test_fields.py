@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracemill.functions import opclass, scalars
 from tracemill.functions.registry import REGISTRY
-from tracemill.operators import encode, matrix, metrics, splits, sweeps
+from tracemill.operators import encode, matrix, metrics, splits, sweeps, windows
 
 
 def one(spark, *cols, **values):
@@ -40,16 +40,22 @@ def test_addresses_above_2_63(spark):
     assert r[2] == "0x8000000000000001"
 
 
-def test_opcode_families(spark):
-    expected = {
-        "MOV": 1, "PUSH": 0x21, "POP": 0x11, "CALL": 0x21, "RET": 0x11, "JNZ": 1, "CMOVNLE": 1, "SETPO": 1, "IMUL": 2, "IDIV": 2, "PADDB": 4, "MOVDQA": 4,
-        "LDDQU": 0x14, "MOVNTDQ": 0x24, "MOVNTDQA": 0x14, "ADDSD": 8, "MULPD": 0x40, "SQRTSS": 0x40, "VFMADD213PS": 0x40, "MOVNTPS": 0x28, "STOSQ": 0x20,
-        "LODS": 0x10, "MOVS": 0x30, "CMPXCHG": 0x31, "XLAT": 0x11, "CMPSD": 8, "CMPS": 0x31, "MOVSD": 8, "SHLD": 1, "SHUFPS": 8, "PSHUFD": 4, "NOSUCH": 0, "mov": 0, "": 0,
-        "CVTSI2SD": 8, "RCPPS": 8, "RCR": 1, "UCOMISD": 8, "VGATHERDPS": 0x18, "VPSCATTERDQ": 0x24, "XSAVE": 0x20, "BTS": 1, "PSRLDQ": 4, "LOCK_ADD": 0x31,
-    }
-    df = spark.createDataFrame([(k,) for k in expected], "opcode string")
-    got = {r["opcode"]: r["m"] for r in df.select("opcode", opclass.opcode_mask("opcode").alias("m")).collect()}
-    assert got == expected
+def test_opcode_dimension(spark):
+    masks = spark.createDataFrame([("MOV", 1), ("PCMPGTQ", 4), ("MULPD", 0x40), ("MOVNTDQA", 0x14), ("IDIV", 2), ("ADDSD", 8)], "opcode string, mask int")
+    rows = [(i, op, [], []) for i, op in enumerate(["MOV", "PCMPGTQ", "MULPD", "MOVNTDQA", "IDIV", "ADDSD", "NOSUCH", None])]
+    df = spark.createDataFrame(rows, "idx int, opcode string, read_addrs array<long>, write_addrs array<long>")
+    names = ["is_alu", "is_simd", "is_fp_mult_div", "is_mult_div", "is_fp"]
+    got = {r["idx"]: [n for n in names if r[n]] for r in windows.instruction_flags(df, masks).collect()}
+    assert got == {0: ["is_alu"], 1: ["is_simd"], 2: ["is_fp_mult_div"], 3: ["is_simd"], 4: ["is_mult_div"], 5: ["is_fp"], 6: [], 7: []}
+
+
+def test_hex_is_strict(spark):
+    r = one(spark, scalars.hex_to_long("a"), scalars.hex_to_long("b"), scalars.hex_to_long("c"), a="0x10", b="", c="000000000000000000ff")
+    assert r[:] == (16, None, 255)
+    for bad in ("zz", "0x", "11112222333344445", "1 2"):
+        if bad != "0x":
+            with pytest.raises(Exception, match="not a 64-bit hex number"):
+                one(spark, scalars.hex_to_long("a"), a=bad)
 
 
 def test_op_classes(spark):

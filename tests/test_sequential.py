@@ -251,9 +251,12 @@ def test_prefix_sum_and_rank(spark):
         pos[k] += 1
     h = hash_rank(df, [], ["idx"], 1, "r").select("r").collect()
     assert sorted(r["r"] for r in h) == list(range(1000))
+    keyed = df.withColumn("k", F.col("idx") % 3 == 0)
+    few, many = (sorted(map(tuple, hash_rank(keyed, ["k"], ["idx"], 1, "r", "n", bucket_rows=rows).select("idx", "r", "n").collect())) for rows in (1 << 18, 7))
+    assert few == many and {n for _, _, n in few} == {334, 666}
 
 
-def test_dim_join_spreads_and_keeps_rows(spark):
+def test_dim_join_keeps_rows(spark):
     big = spark.range(900).select(F.when(F.col("id") < 600, 1).otherwise(F.col("id") % 5).cast("int").alias("k"), F.lit("same").alias("x"))
     dim = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     for how in ("left", "inner", "left_semi", "left_anti"):
@@ -262,7 +265,8 @@ def test_dim_join_spreads_and_keeps_rows(spark):
 
 def test_block_product(spark):
     a, b = spark.range(3).withColumnRenamed("id", "x"), spark.range(50).withColumnRenamed("id", "y")
-    assert {(r["x"], r["y"]) for r in block_product(a, b, ["y"]).collect()} == {(x, y) for x in range(3) for y in range(50)}
+    for pairs in (None, 10):
+        assert {(r["x"], r["y"]) for r in block_product(a, b, ["y"], pairs).collect()} == {(x, y) for x in range(3) for y in range(50)}
 
 
 def front(points):
@@ -353,6 +357,10 @@ def test_samples(spark):
     assert design.sample_grid(spark, 5, 9, small).select("a", "b").distinct().count() == 5
     with pytest.raises(ValueError):
         design.sample_grid(spark, 10**21, 9)
+    every = design.permute_grid(spark.range(6), "id", 9, small).select("a", "b").distinct()
+    assert every.count() == 6
+    with pytest.raises(Exception, match="only 6 points"):
+        design.permute_grid(spark.range(7), "id", 9, small).collect()
     h = design.latin_hypercube(spark.range(80), "id", 3, {"fetch_width": SEARCH_GRID["fetch_width"], "int_reg_issue_width": list(range(1, 9))})
     counts = [x["count"] for x in h.groupBy("int_reg_issue_width").count().collect()]
     assert counts == [10] * 8  # 80 strata over 8 values

@@ -25,10 +25,14 @@ def percent_error(pred: str | Column, actual: str | Column) -> Column:
     return F.abs(pred - actual) / (F.abs(actual) + F.lit(PERCENT_EPS)) * F.lit(100.0)
 
 
+HEX_DIGITS = "^0*[0-9a-fA-F]{1,16}$"
+
+
 def hex_to_long(c: str | Column) -> Column:
-    """Unsigned 64-bit hex text as a two's-complement BIGINT."""
+    """Unsigned 64-bit hex text as a two's-complement BIGINT; blank is NULL, other text fails the job."""
     digits = F.regexp_replace(F.trim(col_of(c)), "^0[xX]", "")
-    return F.conv(digits, 16, -10).cast("bigint")
+    fault = F.raise_error(F.concat(F.lit("not a 64-bit hex number: "), col_of(c)))
+    return F.when(digits.rlike(HEX_DIGITS), F.conv(digits, 16, -10).cast("bigint")).when(digits != "", fault)
 
 
 def long_to_hex(c: str | Column) -> Column:

@@ -60,6 +60,9 @@ def _pick(values: list, digit: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (digit + 1).cast("int"))
 
 
+PERMUTE_ROUNDS = 6
+
+
 def _contiguous(values: list) -> bool:
     return all(isinstance(v, int) for v in values) and values == list(range(values[0], values[0] + len(values)))
 
@@ -88,20 +91,36 @@ def distinct_draws(ids: DataFrame, id_col: str, n: int, seed: int | str, grid: d
     return ranked.filter(F.col("_rank") < n).drop("_rank")
 
 
-def sample_grid(spark: SparkSession, n: int, seed: int | str, grid: dict[str, list] = SEARCH_GRID) -> DataFrame:
-    """n distinct uniform configurations of a grid that may have far more than 2^63 points.
+def permute_grid(ids: DataFrame, id_col: str, seed: int | str, grid: dict[str, list] = SEARCH_GRID) -> DataFrame:
+    """A different grid point for every id from 0 up to the grid's size, in an order that looks random.
 
-    Sparse samples draw five percent more than needed and drop repeats. A sample of a
-    twentieth of the grid or more ranks the whole (then small) grid by hash instead.
+    The grid is cut into two halves below 2^63 points. The id's place in them is shuffled by
+    rounds that add a hash of one half to the other, modulo its size; every round can be
+    undone, so no two ids meet. Only expressions over each row: nothing is drawn twice,
+    ranked or shuffled, however large the share of the grid that is asked for.
     """
+    names = list(grid)
+    halves = [{p: grid[p] for p in names[:len(names) // 2]}, {p: grid[p] for p in names[len(names) // 2:]}]
+    sizes = [reduce(lambda a, v: a * len(v), half.values(), 1) for half in halves]
+    if max(sizes) >= 2**62:
+        raise ValueError("half of the grid has 2^62 points or more")
+    out = ids.select(id_col, F.pmod(F.col(id_col), F.lit(sizes[1])).alias("_1"), F.expr(f"`{id_col}` DIV {sizes[1]}L").alias("_0"))
+    text = f"the grid has only {sizes[0] * sizes[1]} points"
+    out = out.filter(must((F.col(id_col) >= 0) & (F.col("_0") < sizes[0]), text, F.lit(True)))
+    for r in range(PERMUTE_ROUNDS):
+        to, by = r % 2, (r + 1) % 2
+        mixed = F.pmod(F.col(f"_{to}") + F.pmod(hash_long([f"_{by}"], f"{seed}|{r}"), F.lit(sizes[to])), F.lit(sizes[to]))
+        out = settle(out, {f"_{to}": mixed})
+    return decode_index(decode_index(out, "_0", halves[0]), "_1", halves[1]).select(
+        id_col, *names, *[F.lit(v).alias(p) for p, v in FIXED_PARAMS.items() if p not in grid])
+
+
+def sample_grid(spark: SparkSession, n: int, seed: int | str, grid: dict[str, list] = SEARCH_GRID) -> DataFrame:
+    """n distinct configurations (column draw and the parameters); one rule for any n up to the grid's size."""
     size = reduce(lambda a, v: a * len(v), grid.values(), 1)
-    if n * 20 >= size:
-        if size > 10**9:
-            raise ValueError(f"n is too large for a grid of {size} points")
-        cells = hash_rank(spark.range(size).withColumnRenamed("id", "draw"), [], ["draw"], seed, "_rank")
-        return decode_index(cells.filter(F.col("_rank") < n).drop("_rank"), "draw", grid)
-    draws = spark.range(int(n * 1.05) + 200).withColumnRenamed("id", "draw")
-    return distinct_draws(draws, "draw", n, seed, grid)
+    if n > min(size, 2**63 - 1):
+        raise ValueError(f"n is too large for a grid of {size} points")
+    return permute_grid(spark.range(n).withColumnRenamed("id", "draw"), "draw", seed, grid)
 
 
 def decode_index(df: DataFrame, index: str, grid: dict[str, list] = SEARCH_GRID) -> DataFrame:
@@ -135,15 +154,20 @@ def sample_configs(ids: DataFrame, id_col: str, seed: int | str, registry: Regis
 def latin_hypercube(ids: DataFrame, id_col: str, seed: int | str, grid: dict[str, list] = SEARCH_GRID) -> DataFrame:
     """One draw per stratum in every dimension, snapped to the grid.
 
-    The stratum of a draw is its rank under a hash that differs per dimension.
+    The stratum of a draw is its rank under a hash that differs per dimension. All
+    dimensions are ranked together, as rows (dimension, id), and folded back once.
     """
-    out = ids.select(id_col)
-    for p, values in grid.items():
-        out = hash_rank(out, [], [id_col], f"{seed}|{p}", "_rank", "_total")
-        u = (F.col("_rank") + hash_uniform([id_col], f"{seed}|{p}|u")) / F.col("_total")
-        digit = F.least(F.floor(u * len(values)), F.lit(len(values) - 1))
-        out = out.withColumn(p, grid_value(values, digit)).drop("_rank", "_total")
-    return out
+    dims = F.explode(F.array(*[F.lit(p) for p in grid]))
+    long = ids.select(id_col, dims.alias("_dim"))
+    hashed = F.md5(F.concat_ws("|", F.col(id_col).cast("string"), F.lit(str(seed)), F.col("_dim")))
+    ranked = hash_rank(long, ["_dim"], [id_col], seed, "_rank", "_total", hashed)
+    parts = [F.max(F.when(F.col("_dim") == p, F.col("_rank"))).alias(f"_r_{p}") for p in grid]
+    out = ranked.groupBy(id_col).agg(F.first("_total").alias("_total"), *parts)
+    values = {}
+    for p, choices in grid.items():
+        u = (F.col(f"_r_{p}") + hash_uniform([id_col], f"{seed}|{p}|u")) / F.col("_total")
+        values[p] = grid_value(choices, F.least(F.floor(u * len(choices)), F.lit(len(choices) - 1)))
+    return out.select(id_col, *[v.alias(p) for p, v in values.items()])
 
 
 # ---------------------------------------------------------------- feasibility, repair, cost

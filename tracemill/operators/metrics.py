@@ -32,13 +32,13 @@ def error_report(df: DataFrame, params: list[str], pred: str = "predicted_cpi",
 
 
 def variance_decomposition(df: DataFrame, x: str = "cpi", group: str = "benchmark") -> DataFrame:
-    """Total, between-group and within-group sum of squares and their shares; two mergeable aggregations."""
+    """Total, between-group and within-group sum of squares and their shares (NaN where nothing varies)."""
     g = df.groupBy(group).agg(F.count(x).alias("n"), F.avg(x).alias("m"), (F.var_pop(x) * F.count(x)).alias("ss"))
-    mean = F.sum(F.col("m") * F.col("n")) / F.sum("n")
-    between = F.sum(F.col("n") * F.col("m") * F.col("m")) - mean * mean * F.sum("n")
-    out = g.agg(F.sum("n").alias("n"), F.sum("ss").alias("ss_within"), F.greatest(between, F.lit(0.0)).alias("ss_between"))
+    mean = g.agg((F.sum(F.col("m") * F.col("n")) / F.sum("n")).alias("m")).scalar()
+    between = F.sum(F.col("n") * F.pow(F.col("m") - mean, F.lit(2.0)))
+    out = g.agg(F.sum("n").alias("n"), F.sum("ss").alias("ss_within"), between.alias("ss_between"))
     out = out.withColumn("ss_total", F.col("ss_within") + F.col("ss_between"))
-    share = lambda c: F.when(F.col("ss_total") > 0, F.col(c) / F.col("ss_total")).otherwise(F.lit(0.0))
+    share = lambda c: F.when(F.col("ss_total") > 0, F.col(c) / F.col("ss_total")).otherwise(F.lit(float("nan")))
     return out.withColumn("between_share", share("ss_between")).withColumn("within_share", share("ss_within"))
 
 
@@ -153,10 +153,10 @@ def run_summary(metrics: DataFrame) -> DataFrame:
     return known.select(mask.alias("mask"), label.alias("label"), tts.alias("tts"), *keep).orderBy(F.asc_nulls_last("best_percent_error"), "label")
 
 
-def ablation_report(runs: DataFrame, n_rows: int) -> DataFrame:
+def ablation_report(runs: DataFrame, n_rows: int | Column) -> DataFrame:
     """Training size and best error per label group: the label before its split suffix."""
     group = F.split("label", "_tts0.")[0]
-    size = F.floor(F.lit(n_rows) * (F.lit(1.0) - F.col("tts").cast("double")) + F.lit(1e-9)).cast("bigint")
+    size = F.floor((n_rows if isinstance(n_rows, Column) else F.lit(n_rows)) * (F.lit(1.0) - F.col("tts").cast("double")) + F.lit(1e-9)).cast("bigint")
     return runs.withColumn("label_group", group).withColumn("training_size", size).groupBy("label_group", "training_size").agg(
         F.min("best_percent_error").alias("best_percent_error")
     )

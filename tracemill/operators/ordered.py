@@ -14,14 +14,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracemill.functions.scalars import col_of, hash_hex
-from tracemill.session import cut_lineage
 
 SEGMENT_ROWS = 1 << 20      # rows of one key that a window may sort in one task
 BUCKET_ROWS = 1 << 18       # distinct values of one group before it is split by value
-VALUE_BUCKETS = 256         # pieces a large group is split into
-JOIN_SALTS = 8              # pieces a join key of the large side is split into
-BROADCAST_BYTES = 64 << 20  # largest dimension that is broadcast after counting its rows
-ESTIMATE_BYTES = 10 << 20   # largest dimension that is broadcast on Spark's estimate alone
+VALUE_BUCKETS = 4096        # most pieces that a large group is split into by value
+BLOCK_PAIRS = 1 << 22       # combinations that one block of a product makes
 
 
 def _before(w: W) -> W:
@@ -111,16 +108,20 @@ def bucketed_rank(
 
 def hash_rank(
     df: DataFrame, keys: list[str], row_key: list[str], seed: int | str, out: str,
-    total: str | None = None, digits: int = 3,
+    total: str | None = None, hashed: Column | None = None, bucket_rows: int | None = None,
 ) -> DataFrame:
-    """Random but reproducible position inside each key: order of md5(row key, seed).
+    """Random but reproducible position inside each key: order of md5(row key, seed), or of another hex hash.
 
-    Hash values are uniform, so their leading hex digits are balanced buckets even
-    when one key holds most rows. `row_key` must be unique.
+    Hash values are uniform, so equal ranges of them are balanced buckets even when one key
+    holds most rows. A key of n rows gets n / bucket_rows of them. `row_key` must be unique.
     """
-    hashed = df.withColumn("_h", hash_hex(row_key, seed))
-    bucket = F.substring("_h", 1, digits)
-    return bucketed_rank(hashed, keys, bucket, ["_h", *row_key], out, total).drop("_h")
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
+    sized = df.join(sizes, keys) if keys else df.withColumn("_size", sizes.scalar())
+    pieces = F.ceil(F.col("_size") / F.lit(bucket_rows or BUCKET_ROWS))
+    with_hash = sized.withColumn("_h", hash_hex(row_key, seed) if hashed is None else hashed)
+    bucket = F.floor(F.conv(F.substring("_h", 1, 8), 16, 10).cast("double") * pieces / F.lit(float(1 << 32)))
+    ranked = bucketed_rank(with_hash, keys, bucket, ["_h", *row_key], out).drop("_h")
+    return ranked.withColumnRenamed("_size", total) if total else ranked.drop("_size")
 
 
 def prefix_length(length: int | Column, holds: Callable[[Column], Column], longest: int) -> Column:
@@ -146,68 +147,42 @@ def value_buckets(df: DataFrame, keys: list[str], x: str, out: str, limit: int |
 
     Split points come from a mergeable quantile sketch of the groups above `limit` rows
     only, so equal values share a bucket and no group is gathered whole. A group gets one
-    split point per `limit` rows, so all of them together number at most rows / limit:
-    that bound is why they are broadcast and `df` is not shuffled for the lookup.
+    split point per `limit` rows, up to VALUE_BUCKETS; whether the split points are
+    broadcast is decided by their size at run time.
     """
     limit = limit or BUCKET_ROWS
     large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
     points = F.array(*[F.lit(i / VALUE_BUCKETS) for i in range(1, VALUE_BUCKETS)])
-    sketch = df.select(*keys, x).join(F.broadcast(large), keys).groupBy(*keys, "_n").agg(
-        F.percentile_approx(x, points, F.lit(10000)).alias("_sketch")
+    sketch = df.select(*keys, x).join(large, keys).groupBy(*keys, "_n").agg(
+        F.percentile_approx(x, points, F.lit(20 * VALUE_BUCKETS)).alias("_sketch")
     )
     wanted = F.least(F.ceil(F.col("_n") / F.lit(limit)) - 1, F.lit(VALUE_BUCKETS - 1)).cast("int")
     thinned = F.transform(F.sequence(F.lit(1), wanted), lambda i: F.get("_sketch", (i * VALUE_BUCKETS / (wanted + 1)).cast("int") - 1))
     cuts = sketch.select(*keys, thinned.alias("_cuts"))
-    return df.join(F.broadcast(cuts), keys, "left").withColumn(out, bucket_number("_cuts", x)).drop("_cuts")
+    return df.join(cuts, keys, "left").withColumn(out, bucket_number("_cuts", x)).drop("_cuts")
 
 
-def _row_bytes(df: DataFrame) -> int:
-    """Generous in-memory size of one row: text and arrays count as 2 KiB each."""
-    fixed = {"byte": 1, "short": 2, "integer": 4, "long": 8, "float": 4, "double": 8, "boolean": 1, "date": 4, "timestamp": 8}
-    return 32 + sum(fixed.get(f.dataType.typeName(), 2048) for f in df.schema.fields)
+def dim_join(big: DataFrame, dim: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+    """Equi-join of a large side with a per-key dimension; building it runs no job.
 
-
-def small_enough(dim: DataFrame) -> tuple[DataFrame, bool]:
-    """(dimension, whether it may be broadcast). Spark's own estimate decides when it is small already;
-    otherwise the dimension is computed once into the checkpoint folder and its rows are counted.
+    The strategy is left to Spark's sizes at run time: a dimension that turns out small is
+    broadcast below spark.sql.autoBroadcastJoinThreshold, and partitions of a hot key are
+    split by the adaptive skew join, which can split the large side of these join types.
     """
-    estimate = int(str(dim._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if estimate <= ESTIMATE_BYTES:
-        return dim, True
-    kept = cut_lineage(dim)
-    return kept, kept.count() * _row_bytes(kept) <= BROADCAST_BYTES
-
-
-def dim_join(big: DataFrame, dim: DataFrame, on: list[str], how: str = "left", salts: int | None = None, check: bool = True) -> DataFrame:
-    """Equi-join of a large side with a per-key dimension.
-
-    A dimension whose size is checked to be small is broadcast, so the large side is not
-    shuffled. Beyond the bound the key is salted, so one hot key is spread over `salts`
-    tasks. `check=False` skips the check (and its job) and always salts.
-    """
-    salts = salts or JOIN_SALTS
     if how not in ("left", "inner", "left_semi", "left_anti"):
-        raise ValueError(f"a salted join keeps the large side; {how!r} does not")
-    if check:
-        dim, small = small_enough(dim)
-        if small:
-            return big.join(F.broadcast(dim), on, how)
-    spread = F.pmod(F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in _hashable(big)]), F.lit(salts)) + F.spark_partition_id(), F.lit(salts))
-    left = big.withColumn("_salt", spread.cast("int"))
-    right = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*on, "_salt"], how).drop("_salt")
-
-
-def _hashable(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if f.dataType.typeName() not in ("map", "variant")]
+        raise ValueError(f"the large side must be kept or filtered; {how!r} does neither")
+    return big.join(dim, on, how)
 
 
-def block_product(left: DataFrame, right: DataFrame, right_key: list[str], blocks: int = 32) -> DataFrame:
+def block_product(left: DataFrame, right: DataFrame, right_key: list[str], block_pairs: int | None = None) -> DataFrame:
     """Every (left, right) combination through an equi-join on a block number.
 
-    `right` rows are dealt over `blocks` by hash and `left` is repeated once per
-    block, so the work is spread evenly and the left side should be the small one.
+    `right` rows are dealt over blocks by hash and `left` is repeated once per block, so the
+    work is spread evenly and the left side should be the small one. The number of blocks
+    follows the counted rows, so a block makes about `block_pairs` combinations.
     """
-    dealt = right.withColumn("_block", F.pmod(F.xxhash64(*right_key), F.lit(blocks)).cast("int"))
-    repeated = left.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    rows = lambda df: df.select(F.count(F.lit(1)).alias("n")).scalar()
+    blocks = F.greatest(F.ceil(rows(left) * rows(right) / F.lit(float(block_pairs or BLOCK_PAIRS))), F.lit(1))
+    dealt = right.withColumn("_block", F.pmod(F.xxhash64(*right_key), blocks))
+    repeated = left.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
     return repeated.join(dealt, "_block").drop("_block")

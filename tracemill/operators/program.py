@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.functions.opclass import FU_GROUPS, fu_group
-from tracemill.functions.scalars import safe_div
+from tracemill.functions.scalars import must, safe_div
 from tracemill.operators.encode import distribution, small_domain_percentiles
 from tracemill.operators.ordered import dim_join, last_before
 from tracemill.operators.windows import block_id, lag_delta
+from tracemill.session import cut_lineage
 
 PAGE_BITS = 12              # fixed value: 4 KiB pages
 DEP_WINDOW = 16             # fixed value: a dependency farther than this counts as independent
@@ -230,7 +231,11 @@ def program_features(
     trace: DataFrame, dep_window: int = DEP_WINDOW, crit_threshold: int = CRIT_THRESHOLD,
     stride_min_samples: int = STRIDE_MIN_SAMPLES, segment_rows: int | None = None,
 ) -> DataFrame:
-    """One row of 30 features per trace; all plain counts come from one scan."""
+    """One row of 30 features per trace; all plain counts come from one scan.
+
+    The trace is read and placed once: its rows are kept in the checkpoint folder for the parts.
+    """
+    trace = cut_lineage(trace)
     checked = with_fu_group(trace).withColumn("fu_group", _known_group())
     counts = checked.groupBy("trace_id").agg(
         *_mix_columns(), *_branch_columns(), *_sync_columns(), *_memory_columns(), *_hazard_columns()
@@ -253,7 +258,7 @@ def resolve_dependencies(trace: DataFrame) -> DataFrame:
     """
     last_row = trace.groupBy("trace_id", "ip").agg(F.max("idx").alias("dep_idx")).withColumnRenamed("ip", "dep")
     wanted = trace.select("trace_id", "idx", F.explode_outer(F.array_distinct(F.concat("reg_deps", "mem_deps"))).alias("dep"))
-    found = dim_join(wanted, last_row, ["trace_id", "dep"], "left", check=False)
+    found = dim_join(wanted, last_row, ["trace_id", "dep"], "left")
     return found.groupBy("trace_id", "idx").agg(
         F.array_sort(F.collect_set(F.when(F.col("dep_idx") < F.col("idx"), F.col("dep_idx")))).alias("deps")
     )
@@ -267,13 +272,10 @@ def attach_latency(trace: DataFrame, latency: DataFrame) -> DataFrame:
     config = ["l1i_kb", "l1d_kb", "l2_kb"]
     n_trace = trace.groupBy("trace_id").agg(F.count(F.lit(1)).alias("_rows"))
     n_lat = latency.groupBy("trace_id", *config).agg(F.count(F.lit(1)).alias("_lat"))
-    sizes = n_lat.join(n_trace, "trace_id", "left").select(
-        "trace_id", *config,
-        F.when(F.col("_rows") == F.col("_lat"), F.lit(True)).otherwise(
-            F.raise_error(F.concat(F.lit("latency length differs from the trace: "), F.col("trace_id").cast("string")))
-        ).alias("_ok"),
-    )
-    checked = dim_join(latency, sizes, ["trace_id", *config], "inner", check=False).filter("_ok").drop("_ok")
+    text = F.concat(F.lit("latency length differs from the trace: "), F.col("trace_id").cast("string"))
+    wrong = n_lat.join(n_trace, "trace_id", "left").filter(must(F.col("_rows") == F.col("_lat"), text, F.lit(False)))
+    # The check is one aggregate per (trace, configuration); the rows themselves are joined once.
+    checked = latency.withColumn("_wrong", wrong.select(F.count(F.lit(1)).alias("n")).scalar()).filter("_wrong = 0").drop("_wrong")
     return trace.join(checked, ["trace_id", "idx"])
 
 

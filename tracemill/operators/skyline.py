@@ -9,9 +9,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracemill.functions.scalars import must
-from tracemill.operators.ordered import VALUE_BUCKETS, bucket_number, bucketed_rank
+from tracemill.operators.ordered import bucket_number, bucketed_rank
 from tracemill.session import cut_lineage
 
+RANGES = 256  # value ranges of the first objective whose best points are compared first
+
 
 def _bucket(df: DataFrame, x: str, buckets: int) -> DataFrame:
     """Adds `_b`, the value range of `x` (equal values together), from a mergeable quantile sketch."""
@@ -26,7 +28,7 @@ def _first_best(df: DataFrame, f0: str, f1: str, tie_break: list[str]) -> DataFr
     return df.groupBy(F.col(f0).alias("_f0")).agg(F.min_by(whole, F.struct(f1, *tie_break)).alias("_row"), F.min(f1).alias("_f1"))
 
 
-def pareto_front(df: DataFrame, f0: str, f1: str, tie_break: list[str] = (), buckets: int = VALUE_BUCKETS) -> DataFrame:
+def pareto_front(df: DataFrame, f0: str, f1: str, tie_break: list[str] = (), buckets: int = RANGES) -> DataFrame:
     """Rows that no other row beats in both objectives (smaller is better); equal points collapse to one.
 
     f0 is cut into ranges and the best f1 of every range is collected: two scans that
@@ -46,8 +48,8 @@ def pareto_front(df: DataFrame, f0: str, f1: str, tie_break: list[str] = (), buc
     return firsts.withColumn("_in", inside).filter(F.col("_in").isNull() | (F.col("_f1") < F.col("_in"))).select("_row.*").drop("_b")
 
 
-def pareto_layers(df: DataFrame, f0: str, f1: str, row_key: list[str], n_target: int, max_layers: int | None = None, buckets: int = VALUE_BUCKETS) -> DataFrame:
-    """Successive fronts, numbered from 0, until at least `n_target` rows are collected.
+def pareto_layers(df: DataFrame, f0: str, f1: str, row_key: list[str], n_target: int, buckets: int = RANGES) -> DataFrame:
+    """Successive fronts, numbered from 0, until at least `n_target` rows are collected or no row is left.
 
     `row_key` must be unique; a copy of a front point belongs to a later layer. A row that
     follows a chain of L ranges with non-decreasing best f1, all at most its own f1, cannot
@@ -57,12 +59,11 @@ def pareto_layers(df: DataFrame, f0: str, f1: str, row_key: list[str], n_target:
     cut = _bucket(df, f0, buckets)
     best = sorted((r["_b"], r["_m"]) for r in cut.groupBy("_b").agg(F.min(f1).alias("_m")).collect())  # one row per range
     found, collected, layer, depth = None, 0, 0, 8
-    stop = max_layers if max_layers is not None else float("inf")
-    while collected < n_target and layer < stop:
+    while collected < n_target:
         near = cut.withColumn("_limit", _chain_limit(best, depth)).filter(F.col("_limit").isNull() | (F.col("_limit") > F.col(f1)))
         near = cut_lineage(near.drop("_b", "_limit"))
         before = layer
-        while collected < n_target and layer < min(stop, depth):
+        while collected < n_target and layer < depth:
             rest = near if found is None else near.join(found.select(*row_key), row_key, "left_anti")
             front = cut_lineage(pareto_front(rest, f0, f1, row_key, buckets).withColumn("layer", F.lit(layer)))
             n = front.count()
@@ -70,7 +71,7 @@ def pareto_layers(df: DataFrame, f0: str, f1: str, row_key: list[str], n_target:
                 break
             found = front if found is None else found.unionByName(front)
             collected, layer = collected + n, layer + 1
-        if layer < min(stop, depth) and (layer == before or collected < n_target):
+        if layer < depth and (layer == before or collected < n_target):
             break
         depth *= 2
     return df.limit(0).withColumn("layer", F.lit(0)) if found is None else found
@@ -108,7 +109,7 @@ def final_front(archives: list[DataFrame], config: list[str], valid: Column, f0:
 
 def flag_validation(front: DataFrame, k: int, cpi: str = "cpi", cost: str = "cost", tie_break: list[str] = ()) -> DataFrame:
     """Marks the CPI optimum, the cost optimum and up to k - 2 points evenly spaced along the cost order."""
-    cut = _bucket(front, cost, VALUE_BUCKETS)
+    cut = _bucket(front, cost, RANGES)
     ranked = bucketed_rank(cut, [], F.col("_b"), [cost, cpi, *tie_break], "_pos", "_n").drop("_b")
     best = front.agg(F.min(F.struct(cpi, cost, *tie_break)).alias("b")).scalar()
     extra = max(0, k - 2)
@@ -136,7 +137,7 @@ def rank_pick(df: DataFrame, keys: list[str], order: list[str | Column], n: int
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
 
 
-def thin_series(df: DataFrame, pos: str, total: str, limit: int = 200) -> DataFrame:
+def thin_series(df: DataFrame, pos: str, total: str, limit: int) -> DataFrame:
     """Rows at `limit` evenly spaced positions (both ends included); short series stay whole."""
     last, steps = F.col(total) - 1, limit - 1
     i = F.ceil(F.col(pos) * F.lit(steps) / last)

@@ -7,18 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.functions.opclass import fu_group, mask_flags, opcode_dim
+from tracemill.functions.opclass import fu_group, mask_flags
 from tracemill.functions.registry import REGISTRY, Registry
-from tracemill.operators.ordered import last_before, prefix_sum
+from tracemill.operators.ordered import dim_join, last_before, prefix_sum
 
 WINDOW_ROWS = 400  # fixed value: default window length
 
 
-def instruction_flags(trace: DataFrame) -> DataFrame:
+def instruction_flags(trace: DataFrame, opcodes: DataFrame | None = None) -> DataFrame:
     """is_load, is_store, first addresses, sync flag and the execution-class flags.
 
-    Execution classes come from the opcode mnemonic when the trace has one, else
-    from the functional-unit group of the operation class.
+    Execution classes come from `opcodes` (opcode, mask: category bits, one row a mnemonic)
+    when it is given; mnemonics that it doesn't list have none. Without it they come from
+    the functional-unit group of the operation class.
     """
     out = (
         trace.withColumn("is_load", F.size("read_addrs") > 0)
@@ -26,9 +27,8 @@ def instruction_flags(trace: DataFrame) -> DataFrame:
         .withColumn("load_addr", F.get("read_addrs", F.lit(0)))
         .withColumn("store_addr", F.get("write_addrs", F.lit(0)))
     )
-    if "opcode" in trace.columns:
-        # The mnemonics of an instruction set number a few thousand: a fixed bound.
-        out = out.join(F.broadcast(opcode_dim(trace)), "opcode", "left")
+    if opcodes is not None:
+        out = dim_join(out, opcodes.select("opcode", "mask"), ["opcode"]).withColumn("mask", F.coalesce("mask", F.lit(0)))
         return out.select("*", *[f.alias(n) for n, f in mask_flags().items()]).drop("mask")
     group = fu_group("op_class")
     return (
@@ -64,9 +64,9 @@ def count_columns() -> list[Column]:
     return [F.count(F.lit(1)).alias("size"), *[F.count_if(c()).alias(n) for n, c in COUNTED.items()]]
 
 
-def window_counts(trace: DataFrame, k: int = WINDOW_ROWS) -> DataFrame:
+def window_counts(trace: DataFrame, k: int = WINDOW_ROWS, opcodes: DataFrame | None = None) -> DataFrame:
     """One row per (trace, window): its size and the number of rows of each class."""
-    flagged = trace if "is_load" in trace.columns else instruction_flags(trace)
+    flagged = trace if "is_load" in trace.columns else instruction_flags(trace, opcodes)
     return ordinal_windows(flagged, k).groupBy("trace_id", "window_id").agg(*count_columns())
 
 

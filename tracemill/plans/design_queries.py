@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -100,6 +102,29 @@ def _(spark, sf_dir):
     return design.distinct_draws(b.table(spark, sf_dir, "orders"), "o_orderkey", 1000, 7, _SMALL)
 
 
+def _permute_sql(names: list[str]) -> str:
+    """Places of o_orderkey in the two halves of the grid after the rounds of permute_grid."""
+    halves = [names[:len(names) // 2], names[len(names) // 2:]]
+    sizes = [math.prod(len(SEARCH_GRID[p]) for p in half) for half in halves]
+    sql = f"SELECT o_orderkey, o_orderkey // {sizes[1]} AS p0, o_orderkey % {sizes[1]} AS p1 FROM orders"
+    for r in range(design.PERMUTE_ROUNDS):
+        to, by = r % 2, (r + 1) % 2
+        mixed = f"(p{to} + CAST(('0x' || substr(md5(concat_ws('|', CAST(p{by} AS VARCHAR), '7|{r}')), 1, 13)) AS BIGINT) % {sizes[to]}) % {sizes[to]} AS p{to}"
+        sql = f"SELECT o_orderkey, p{by}, {mixed} FROM ({sql})"
+    cols = []
+    for i, half in enumerate(halves):
+        stride = 1
+        for p in reversed(half):
+            cols.append(_grid_sql(p, f"(p{i} // {stride} % {len(SEARCH_GRID[p])})"))
+            stride *= len(SEARCH_GRID[p])
+    return f"SELECT o_orderkey, {', '.join(cols)}, 1 AS simd_unit_issue_width FROM ({sql})"
+
+
+@query("h2_sample_grid", _permute_sql(list(SEARCH_GRID)))
+def _(spark, sf_dir):
+    return design.permute_grid(b.table(spark, sf_dir, "orders"), "o_orderkey", 7)
+
+
 @query(
     "h3_decode_index",
     """SELECT o_orderkey, CAST(o_orderkey // 240 % 12 + 1 AS INT) AS fetch_width, CAST(o_orderkey // 20 % 12 + 1 AS INT) AS decode_width,
@@ -126,7 +151,7 @@ def _(spark, sf_dir):
     return rounded(design.sample_configs(b.table(spark, sf_dir, "orders"), "o_orderkey", 7))
 
 
-_HYPER = {p: SEARCH_GRID[p] for p in ("rob_size", "fetch_width", "l1d_size")}
+_HYPER = SEARCH_GRID
 
 
 def _hyper_sql(p: str) -> str:
@@ -152,25 +177,26 @@ def _(spark, sf_dir):
     return skyline.pareto_front(b.points(spark, sf_dir), "cost", "cpi", ["pid"]).select("cost", "cpi")
 
 
-N_LAYERS, N_TARGET = 8, 60
-
-
-def _layers_sql() -> str:
-    ctes = ["l0 AS (SELECT cost, cpi, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS rid FROM (SELECT l_extendedprice AS cost, 51.0E0 - l_quantity AS cpi, l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem))"]
-    for i in range(N_LAYERS):
-        ctes.append(f"y{i} AS (SELECT * FROM (SELECT *, min(cpi) OVER (ORDER BY cost, cpi, rid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM l{i}) WHERE m IS NULL OR cpi < m)")
-        ctes.append(f"l{i + 1} AS (SELECT l{i}.* FROM l{i} ANTI JOIN y{i} USING (rid))")
-    parts = " UNION ALL ".join(f"SELECT {i} AS layer, cost, cpi FROM y{i}" for i in range(N_LAYERS))
-    sizes = ", ".join(f"(SELECT count(*) FROM y{i})" for i in range(N_LAYERS))
-    return f"WITH {', '.join(ctes)}, a AS ({parts}), z AS (SELECT [{sizes}] AS n) SELECT layer, cost, cpi FROM a, z WHERE layer = 0 OR list_sum(n[:layer]) < {N_TARGET}"
+N_TARGET = 60
+_PEEL = "min(cpi) OVER (ORDER BY cost, cpi, rid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m"
 
 
-@query("f2_pareto_layers", _layers_sql())
+@query(
+    "f2_pareto_layers",
+    f"""WITH RECURSIVE pts AS (SELECT cost, cpi, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS rid
+        FROM (SELECT l_extendedprice AS cost, 51.0E0 - l_quantity AS cpi, l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem)),
+      peel AS (
+        SELECT 0 AS layer, rid, cost, cpi, on_front, sum(on_front::INT) OVER () AS taken FROM (SELECT *, coalesce(cpi < m, true) AS on_front FROM (SELECT *, {_PEEL} FROM pts))
+        UNION ALL
+        SELECT layer + 1, rid, cost, cpi, on_front, taken + sum(on_front::INT) OVER ()
+        FROM (SELECT *, coalesce(cpi < m, true) AS on_front FROM (SELECT layer, rid, cost, cpi, taken, {_PEEL} FROM peel WHERE NOT on_front AND taken < {N_TARGET})))
+      SELECT CAST(layer AS INT) AS layer, cost, cpi FROM peel WHERE on_front""",
+)
 def _(spark, sf_dir):
     li = b.table(spark, sf_dir, "lineitem")
     key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
     pts = li.select(*key, F.col("l_extendedprice").alias("cost"), (F.lit(51.0) - F.col("l_quantity")).alias("cpi"))
-    return skyline.pareto_layers(pts, "cost", "cpi", key, N_TARGET, N_LAYERS).select("layer", "cost", "cpi")
+    return skyline.pareto_layers(pts, "cost", "cpi", key, N_TARGET).select("layer", "cost", "cpi")
 
 
 PRICED = f"pc AS (SELECT *, round({COST_SQL}, 4) AS cost FROM c)"
@@ -228,7 +254,7 @@ def _(spark, sf_dir):
     from tracemill.operators.ordered import SEGMENT_ROWS, bucketed_rank
     o = b.table(spark, sf_dir, "orders").withColumn("run_id", F.col("o_custkey") % 20)
     ranked = bucketed_rank(o, ["run_id"], F.floor(F.col("o_orderkey") / SEGMENT_ROWS), ["o_orderkey"], "pos", "n")
-    return skyline.thin_series(ranked, "pos", "n").select("run_id", "pos")
+    return skyline.thin_series(ranked, "pos", "n", 200).select("run_id", "pos")
 
 
 # ---------------------------------------------------------------- inference, scoring, sensitivity

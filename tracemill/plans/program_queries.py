@@ -202,7 +202,8 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     t = b.trace(spark, sf_dir)
     op = F.when(F.col("op_class") == "MemRead", "MOVNTDQA").when(F.col("op_class") == "MemWrite", "PUSH").when(F.col("op_class") == "FloatMult", "MULPD").otherwise("IMUL")
-    flagged = windows.instruction_flags(t.withColumn("opcode", op))
+    masks = spark.createDataFrame([("MOVNTDQA", 0x14), ("PUSH", 0x21), ("MULPD", 0x40), ("IMUL", 0x02)], "opcode string, mask int")
+    flagged = windows.instruction_flags(t.withColumn("opcode", op), masks)
     return flagged.select("trace_id", "idx", "opcode", "is_alu", "is_mult_div", "is_simd", "is_fp", "is_fp_mult_div")
 
 

@@ -59,12 +59,12 @@ def _(spark, sf_dir):
 
 @query(
     "i5_ablation_report",
-    f"""{_SUMMARY} SELECT string_split(label, '_tts0.')[1] AS label_group, CAST(floor(36864 * (1.0E0 - CAST(tts AS DOUBLE)) + 1e-9) AS BIGINT) AS training_size, round(min(best_percent_error), 6) AS best_percent_error
+    f"""{_SUMMARY} SELECT string_split(label, '_tts0.')[1] AS label_group, CAST(floor((SELECT count(*) FROM lineitem) * (1.0E0 - CAST(tts AS DOUBLE)) + 1e-9) AS BIGINT) AS training_size, round(min(best_percent_error), 6) AS best_percent_error
       FROM rs WHERE tts <> '' GROUP BY ALL""",
 )
 def _(spark, sf_dir):
     s = metrics.run_summary(_records(spark, sf_dir)).filter(F.col("tts") != "")
-    return rounded(metrics.ablation_report(s, 4096 * 9))
+    return rounded(metrics.ablation_report(s, b.table(spark, sf_dir, "lineitem").select(F.count(F.lit(1)).alias("n")).scalar()))
 
 
 # Run summaries as text in each of the five block layouts. A log holds 64 orders by

@@ -30,6 +30,31 @@ def _(spark, sf_dir):
     return counts(spark, sf_dir)
 
 
+# Category bits of some opcode mnemonics (the dimension that a caller supplies).
+OPCODES = [
+    ("ADD", 0x01), ("CMP", 0x01), ("JNZ", 0x01), ("PUSH", 0x21), ("POP", 0x11), ("IMUL", 0x02), ("IDIV", 0x02), ("PADDB", 0x04), ("PCMPGTQ", 0x04),
+    ("VPTEST", 0x04), ("MOVNTDQA", 0x14), ("ADDSD", 0x08), ("CVTSI2SD", 0x08), ("UCOMISD", 0x08), ("MULPD", 0x40), ("SQRTSS", 0x40), ("STOSQ", 0x20),
+]
+UNKNOWN = "UNLISTED"
+_NAMES = [name for name, _ in OPCODES] + [UNKNOWN]
+_MASK = "CASE opcode " + " ".join(f"WHEN '{name}' THEN {mask}" for name, mask in OPCODES) + " ELSE 0 END"
+OPCODE_COUNTS_SQL = f"""o AS (SELECT *, list_extract({_NAMES}, CAST((ip // 4 + idx) % {len(_NAMES)} + 1 AS BIGINT)) AS opcode FROM t), m AS (SELECT *, {_MASK} AS mask FROM o),
+  g AS (SELECT trace_id, CAST(idx // {K} AS BIGINT) AS window_id, count(*) AS size, count(*) FILTER (mask & 1 > 0) AS n_alu, count(*) FILTER (mask & 2 > 0) AS n_mult_div,
+    count(*) FILTER (mask & 8 > 0) AS n_fp, count(*) FILTER (mask & 64 > 0) AS n_fp_mult_div FROM m GROUP BY ALL)"""
+
+
+def opcode_counts(spark, sf_dir):
+    """Window counts of the trace with a mnemonic on every row, classed by the caller's dimension."""
+    place = (F.floor(F.col("ip") / 4) + F.col("idx")) % len(_NAMES)
+    t = b.trace(spark, sf_dir).withColumn("opcode", F.element_at(F.array(*[F.lit(n) for n in _NAMES]), (place + 1).cast("int")))
+    return windows.window_counts(t, K, spark.createDataFrame(OPCODES, "opcode string, mask int"))
+
+
+@query("e2_opcode_counts", f"WITH {b.T_SQL}, {OPCODE_COUNTS_SQL} SELECT * FROM g")
+def _(spark, sf_dir):
+    return opcode_counts(spark, sf_dir).select("trace_id", "window_id", "size", "n_alu", "n_mult_div", "n_fp", "n_fp_mult_div")
+
+
 @query("e1_ordinal_windows", f"WITH {b.T_SQL} SELECT trace_id, CAST(idx // {K} AS BIGINT) AS window_id, min(idx) AS first_idx, max(idx) AS last_idx FROM t GROUP BY ALL")
 def _(spark, sf_dir):
     w = windows.ordinal_windows(b.trace(spark, sf_dir), K)
@@ -58,6 +83,15 @@ for _name, _resource, _n, _top in [
 ]:
     query(_name, f"{WITH_COUNTS} {_issue_sql(_n, _top)}")(_issue_query(_resource))
 
+def _opcode_issue_query(resource):
+    def run(spark, sf_dir):
+        return rounded(windows.issue_throughput(opcode_counts(spark, sf_dir), resource).select("trace_id", "p0", "window_id", "thr"))
+    return run
+
+
+for _name, _resource, _n in [("e4_opcode_mult_div", "alu_mult_div_issue", "n_mult_div"), ("e4_opcode_fp", "fp_issue", "n_fp")]:
+    query(_name, f"WITH {b.T_SQL}, {OPCODE_COUNTS_SQL} {_issue_sql(_n, 8)}")(_opcode_issue_query(_resource))
+
 _LOWER = "CASE WHEN n_load + n_store = 0 THEN size ELSE size / (n_load / CAST(p0 + p1 AS DOUBLE) + n_store / CAST(p0 AS DOUBLE)) END"
 _UPPER = """CASE WHEN n_load + n_store = 0 THEN size ELSE size / (n_store / CAST(p0 AS DOUBLE)
   + greatest(0.0E0, n_load - n_store / CAST(p0 AS DOUBLE) * p1) / CAST(p0 + p1 AS DOUBLE)) END"""

@@ -25,15 +25,21 @@ TRACE_COLUMNS = [
     "Write Addresses", "Memory Dependent IPs",
 ]
 LATENCY_COLUMNS = ["Fetch Latency", "Execution Latency"]
+REQUIRED_COLUMNS = ["IP", "Category"]
 
-TRACE_FILE = r"([^/]+?)(?:\.trace)?\.csv(?:\.gz)?$"     # file name without its endings
+TRACE_FILE = r"([^/]+?)(?:/trace)?(?:\.trace)?\.csv(?:\.gz)?$"  # file name without its endings; of <trace>/trace.csv the folder
 ROW_FILE = r"row_(\d+)(?:_[^/]*)?\.trace\.csv(?:\.gz)?$"  # row id of a sampled trace
 TRACE_DIR = r"/trace_id=([^/]+)/[^/]*$"                  # folder written by the annotated writer
 
 
 def typed_trace(raw: DataFrame, keep: list[str]) -> DataFrame:
-    """Text columns of a trace file -> typed columns; missing optional latencies become 0."""
-    require_columns(raw, TRACE_COLUMNS, "trace file")
+    """Text columns of a trace file -> typed columns, by name.
+
+    Only the address and the category are required: other missing columns read as blank
+    (no branch, empty lists, latency 0), columns of other names are ignored.
+    """
+    require_columns(raw, REQUIRED_COLUMNS, "trace file")
+    raw = raw.withColumns({c: F.lit(None).cast("string") for c in TRACE_COLUMNS if c not in raw.columns})
 
     def latency(name: str) -> Column:
         if name not in raw.columns:
@@ -57,6 +63,12 @@ def typed_trace(raw: DataFrame, keep: list[str]) -> DataFrame:
     )
 
 
+def file_place() -> Column:
+    """Order of file blocks inside a trace: part files by number, then by name, then by offset."""
+    part = F.coalesce(F.regexp_extract("_file", r"/part-(\d+)[^/]*$", 1).try_cast("bigint"), F.lit(-1).cast("bigint"))
+    return F.struct(part.alias("part"), "_file", "_start")
+
+
 def read_traces(spark: SparkSession, path: str | list[str], id_pattern: str = TRACE_FILE) -> DataFrame:
     """Typed trace rows with `trace_id` (from the path) and `idx`, the row's position in its trace.
 
@@ -70,7 +82,7 @@ def read_traces(spark: SparkSession, path: str | list[str], id_pattern: str = TR
         "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
         F.monotonically_increasing_id().alias("_mid"),
     ).withColumn("trace_id", F.regexp_extract("_file", id_pattern, 1))
-    ranked = bucketed_rank(placed, ["trace_id"], F.struct("_file", "_start"), ["_mid"], "idx")
+    ranked = bucketed_rank(placed, ["trace_id"], file_place(), ["_mid"], "idx")
     return typed_trace(ranked, ["trace_id", F.col("idx").cast("bigint").alias("idx")])
 
 

@@ -7,20 +7,28 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from tracemill.functions.scalars import parse_name_list
 from tracemill.operators.ordered import bucketed_rank
 from tracemill.operators.program import program_features
 from tracemill.operators.windows import COUNTED, WINDOW_ROWS, count_columns, instruction_flags, ordinal_windows, window_counts
-from tracemill.sources.traces import LATENCY_COLUMNS, TRACE_COLUMNS, TRACE_FILE, typed_trace
+from tracemill.sources.traces import LATENCY_COLUMNS, TRACE_COLUMNS, TRACE_FILE, file_place, typed_trace
+from tracemill.session import cut_lineage
 
 STREAM_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in [*TRACE_COLUMNS, *LATENCY_COLUMNS]])
 
 
 def _bad_row():
     """Rows the typed reader would reject."""
-    kind = F.trim(F.coalesce("Branch Type", F.lit("")))
-    known = kind.isin("", "direct_conditional", "direct_unconditional", "indirect")
-    hexa = F.coalesce(F.trim("IP").rlike("^(0[xX])?[0-9a-fA-F]{1,16}$"), F.lit(False))
-    return ~known | ~hexa | (F.trim(F.coalesce("Category", F.lit(""))) == "")
+    text = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    known = text("Branch Type").isin("", "direct_conditional", "direct_unconditional", "indirect")
+    address = lambda c: c.rlike("^(0[xX])?0*[0-9a-fA-F]{1,16}$")
+    bad = ~known | (text("Category") == "") | ~address(text("IP"))
+    bad |= (text("Branch Target Address") != "") & ~address(text("Branch Target Address"))
+    for c in ("Register Dependent IPs", "Read Addresses", "Write Addresses", "Memory Dependent IPs"):
+        bad |= F.exists(parse_name_list(c), lambda x: ~address(F.trim(F.split_part(x, F.lit("("), F.lit(1)))))
+    for c in LATENCY_COLUMNS:
+        bad |= (text(c) != "") & text(c).try_cast("int").isNull()
+    return bad
 
 
 def ingest_traces_stream(
@@ -45,8 +53,8 @@ def ingest_traces_stream(
         broken = status.filter(F.col("bad_rows") > 0)
         broken.write.mode("overwrite").parquet(f"{failed}/batch={batch_id}")
         good = rows.join(broken, "trace_id", "left_anti")
-        ranked = bucketed_rank(good, ["trace_id"], F.struct("_file", "_start"), ["_mid"], "idx")
-        trace = typed_trace(ranked, ["trace_id", F.col("idx").cast("bigint").alias("idx")])
+        ranked = bucketed_rank(good, ["trace_id"], file_place(), ["_mid"], "idx")
+        trace = cut_lineage(typed_trace(ranked, ["trace_id", F.col("idx").cast("bigint").alias("idx")]))
         program_features(trace).write.mode("overwrite").parquet(f"{features}/batch={batch_id}")
         window_counts(trace, k).write.mode("overwrite").parquet(f"{windows}/batch={batch_id}")
 
