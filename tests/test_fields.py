@@ -138,24 +138,25 @@ def test_lookup_missing_key(spark):
 def test_splits_are_disjoint_and_complete(spark):
     rows = [(i, f"b{i % 3}", i % 20, i % 7) for i in range(400)]
     df = spark.createDataFrame(rows, "id int, benchmark string, region int, cfg int")
-    for train, test in [
+    for split in [
         splits.random_split(df, ["id"], 0.25, 1), splits.random_split(df, ["id"], 0.25, 1, exact=False), splits.holdout_configs(df, ["cfg"], 0.5, 1),
         splits.holdout_regions(df, 0.25, 1), splits.holdout_benchmark(df, "b1", ["id"], 10, 1), splits.stratified_split(df, "id", 5, 0.2, ["id"], 1),
     ]:
+        train, test = splits.parts(split)
         a, b = {r["id"] for r in train.collect()}, {r["id"] for r in test.collect()}
         assert not a & b and len(a | b) == 400 and b
-    train, test = splits.holdout_configs(df, ["cfg"], 0.5, 1)
-    splits.assert_no_leak(train, test, ["cfg"], ["benchmark", "region"], ["shared_configs", "shared_rows"])
+    held = splits.holdout_configs(df, ["cfg"], 0.5, 1)
+    splits.assert_no_leak(held, ["cfg"], ["benchmark", "region"], ["shared_configs", "shared_rows"])
     with pytest.raises(ValueError, match="overlap"):
-        splits.assert_no_leak(train, test, ["cfg"], ["benchmark", "region"], ["shared_regions"])
+        splits.assert_no_leak(held, ["cfg"], ["benchmark", "region"], ["shared_regions"])
 
 
 def test_split_errors(spark):
     df = spark.createDataFrame([(1, "a", 1), (2, "a", 2)], "id int, benchmark string, region int")
     with pytest.raises(Exception, match="no test region"):
-        splits.holdout_regions(df, 0.25, 1)[1].collect()
+        splits.holdout_regions(df, 0.25, 1).collect()
     with pytest.raises(Exception, match="too few rows"):
-        splits.holdout_benchmark(df, "a", ["id"], onboard=5)[1].collect()
+        splits.holdout_benchmark(df, "a", ["id"], onboard=5).collect()
 
 
 def test_stratified_sample_size(spark):

@@ -2,7 +2,8 @@
 
 Random order is md5(key, seed), so a split does not depend on partitioning and can
 be recomputed anywhere. Exact counts come from `hash_rank`, which never sorts more
-than one hash bucket per task.
+than one hash bucket per task. A split is one DataFrame with a column `part`, `train`
+or `test`; rows of neither part are not in it. `parts` makes two DataFrames of it.
 """
 
 from __future__ import annotations
@@ -16,30 +17,32 @@ from tracemill.functions.scalars import hash_hex, hash_uniform, must
 from tracemill.operators.encode import distribution
 from tracemill.operators.ordered import dim_join, hash_rank
 
-Split = tuple[DataFrame, DataFrame]
-
 
 def _test_count(total: str, test: float) -> Column:
     """Rows of the test part: the share rounded up."""
     return F.ceil(F.lit(test) * F.col(total) - F.lit(1e-9))
 
 
-def random_split(df: DataFrame, key: list[str], test: float, seed: int | str, exact: bool = True) -> Split:
+def _part(is_test: Column) -> Column:
+    return F.when(is_test, F.lit("test")).otherwise(F.lit("train"))
+
+
+def parts(split: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Train and test rows of a split. Whoever reads both should keep the split first."""
+    return split.filter("part = 'train'").drop("part"), split.filter("part = 'test'").drop("part")
+
+
+def random_split(df: DataFrame, key: list[str], test: float, seed: int | str, exact: bool = True) -> DataFrame:
     """Share `test` of the rows, exactly (ranked) or in expectation (threshold, no shuffle)."""
     if not exact:
-        u = hash_uniform(key, seed)
-        return df.filter(u >= test), df.filter(u < test)
+        return df.withColumn("part", _part(hash_uniform(key, seed) < test))
     ranked = hash_rank(df, [], key, seed, "_rank", "_total")
-    is_test = F.col("_rank") < _test_count("_total", test)
-    return ranked.filter(~is_test).drop("_rank", "_total"), ranked.filter(is_test).drop("_rank", "_total")
-
-
-def _flag(df: DataFrame, chosen: DataFrame, on: list[str]) -> DataFrame:
-    return dim_join(df, chosen.select(*on).withColumn("_test", F.lit(True)), on, "left")
+    return ranked.withColumn("part", _part(F.col("_rank") < _test_count("_total", test))).drop("_rank", "_total")
 
 
-def _parts(flagged: DataFrame) -> Split:
-    return flagged.filter(F.col("_test").isNull()).drop("_test"), flagged.filter(F.col("_test")).drop("_test")
+def _held_out(df: DataFrame, chosen: DataFrame, on: list[str]) -> DataFrame:
+    flagged = dim_join(df, chosen.select(*on).withColumn("_test", F.lit(True)), on, "left")
+    return flagged.withColumn("part", _part(F.col("_test").isNotNull())).drop("_test")
 
 
 def chosen_configs(df: DataFrame, config: list[str], frac: float, seed: int | str) -> DataFrame:
@@ -47,9 +50,9 @@ def chosen_configs(df: DataFrame, config: list[str], frac: float, seed: int | st
     return ranked.filter(F.col("_rank") < F.floor(F.lit(frac) * F.col("_total"))).select(*config)
 
 
-def holdout_configs(df: DataFrame, config: list[str], frac: float, seed: int | str) -> Split:
+def holdout_configs(df: DataFrame, config: list[str], frac: float, seed: int | str) -> DataFrame:
     """Whole configurations move to the test part."""
-    return _parts(_flag(df, chosen_configs(df, config, frac, seed), config))
+    return _held_out(df, chosen_configs(df, config, frac, seed), config)
 
 
 def chosen_regions(df: DataFrame, frac: float, seed: int | str, region: str = "region") -> DataFrame:
@@ -60,21 +63,21 @@ def chosen_regions(df: DataFrame, frac: float, seed: int | str, region: str = "r
     return ranked.filter(must(n > 0, text, F.col("_rank") < n)).select("benchmark", region)
 
 
-def holdout_regions(df: DataFrame, frac: float, seed: int | str, region: str = "region") -> Split:
+def holdout_regions(df: DataFrame, frac: float, seed: int | str, region: str = "region") -> DataFrame:
     """A share of each benchmark's regions moves to the test part; too few regions fail the job."""
-    return _parts(_flag(df, chosen_regions(df, frac, seed, region), ["benchmark", region]))
+    return _held_out(df, chosen_regions(df, frac, seed, region), ["benchmark", region])
 
 
-def holdout_both(df: DataFrame, config: list[str], config_frac: float, region_frac: float, seed: int | str, region: str = "region") -> Split:
+def holdout_both(df: DataFrame, config: list[str], config_frac: float, region_frac: float, seed: int | str, region: str = "region") -> DataFrame:
     """Test: held-out configurations in held-out regions; train: neither."""
     cfg = chosen_configs(df, config, config_frac, seed).withColumn("_c", F.lit(True))
     reg = chosen_regions(df, region_frac, seed, region).withColumn("_r", F.lit(True))
     flagged = dim_join(dim_join(df, cfg, config, "left"), reg, ["benchmark", region], "left")
-    train = flagged.filter(F.col("_c").isNull() & F.col("_r").isNull()).drop("_c", "_r")
-    return train, flagged.filter(F.col("_c") & F.col("_r")).drop("_c", "_r")
+    one_side = F.col("_c").isNull() == F.col("_r").isNull()
+    return flagged.filter(one_side).withColumn("part", _part(F.col("_c").isNotNull())).drop("_c", "_r")
 
 
-def holdout_benchmark(df: DataFrame, name: str, key: list[str], onboard: int = 0, seed: int | str = 0, train_benchmarks: list[str] | None = None) -> Split:
+def holdout_benchmark(df: DataFrame, name: str, key: list[str], onboard: int = 0, seed: int | str = 0, train_benchmarks: list[str] | None = None) -> DataFrame:
     """One benchmark is the test set; `onboard` of its rows may return to training.
 
     Fails when the benchmark has no row left for the test set.
@@ -83,18 +86,18 @@ def holdout_benchmark(df: DataFrame, name: str, key: list[str], onboard: int = 0
     if train_benchmarks is not None:
         train = train.filter(F.col("benchmark").isin(train_benchmarks))
     pool = hash_rank(df.filter(F.col("benchmark") == name), [], key, seed, "_rank", "_total")
-    enough = must(F.col("_total") > onboard, f"benchmark {name} has too few rows to onboard {onboard}", F.lit(True))
-    pool = pool.filter(enough)
-    moved = pool.filter(F.col("_rank") < onboard).drop("_rank", "_total")
-    return train.unionByName(moved), pool.filter(F.col("_rank") >= onboard).drop("_rank", "_total")
+    pool = pool.filter(must(F.col("_total") > onboard, f"benchmark {name} has too few rows to onboard {onboard}", F.lit(True)))
+    pool = pool.withColumn("part", _part(F.col("_rank") >= onboard)).drop("_rank", "_total")
+    return train.withColumn("part", F.lit("train")).unionByName(pool)
 
 
-def single_benchmark_split(df: DataFrame, name: str, key: list[str], test: float, seed: int | str, others: list[str] | None = None) -> Split:
+def single_benchmark_split(df: DataFrame, name: str, key: list[str], test: float, seed: int | str, others: list[str] | None = None) -> DataFrame:
     """Split inside one benchmark; rows of the `others` join the training part."""
-    train, held = random_split(df.filter(F.col("benchmark") == name), key, test, seed)
+    split = random_split(df.filter(F.col("benchmark") == name), key, test, seed)
     if others:
-        train = train.unionByName(df.filter(F.col("benchmark").isin(others) & (F.col("benchmark") != name)))
-    return train, held
+        more = df.filter(F.col("benchmark").isin(others) & (F.col("benchmark") != name))
+        split = split.unionByName(more.withColumn("part", F.lit("train")))
+    return split
 
 
 def _first_by_hash(df: DataFrame, group: list[str], key: list[str], seed: int | str) -> DataFrame:
@@ -140,12 +143,10 @@ def quantile_bins(df: DataFrame, x: str, q: int, out: str = "bin") -> DataFrame:
     return df.withColumn("_e", edges).withColumn(out, F.greatest(below - 1, F.lit(0))).drop("_e")
 
 
-def stratified_split(df: DataFrame, x: str, bins: int, test: float, key: list[str], seed: int | str) -> Split:
+def stratified_split(df: DataFrame, x: str, bins: int, test: float, key: list[str], seed: int | str) -> DataFrame:
     """Random split inside each quantile bin of `x`."""
     ranked = hash_rank(quantile_bins(df, x, bins, "_bin"), ["_bin"], key, seed, "_rank", "_total")
-    is_test = F.col("_rank") < _test_count("_total", test)
-    drop = ["_bin", "_rank", "_total"]
-    return ranked.filter(~is_test).drop(*drop), ranked.filter(is_test).drop(*drop)
+    return ranked.withColumn("part", _part(F.col("_rank") < _test_count("_total", test))).drop("_bin", "_rank", "_total")
 
 
 def shared_keys(train: DataFrame, test: DataFrame, on: list[str]) -> DataFrame:
@@ -153,26 +154,31 @@ def shared_keys(train: DataFrame, test: DataFrame, on: list[str]) -> DataFrame:
     return train.select(*on).distinct().join(test.select(*on).distinct(), on, "left_semi")
 
 
-def leak_report(train: DataFrame, test: DataFrame, config: list[str], region: list[str]) -> DataFrame:
-    """One row: duplicate keys in and across the parts, shared configurations, shared regions."""
-    row = [*config, *region]
-
-    def duplicates(df: DataFrame) -> DataFrame:
-        return df.groupBy(*row).agg((F.count(F.lit(1)) - 1).alias("d")).agg(F.coalesce(F.sum("d"), F.lit(0)).alias("n"))
-
-    parts = {
-        "train_duplicates": duplicates(train), "test_duplicates": duplicates(test),
-        "shared_rows": shared_keys(train, test, row).agg(F.count(F.lit(1)).alias("n")),
-        "shared_configs": shared_keys(train, test, config).agg(F.count(F.lit(1)).alias("n")),
-        "shared_regions": shared_keys(train, test, region).agg(F.count(F.lit(1)).alias("n")),
-    }
-    long = reduce(DataFrame.unionAll, [d.select(F.lit(k).alias("check"), "n") for k, d in parts.items()])
-    return long.groupBy().pivot("check", list(parts)).agg(F.first("n"))
+def leak_report(split: DataFrame, config: list[str], region: list[str]) -> DataFrame:
+    """One row: duplicate keys in and across the parts, shared configurations, shared regions.
 
-
-def assert_no_leak(train: DataFrame, test: DataFrame, config: list[str], region: list[str], checks: list[str]) -> None:
+    The split is read once: rows are counted by key in each part, and configurations and regions from those counts.
+    """
+    row = [*config, *region]
+    n_train, n_test = F.count_if(F.col("part") == "train"), F.count_if(F.col("part") == "test")
+    by_row = split.groupBy(*row).agg(n_train.alias("_train"), n_test.alias("_test"))
+    levels = F.explode(F.array(*[F.lit(x) for x in ("row", "config", "region")]))
+    long = by_row.withColumn("_level", levels)
+    for c in row:
+        hidden = F.col("_level") == ("region" if c in config and c not in region else "config" if c in region and c not in config else "")
+        long = long.withColumn(c, F.when(~hidden, F.col(c)))
+    counts = long.groupBy("_level", *row).agg(F.sum("_train").alias("_train"), F.sum("_test").alias("_test"))
+    shared = lambda level: F.count_if((F.col("_level") == level) & (F.col("_train") > 0) & (F.col("_test") > 0))
+    twice = lambda c: F.coalesce(F.sum(F.when((F.col("_level") == "row") & (F.col(c) > 1), F.col(c) - 1)), F.lit(0))
+    return counts.agg(
+        twice("_train").alias("train_duplicates"), twice("_test").alias("test_duplicates"), shared("row").alias("shared_rows"),
+        shared("config").alias("shared_configs"), shared("region").alias("shared_regions"),
+    )
+
+
+def assert_no_leak(split: DataFrame, config: list[str], region: list[str], checks: list[str]) -> None:
     """Raises when a named count of the leak report is not zero."""
-    found = leak_report(train, test, config, region).first().asDict()
+    found = leak_report(split, config, region).first().asDict()
     broken = {c: found[c] for c in checks if found[c]}
     if broken:
         raise ValueError(f"train and test overlap: {broken}")

@@ -20,18 +20,13 @@ def md5(cols: list[str], seed) -> str:
     return "md5(concat_ws('|', " + ", ".join(f"CAST({c} AS VARCHAR)" for c in cols) + f", '{seed}'))"
 
 
-def part(train, test, cols=None):
-    cols = cols or KEY
-    return train.select(*cols, F.lit("train").alias("part")).unionByName(test.select(*cols, F.lit("test").alias("part")))
-
-
 @query(
     "h6_random_split",
     f"""{WITH_S}, r AS (SELECT {KEYS}, row_number() OVER (ORDER BY {md5(KEY, SEED)}, {KEYS}) - 1 AS rk, count(*) OVER () AS n FROM s)
       SELECT {KEYS}, CASE WHEN rk < ceil(0.25E0 * n) THEN 'test' ELSE 'train' END AS part FROM r""",
 )
 def _(spark, sf_dir):
-    return part(*splits.random_split(b.sweep(spark, sf_dir), KEY, 0.25, SEED))
+    return splits.random_split(b.sweep(spark, sf_dir), KEY, 0.25, SEED).select(*KEY, "part")
 
 
 @query(
@@ -39,7 +34,7 @@ def _(spark, sf_dir):
     f"""{WITH_S} SELECT {KEYS}, CASE WHEN CAST(('0x' || substr({md5(KEY, SEED)}, 1, 13)) AS BIGINT) / 4503599627370496.0E0 < 0.25E0 THEN 'test' ELSE 'train' END AS part FROM s""",
 )
 def _(spark, sf_dir):
-    return part(*splits.random_split(b.sweep(spark, sf_dir), KEY, 0.25, SEED, exact=False))
+    return splits.random_split(b.sweep(spark, sf_dir), KEY, 0.25, SEED, exact=False).select(*KEY, "part")
 
 
 HELD_CFG = f"""hc AS (SELECT {CFGS} FROM (SELECT *, row_number() OVER (ORDER BY {md5(CFG, SEED)}, {CFGS}) - 1 AS rk, count(*) OVER () AS n
@@ -50,12 +45,12 @@ HELD_REG = f"""hr AS (SELECT benchmark, region FROM (SELECT *, row_number() OVER
 
 @query("h7_holdout_configs", f"{WITH_S}, {HELD_CFG} SELECT {KEYS}, 'test' AS part FROM s SEMI JOIN hc USING ({CFGS}) UNION ALL SELECT {KEYS}, 'train' FROM s ANTI JOIN hc USING ({CFGS})")
 def _(spark, sf_dir):
-    return part(*splits.holdout_configs(b.sweep(spark, sf_dir), CFG, 0.25, SEED))
+    return splits.holdout_configs(b.sweep(spark, sf_dir), CFG, 0.25, SEED).select(*KEY, "part")
 
 
 @query("h8_holdout_regions", f"{WITH_S}, {HELD_REG} SELECT {KEYS}, 'test' AS part FROM s SEMI JOIN hr USING (benchmark, region) UNION ALL SELECT {KEYS}, 'train' FROM s ANTI JOIN hr USING (benchmark, region)")
 def _(spark, sf_dir):
-    return part(*splits.holdout_regions(b.sweep(spark, sf_dir), 0.25, SEED))
+    return splits.holdout_regions(b.sweep(spark, sf_dir), 0.25, SEED).select(*KEY, "part")
 
 
 @query(
@@ -64,7 +59,7 @@ def _(spark, sf_dir):
       UNION ALL SELECT {KEYS}, 'train' FROM s ANTI JOIN hr USING (benchmark, region) ANTI JOIN hc USING ({CFGS})""",
 )
 def _(spark, sf_dir):
-    return part(*splits.holdout_both(b.sweep(spark, sf_dir), CFG, 0.25, 0.25, SEED))
+    return splits.holdout_both(b.sweep(spark, sf_dir), CFG, 0.25, 0.25, SEED).select(*KEY, "part")
 
 
 @query(
@@ -73,7 +68,7 @@ def _(spark, sf_dir):
       SELECT {KEYS}, 'train' AS part FROM s WHERE benchmark <> 'b3' UNION ALL SELECT {KEYS}, CASE WHEN rk < 100 THEN 'train' ELSE 'test' END FROM r""",
 )
 def _(spark, sf_dir):
-    return part(*splits.holdout_benchmark(b.sweep(spark, sf_dir), "b3", KEY, onboard=100, seed=SEED))
+    return splits.holdout_benchmark(b.sweep(spark, sf_dir), "b3", KEY, onboard=100, seed=SEED).select(*KEY, "part")
 
 
 @query(
@@ -82,7 +77,7 @@ def _(spark, sf_dir):
       SELECT {KEYS}, 'train' AS part FROM s WHERE benchmark IN ('b1', 'b2') UNION ALL SELECT {KEYS}, CASE WHEN rk < ceil(0.25E0 * n) THEN 'test' ELSE 'train' END FROM r""",
 )
 def _(spark, sf_dir):
-    return part(*splits.single_benchmark_split(b.sweep(spark, sf_dir), "b3", KEY, 0.25, SEED, others=["b1", "b2", "b3"]))
+    return splits.single_benchmark_split(b.sweep(spark, sf_dir), "b3", KEY, 0.25, SEED, others=["b1", "b2", "b3"]).select(*KEY, "part")
 
 
 @query("h11_one_config_per_region", f"{WITH_S} SELECT benchmark, region, {KEYS} FROM s QUALIFY row_number() OVER (PARTITION BY benchmark, region ORDER BY {md5(KEY, SEED)}, {KEYS}) = 1")
@@ -132,7 +127,7 @@ def _(spark, sf_dir):
       SELECT {KEYS}, CASE WHEN rk < ceil(0.25E0 * n) THEN 'test' ELSE 'train' END AS part FROM r""",
 )
 def _(spark, sf_dir):
-    return part(*splits.stratified_split(b.sweep(spark, sf_dir), "cpi", BINS, 0.25, KEY, SEED))
+    return splits.stratified_split(b.sweep(spark, sf_dir), "cpi", BINS, 0.25, KEY, SEED).select(*KEY, "part")
 
 
 def _dups(rows: str) -> str:
@@ -148,8 +143,7 @@ def _dups(rows: str) -> str:
         (SELECT count(*) FROM (SELECT benchmark, region FROM tr INTERSECT SELECT benchmark, region FROM te)) AS shared_regions""",
 )
 def _(spark, sf_dir):
-    train, test = splits.holdout_configs(b.sweep(spark, sf_dir), CFG, 0.25, SEED)
-    return splits.leak_report(train, test, CFG, ["benchmark", "region"])
+    return splits.leak_report(splits.holdout_configs(b.sweep(spark, sf_dir), CFG, 0.25, SEED), CFG, ["benchmark", "region"])
 
 
 @query(
