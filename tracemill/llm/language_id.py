@@ -97,16 +97,18 @@ def fit(texts: list[str], languages: list[str]) -> LanguageModel:
         return LanguageModel(known, codes, np.zeros((BUCKETS, 0), np.float32), np.zeros((2, 0)))
     counts = np.zeros((len(known), BUCKETS))
     array, label = pa.array(texts, pa.string()), np.array([known.index(x) for x in languages])
-    buckets, starts, ends = gram_buckets(array)
-    of_position = np.repeat(label, ends - starts)
-    for own in buckets:
-        counts += np.bincount(of_position * BUCKETS + own, minlength=len(known) * BUCKETS).reshape(len(known), BUCKETS)
+    size = np.array([len(t.encode()) for t in texts])
+    for i, j in _pieces(size, np.arange(len(texts))):  # about 1 MB of text at a time
+        buckets, starts, ends = gram_buckets(array.slice(i, j - i))
+        of_position = np.repeat(label[i:j], ends - starts)
+        for own in buckets:
+            counts += np.bincount(of_position * BUCKETS + own, minlength=counts.size).reshape(counts.shape)
     share = counts / np.maximum(counts.sum(1, keepdims=True), 1)  # languages count alike
     smooth = 0.5 / BUCKETS
     weights = np.stack([np.log((share[c > 0].mean(0) + smooth) / (share[c < 0].mean(0) + smooth)) for c in codes.T], axis=1)
     weights[0] = 0
     weights = weights.astype(np.float32)
-    found = margins(array, weights)
+    found = np.concatenate([margins(array.slice(i, j - i), weights) for i, j in _pieces(size, np.arange(len(texts)))])
     scale = np.array([_logistic(found[:, b], codes[label, b]) for b in range(codes.shape[1])]).T
     return LanguageModel(known, codes, weights, scale)
 
