@@ -10,7 +10,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
+from pyspark.sql import functions as F
 
 HIDDEN = (256, 128)  # fixed values: hidden layer widths
 
@@ -35,8 +35,8 @@ def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
 def score_mlp(df: DataFrame, features: list[str], weights: list[tuple[np.ndarray, np.ndarray]], out: str = "predicted_cpi") -> DataFrame:
     """Forward pass of a ReLU network given as (matrix, bias) per layer, matrices input x output.
 
-    The weights (about 40k numbers) are a broadcast variable; every Arrow batch is one
-    matrix product per layer in single precision.
+    The weights (about 40k numbers) are a broadcast variable; only the features travel to
+    Python, and every Arrow batch is one matrix product per layer in single precision.
     """
     shapes = [(w.shape, b.shape) for w, b in weights]
     if weights[0][0].shape[0] != len(features):
@@ -44,16 +44,16 @@ def score_mlp(df: DataFrame, features: list[str], weights: list[tuple[np.ndarray
     if any(w[1] != b[0] for w, b in shapes) or any(a[0][1] != b[0][0] for a, b in zip(shapes, shapes[1:])):
         raise ValueError(f"layer shapes do not fit: {shapes}")
     shared = df.sparkSession.sparkContext.broadcast([(w.astype(np.float32), b.astype(np.float32)) for w, b in weights])
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())])
 
-    def forward(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("double")
+    def forward(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
         layers = shared.value
         for pdf in batches:
-            x = pdf[features].to_numpy(dtype=np.float32)
+            x = pdf.to_numpy(dtype=np.float32)
             for i, (w, b) in enumerate(layers):
                 x = x @ w + b
                 if i + 1 < len(layers):
                     x = np.maximum(x, 0.0)
-            yield pdf.assign(**{out: x[:, 0].astype(np.float64)})
+            yield pd.Series(x[:, 0].astype(np.float64))
 
-    return df.mapInPandas(forward, schema)
+    return df.withColumn(out, forward(F.struct(*features)))

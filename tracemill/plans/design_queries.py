@@ -287,10 +287,12 @@ def bundles(spark, sf_dir):
 
 
 FEATURES = ["rob_size", "fetch_width", "l1d_size", "reciprocal_rob_size", "stride_prefetcher_degree_4", "prog_mean_value", "cache_fetch_mean", "cache_exec_mean", "bp_misprediction_rate"]
-WIDE_SQL = f"""wi AS (SELECT cid, bp.trace_id, rob_size::DOUBLE AS rob_size, fetch_width::DOUBLE AS fetch_width, ({kb('l1d_size')}) * 1024.0E0 AS l1d_size, 1.0E0 / rob_size AS reciprocal_rob_size,
+# Sizes are parsed once a configuration; {rows} is the table of configurations.
+WIDE_SQL = f"""kk AS MATERIALIZED (SELECT cid, rob_size, fetch_width, stride_prefetcher_degree, branch_predictor, ({kb('l1i_size')}) AS k1i, ({kb('l1d_size')}) AS k1d, ({kb('l2_size')}) AS k2 FROM {{rows}}),
+  bb AS MATERIALIZED (SELECT bc.*, bp.mean_value, br.branch_predictor, br.rate FROM bc JOIN bp USING (trace_id) JOIN br USING (trace_id)),
+  wi AS MATERIALIZED (SELECT cid, bb.trace_id, rob_size::DOUBLE AS rob_size, fetch_width::DOUBLE AS fetch_width, k1d * 1024.0E0 AS l1d_size, 1.0E0 / rob_size AS reciprocal_rob_size,
     CAST(stride_prefetcher_degree = 4 AS INT)::DOUBLE AS stride_prefetcher_degree_4, mean_value AS prog_mean_value, fetch_mean AS cache_fetch_mean, exec_mean AS cache_exec_mean, rate AS bp_misprediction_rate
-  FROM {{rows}} k JOIN bc ON bc.l1i_kb = ({kb('k.l1i_size')}) AND bc.l1d_kb = ({kb('k.l1d_size')}) AND bc.l2_kb = ({kb('k.l2_size')})
-  JOIN bp USING (trace_id) JOIN br ON br.trace_id = bp.trace_id AND br.branch_predictor = k.branch_predictor)"""
+  FROM kk JOIN bb ON bb.l1i_kb = k1i AND bb.l1d_kb = k1d AND bb.l2_kb = k2 AND bb.branch_predictor = kk.branch_predictor)"""
 
 # A fixed linear scorer, so that the SQL text can restate it.
 SCORE_WEIGHTS = {
@@ -450,6 +452,21 @@ def _(spark, sf_dir):
     return rounded(scoring.score_mlp(scaled, ["rob_size", "commit_width"], _network(2)), 4)
 
 
+# A network whose weights and inputs are whole multiples of a power of two: exact in single precision.
+_SMALL_NET = [(np.array([[0.5, -0.25, 0.125], [-1.0, 2.0, 0.5]]), np.array([1.0, -4.0, 0.5])), (np.array([[0.25], [0.5], [-2.0]]), np.array([3.0]))]
+
+
+@query(
+    "i2_score_small_network",
+    f"""WITH {b.S_SQL}, h AS (SELECT {', '.join(b.SWEEP_KEY)}, greatest(0.5E0 * rob_size - commit_width + 1.0E0, 0.0E0) AS h0, greatest(-0.25E0 * rob_size + 2.0E0 * commit_width - 4.0E0, 0.0E0) AS h1,
+        greatest(0.125E0 * rob_size + 0.5E0 * commit_width + 0.5E0, 0.0E0) AS h2 FROM s)
+      SELECT {', '.join(b.SWEEP_KEY)}, 0.25E0 * h0 + 0.5E0 * h1 - 2.0E0 * h2 + 3.0E0 AS predicted_cpi FROM h""",
+)
+def _(spark, sf_dir):
+    s = b.sweep(spark, sf_dir).select(*b.SWEEP_KEY, "rob_size", "commit_width")
+    return scoring.score_mlp(s, ["rob_size", "commit_width"], _SMALL_NET).select(*b.SWEEP_KEY, "predicted_cpi")
+
+
 @query(
     "i1_fit_regressor",
     f"""WITH {b.S_SQL}, tr AS (SELECT * FROM s WHERE region < 40), f AS (SELECT regr_slope(cpi, lq_entries::DOUBLE) AS k, regr_intercept(cpi, lq_entries::DOUBLE) AS b FROM tr)

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracemill.functions.registry import FIXED_PARAMS
-from tracemill.operators import design, skyline
+from tracemill.operators import design, skyline, windows
 from tracemill.operators.program import PROGRAM_FEATURES
 from tracemill.plans import bindings as b
 from tracemill.plans.catalog import query, rounded
@@ -17,8 +17,10 @@ from tracemill.plans.program_queries import (
     BLOCK_SQL, BRANCH_SQL, DELTA_SQL, DEPS_SQL, DEPSTAT_SQL, DIST_SQL, FAN_SQL, HAZARD_SQL, MEMORY_SQL, MIX_SQL, PAGES_SQL, STRIDE_SQL, SYNC_SQL,
 )
 from tracemill.plans.sweep_queries import DIMS_SQL, KEY, KEYS, WITH_S, dims
-from tracemill.plans.trace_queries import K, WITH_COUNTS
+from tracemill.plans.trace_queries import K, THR_SQL, WITH_COUNTS
+from tracemill.plans.trace_queries import counts as trace_counts
 from tracemill.session import scratch_path
+from tracemill.sources import arrays
 from tracemill.sources import runs as run_files
 from tracemill.sources import sweeps as sweep_files
 from tracemill.sources import traces as trace_files
@@ -253,3 +255,21 @@ def _latest(updates):
     """The last update of each window."""
     cols = [c for c in updates.columns if c != "batch"]
     return updates.groupBy("trace_id", "window_id").agg(F.max_by(F.struct(*cols), "batch").alias("r")).select("r.*")
+
+
+@query("a6_latency_arrays", f"""WITH {b.L_SQL} SELECT trace_id, l1i_kb, l1d_kb, l2_kb, row_number() OVER (PARTITION BY trace_id, l1i_kb ORDER BY idx) - 1 AS idx, fetch_lat, exec_lat FROM l""")
+def _(spark, sf_dir):
+    """Latencies as one array file for each trace and configuration, read back."""
+    path = scratch_path(spark, "latency-arrays")
+    arrays.write_latency_arrays(b.latency(spark, sf_dir), path)
+    out = arrays.read_latency_arrays(spark, f"{path}/*/*.npy")
+    return out.withColumns({c: F.col(c).cast("bigint") for c in ("trace_id", "idx", "fetch_lat", "exec_lat")})
+
+
+@query("a7_window_throughput_arrays", f"{THR_SQL} SELECT trace_id, resource, p0, p1, window_id, round(thr, 6) AS thr FROM x")
+def _(spark, sf_dir):
+    """Window throughputs as one matrix file for each trace and resource, read back."""
+    path = scratch_path(spark, "throughput-arrays")
+    arrays.write_window_throughput(windows.window_throughput(trace_counts(spark, sf_dir)), path)
+    out = arrays.read_window_throughput(spark, f"{path}/*/*.npy").drop("cfg_idx")
+    return rounded(out.withColumn("trace_id", F.col("trace_id").cast("bigint")))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import io
+import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -39,6 +41,48 @@ def read_latency_arrays(spark: SparkSession, glob: str, pattern: str = LATENCY_F
     return rows.select(F.regexp_extract("path", pattern, 1).alias("trace_id"), *sizes, "idx", "fetch_lat", "exec_lat")
 
 
+def _local(path: str) -> Path:
+    """A folder of a mounted file system that all executors share."""
+    if "://" in path.replace("file:///", "/") or path.startswith(("hdfs:", "s3a:")):
+        raise ValueError(f"arrays are written to mounted folders only, not to {path}")
+    return Path(path.removeprefix("file://").removeprefix("file:"))
+
+
+def write_latency_arrays(latency: DataFrame, path: str) -> None:
+    """One (N, 2) array for each trace and cache configuration, rows in idx order, in the layout that is read below.
+
+    A file is one array by its format, so a task holds one trace's latencies of one configuration. Files are written
+    under another name and renamed, so a repeated task leaves whole files.
+    """
+    def save(pdf: pd.DataFrame) -> pd.DataFrame:
+        trace, l1i, l1d, l2 = (pdf[c].iloc[0] for c in ("trace_id", "l1i_kb", "l1d_kb", "l2_kb"))
+        array = pdf.sort_values("idx")[["fetch_lat", "exec_lat"]].to_numpy(np.int32)
+        _save(_local(path) / str(trace) / f"l1i_{l1i}_l1d_{l1d}_l2_{l2}_cache_latencies.npy", array)
+        return pd.DataFrame({"rows": [len(array)]})
+
+    latency.groupBy("trace_id", "l1i_kb", "l1d_kb", "l2_kb").applyInPandas(save, "rows bigint").agg(F.sum("rows")).collect()
+
+
+def write_window_throughput(throughput: DataFrame, path: str) -> None:
+    """One parameter-by-window matrix for each trace and resource, in the layout of read_window_throughput."""
+    def save(pdf: pd.DataFrame) -> pd.DataFrame:
+        wide = pdf.pivot(index=["p0", "p1"], columns="window_id", values="thr").sort_index(axis=1)
+        p0, p1 = (wide.index.get_level_values(i).to_numpy() for i in (0, 1))
+        head = [np.full(len(wide), 2.0 if p1.any() else 1.0), p0, *([p1] if p1.any() else [])]
+        _save(_local(path) / str(pdf["trace_id"].iloc[0]) / f"thr_{pdf['resource'].iloc[0]}.npy", np.column_stack([*head, wide.to_numpy()]))
+        return pd.DataFrame({"rows": [len(wide)]})
+
+    throughput.groupBy("trace_id", "resource").applyInPandas(save, "rows bigint").agg(F.sum("rows")).collect()
+
+
+def _save(file: Path, array: np.ndarray) -> None:
+    file.parent.mkdir(parents=True, exist_ok=True)
+    part = file.with_name(f".{uuid.uuid4().hex}.part")
+    with part.open("wb") as out:
+        np.save(out, array)
+    part.replace(file)
+
+
 def read_config_latency_arrays(spark: SparkSession, glob: str) -> DataFrame:
     """(trace_id, cfg_idx, idx, fetch_lat, exec_lat) from (configs, N, 2) arrays."""
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
