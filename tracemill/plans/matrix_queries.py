@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracemill.functions.registry import Param, Registry, Resource
-from tracemill.operators import encode, matrix, similarity
+from tracemill.operators import encode, matrix, similarity, windows
 from tracemill.plans import bindings as b
 from tracemill.plans.catalog import query, rounded
-from tracemill.plans.trace_queries import K, VEC_SQL, WITH_COUNTS
+from tracemill.plans.trace_queries import K, THR_SQL, VEC_SQL, WITH_COUNTS
+from tracemill.plans.trace_queries import counts as trace_counts
 
 # Three swept resources over the throughputs of `w`, one parameter each.
 REG = Registry(
@@ -61,15 +62,15 @@ STALL_SQL = f"""{WITH_COUNTS}, sc AS (SELECT trace_id, 0 AS kind, n_sync AS x FR
     UNION ALL SELECT trace_id, 2, n_direct_uncond FROM g UNION ALL SELECT trace_id, 3, n_indirect FROM g)"""
 
 
-def encode_sql(rows: str, keys: str) -> str:
-    """CTEs turning table `rows`(keys, x) into `ev`(keys, pos, v): the 101-number encoding."""
+def encode_sql(rows: str, keys: str, tag: str = "e") -> str:
+    """CTEs turning table `rows`(keys, x) into `ev`(keys, pos, v): the 101-number encoding. `tag` takes the place of the e."""
     quantiles = ", ".join(str(p / 100) for p in range(1, 100, 2))
-    return f"""es AS (SELECT {keys}, x, greatest(x, 0) AS wt, sum(greatest(x, 0)) OVER o AS cw, sum(greatest(x, 0)) OVER (PARTITION BY {keys}) AS tw,
+    return f"""{tag}s AS (SELECT {keys}, x, greatest(x, 0) AS wt, sum(greatest(x, 0)) OVER o AS cw, sum(greatest(x, 0)) OVER (PARTITION BY {keys}) AS tw,
         lag(x) OVER o AS px, row_number() OVER o AS rn, count(*) OVER (PARTITION BY {keys}) AS n FROM {rows} WINDOW o AS (PARTITION BY {keys} ORDER BY x ROWS UNBOUNDED PRECEDING)),
-      ep AS (SELECT {keys}, pt, CASE WHEN px IS NULL THEN x ELSE px + (x - px) * ((pt / 100.0E0 * tw - (cw - wt)) / wt) END AS v
-        FROM es, range(1, 100, 2) q(pt) WHERE wt > 0 AND pt / 100.0E0 * tw > cw - wt AND (pt / 100.0E0 * tw <= cw OR rn = n)),
-      er AS (SELECT {keys}, unnest(range(1, 100, 2)) AS pt, unnest(quantile_cont(x, [{quantiles}])) AS v FROM {rows} GROUP BY {keys}),
-      ev AS (SELECT {keys}, CAST((pt - 1) // 2 AS INT) AS pos, v FROM er UNION ALL SELECT {keys}, CAST(50 + (pt - 1) // 2 AS INT), coalesce(ep.v, er.v) FROM er LEFT JOIN ep USING ({keys}, pt)
+      {tag}p AS (SELECT {keys}, pt, CASE WHEN px IS NULL THEN x ELSE px + (x - px) * ((pt / 100.0E0 * tw - (cw - wt)) / wt) END AS v
+        FROM {tag}s, range(1, 100, 2) q(pt) WHERE wt > 0 AND pt / 100.0E0 * tw > cw - wt AND (pt / 100.0E0 * tw <= cw OR rn = n)),
+      {tag}r AS (SELECT {keys}, unnest(range(1, 100, 2)) AS pt, unnest(quantile_cont(x, [{quantiles}])) AS v FROM {rows} GROUP BY {keys}),
+      {tag}v AS (SELECT {keys}, CAST((pt - 1) // 2 AS INT) AS pos, v FROM {tag}r UNION ALL SELECT {keys}, CAST(50 + (pt - 1) // 2 AS INT), coalesce({tag}p.v, {tag}r.v) FROM {tag}r LEFT JOIN {tag}p USING ({keys}, pt)
         UNION ALL SELECT {keys}, 100, avg(x) FROM {rows} GROUP BY {keys})"""
 
 
@@ -126,6 +127,53 @@ def _(spark, sf_dir):
     return out.select("trace_id", "cid", *_digest("features"))
 
 
+# All blocks of the matrix: a one-parameter, a two-parameter and a latency-dependent resource, stalls, queues, scalars and
+# the label, for every trace. Queue size 3 has no lookup row and cfg_idx 1 no queue block: both are filled with zeros.
+FULL = Registry(
+    (Param("aw", None, 1, 1, 8), Param("lp", None, 1, 1, 8), Param("dp", None, 1, 1, 8), Param("qs", None, 1, 1, 8), Param("branch_predictor", None, 0, 0, 1), Param("l1d_stride_prefetch", None, 0, step=(0, 4))),
+    (Resource("alu_issue", ("aw",)), Resource("load_ls_pipes_lower", ("lp", "dp")), Resource("issue_queue", ("qs",), ("qs",))),
+)
+QUEUE_LEN = 3 + 2 * 3 * 101 + 101
+_FULL_CONFIGS = """cg AS (SELECT o_custkey % 8 AS trace_id, o_orderkey % 4 + 1 AS qs, o_orderkey // 4 % 2 AS cfg_idx, avg(o_totalprice) AS cpi FROM orders GROUP BY ALL),
+  cf AS (SELECT *, CAST(qs AS VARCHAR) || '-' || CAST(cfg_idx AS VARCHAR) AS cid, qs * 2 AS aw, qs AS lp, cfg_idx + 1 AS dp, cfg_idx AS branch_predictor, qs % 2 * 4 AS l1d_stride_prefetch FROM cg)"""
+_FULL_LOOKUP = """lk AS (SELECT trace_id, 0 AS res, 0 AS cfg, p0, 0 AS p1, thr AS x FROM x WHERE resource = 'alu_issue' UNION ALL SELECT trace_id, 1, 0, p0, p1, thr FROM x WHERE resource = 'load_ls_pipes_lower'
+    UNION ALL SELECT trace_id, 2, 0, size, 0, issue FROM q UNION ALL SELECT trace_id, 2, 1, size, 0, exec FROM q)"""
+_FULL_SCALARS = ["aw", "lp", "dp", "qs", "branch_predictor", "l1d_stride_prefetch", "CAST(branch_predictor = 0 AS INT)", "CAST(branch_predictor = 1 AS INT)", "CAST(l1d_stride_prefetch = 0 AS INT)", "CAST(l1d_stride_prefetch <> 0 AS INT)"]
+
+
+@query(
+    "d20_full_matrix",
+    f"""{THR_SQL}, {QUEUE_SQL}, {STALL_SQL.removeprefix(WITH_COUNTS + ', ')}, {_FULL_CONFIGS}, {_FULL_LOOKUP}, {encode_sql('lk', 'trace_id, res, cfg, p0, p1', 'l')},
+      {encode_sql('sc', 'trace_id, kind', 's')}, {encode_sql('qr', 'trace_id, cfg_idx, part, size', 'e')}, qv AS ({_QPOS}),
+      wanted AS (SELECT trace_id, cid, cpi, 0 AS res, 0 AS cfg, aw AS p0, 0 AS p1 FROM cf UNION ALL SELECT trace_id, cid, cpi, 1, 0, lp, dp FROM cf UNION ALL SELECT trace_id, cid, cpi, 2, cfg_idx, qs, 0 FROM cf),
+      parts AS (
+        SELECT trace_id, cid, cpi, res * 101 + i.pos AS pos, coalesce(v, 0.0E0) AS v FROM wanted CROSS JOIN range(101) i(pos) LEFT JOIN lv USING (trace_id, res, cfg, p0, p1, pos)
+        UNION ALL SELECT trace_id, cid, cpi, 303 + kind * 101 + pos, v FROM cf JOIN sv USING (trace_id)
+        UNION ALL SELECT cf.trace_id, cid, cpi, 707 + i.pos, coalesce(v, 0.0E0) FROM cf CROSS JOIN range({QUEUE_LEN}) i(pos) LEFT JOIN qv ON qv.trace_id = cf.trace_id AND qv.pos = i.pos AND cfg_idx = 0
+        UNION ALL {' UNION ALL '.join(f'SELECT trace_id, cid, cpi, {707 + QUEUE_LEN + i}, {c} FROM cf' for i, c in enumerate(_FULL_SCALARS))})
+      SELECT trace_id, cid, round(cpi, 4) AS cpi, CAST(pos AS INT) AS pos, round(v + 1e-9, 5) AS v FROM parts""",
+)
+def _(spark, sf_dir):
+    o = b.table(spark, sf_dir, "orders").select(
+        (F.col("o_custkey") % 8).alias("trace_id"), (F.col("o_orderkey") % 4 + 1).alias("qs"), (F.floor(F.col("o_orderkey") / 4) % 2).alias("cfg_idx"), "o_totalprice")
+    cf = o.groupBy("trace_id", "qs", "cfg_idx").agg(F.avg("o_totalprice").alias("cpi")).withColumns({
+        "cid": F.concat_ws("-", "qs", "cfg_idx"), "aw": F.col("qs") * 2, "lp": F.col("qs"), "dp": F.col("cfg_idx") + 1, "branch_predictor": F.col("cfg_idx"),
+        "l1d_stride_prefetch": F.col("qs") % 2 * 4,
+    })
+    counts = trace_counts(spark, sf_dir)
+    plain = windows.window_throughput(counts, resources=["alu_issue", "load_ls_pipes_lower"]).withColumn("cfg_idx", F.lit(0))
+    q, overall = queue(spark, sf_dir)
+    dependent = q.select("trace_id", F.lit("issue_queue").alias("resource"), F.col("size").alias("p0"), F.lit(0).alias("p1"), F.col("idx").alias("window_id"), F.explode(F.array(
+        F.struct(F.lit(0).alias("cfg_idx"), F.col("issue").cast("double").alias("thr")), F.struct(F.lit(1).alias("cfg_idx"), F.col("exec").cast("double").alias("thr")))).alias("c"))
+    dependent = dependent.select(*[c for c in dependent.columns if c != "c"], "c.*")
+    lookup_rows = encode.build_lookup(plain.unionByName(dependent))
+    out = matrix.training_matrix(
+        cf, lookup_rows, matrix.stall_features(b.trace(spark, sf_dir), K), matrix.queue_latency_features(q, overall), FULL, ["trace_id", "cid"], on_missing="zero",
+        label="cpi", queue_len=QUEUE_LEN)
+    flat = out.select("trace_id", "cid", F.round("cpi", 4).alias("cpi"), F.posexplode("features").alias("pos", "v"))
+    return flat.withColumn("v", F.round(F.col("v") + 1e-9, 5))
+
+
 _COMBOS = "cb AS (SELECT resource, p0, row_number() OVER (PARTITION BY resource ORDER BY p0 DESC) - 1 AS pos FROM (SELECT DISTINCT resource, p0 * 3 AS p0 FROM w))"
 
 
