@@ -7,8 +7,8 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from tracemill.functions.registry import FIXED_PARAMS, REGISTRY, SEARCH_GRID
-from tracemill.operators import design, metrics, scoring, similarity, skyline
+from tracemill.functions.registry import FIXED_PARAMS, REGISTRY, SEARCH_GRID, Param
+from tracemill.operators import design, metrics, scoring, similarity, skyline, sweeps
 from tracemill.plans import bindings as b
 from tracemill.plans.catalog import query, rounded
 from tracemill.plans.split_queries import md5
@@ -151,6 +151,26 @@ def _(spark, sf_dir):
     return rounded(design.sample_configs(b.table(spark, sf_dir, "orders"), "o_orderkey", 7))
 
 
+# A parameter of the caller's own, read from a sweep column, swept, sampled and turned into a feature like the others.
+DEPTH = REGISTRY.with_param(Param("spec_depth", "l_linenumber", 4, step=(2, 4, 8)))
+
+
+@query(
+    "u2_custom_parameter",
+    f"""WITH {b.S_SQL}, d AS (SELECT o_orderkey, list_extract([2, 4, 8], {_digit('o_orderkey', 'spec_depth', 3)} + 1) AS drawn, CAST({_digit('o_orderkey', 'rob_size', 1024)} + 1 AS INT) AS drawn_rob_size FROM orders)
+      SELECT {', '.join(b.SWEEP_KEY)}, CAST(l_linenumber AS INT) AS spec_depth, CAST(commit_width AS INT) AS commit_width, drawn, drawn_rob_size,
+        (SELECT count(*) FROM (VALUES (2), (4), (8)) v(x) WHERE x >= l_linenumber) * 8 AS n_swept
+      FROM s JOIN d ON l_orderkey = o_orderkey""",
+)
+def _(spark, sf_dir):
+    s = b.sweep(spark, sf_dir).withColumns({c: F.lit(2) for c in ("rdwr_port_issue_width", "read_port_issue_width")})
+    mapped = sweeps.config_features(sweeps.to_config(s, DEPTH, b.SWEEP_KEY), DEPTH, b.SWEEP_KEY)
+    drawn = design.sample_configs(b.table(spark, sf_dir, "orders"), "o_orderkey", 7, DEPTH)
+    drawn = drawn.select(F.col("o_orderkey").alias("l_orderkey"), F.col("spec_depth").alias("drawn"), F.col("rob_size").alias("drawn_rob_size"))
+    swept = F.filter(design.param_sweep(DEPTH, ["spec_depth", "num_ls_pipes"]), lambda p: p["spec_depth"] >= F.col("spec_depth"))
+    return mapped.join(drawn, "l_orderkey").select(*b.SWEEP_KEY, "spec_depth", "commit_width", "drawn", "drawn_rob_size", F.size(swept).cast("bigint").alias("n_swept"))
+
+
 _HYPER = SEARCH_GRID
 
 
