@@ -15,10 +15,10 @@ import regex
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from tracemill.llm.common import SLICE_BYTES, slices
+from tracemill.llm.common import map_texts, slices
 
-RUN_TOKENS = 1 << 21
-KNOWN_TOKENS = 400_000
+RUN_TOKENS = 1 << 19
+KNOWN_TOKENS = 100_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -165,12 +165,13 @@ def tokenize(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text",
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _loaded(model.value, pattern)
         for batch in batches:
-            for part in slices(batch, text, 2 * SLICE_BYTES):
+            for part in slices(batch, text):
                 ids, ends = bpe.encode([t or "" for t in part.column(text).to_pylist()])
                 arrays = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids, pa.int32()))] if with_ids else []
                 arrays.append(pa.array(np.diff(ends, prepend=0), pa.int64()))
                 arrays.append(pa.array([hashlib.sha256(d[:-1]).hexdigest() for d in bpe.written(ids, ends, bpe.decimal)], pa.string()))
                 arrays.append(pa.array([hashlib.sha256(d).hexdigest() for d in bpe.written(ids, ends, bpe.pieces)], pa.string()))
                 yield pa.RecordBatch.from_arrays([*part.columns, *arrays], names=[*part.schema.names, *added])
+        bpe.known = {}  # the worker outlives this task
 
-    return kept.mapInArrow(encode, schema)
+    return map_texts(kept, encode, schema)

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import slices
+from tracemill.llm.common import map_texts, slices
 
 UNDETERMINED = "und"
 BUCKETS = 1 << 16
@@ -177,4 +177,4 @@ def identify(docs: DataFrame, model: LanguageModel | None, least_lead: float = 0
                 arrays = [pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(unsure, pa.bool_())]
                 yield pa.RecordBatch.from_arrays([*part.columns, *arrays], names=[*part.schema.names, "lang_pred", "score", "ambiguous"])
 
-    return kept.mapInArrow(predict, schema + ", lang_pred string, score double, ambiguous boolean")
+    return map_texts(kept, predict, schema + ", lang_pred string, score double, ambiguous boolean")

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import slices
+from tracemill.llm.common import map_texts, slices
 from tracemill.llm.components import components
 from tracemill.session import cut_lineage
 
@@ -56,7 +56,7 @@ def with_fingerprints(docs: DataFrame) -> DataFrame:
                 found = np.array([fingerprint(t or b"") for t in part.column("text").cast(pa.binary()).to_pylist()], np.uint64)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found.view(np.int64))], names=[*part.schema.names, "fingerprint"])
 
-    return kept.mapInArrow(add, schema + ", fingerprint long")
+    return map_texts(kept, add, schema + ", fingerprint long")
 
 
 def syndrome(word: np.ndarray) -> np.ndarray:

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import slices
+from tracemill.llm.common import map_texts, slices
 
 BUCKETS = 1 << 18
 PREFIXES, SUFFIXES, HEAD = range(3, 9), range(3, 6), 32
@@ -50,7 +50,7 @@ def read_words(texts: pa.Array) -> Words:
         words = text.translate(SEPARATORS).split()
         lengths[i] = len(words)
         run += words
-        if len(run) > 1 << 20:
+        if len(run) > 1 << 18:
             chunks.append(pa.array(run, pa.binary()))
             run = []
     coded = pa.concat_arrays([*chunks, pa.array(run, pa.binary())]).dictionary_encode()
@@ -287,4 +287,4 @@ def score_toxicity(docs: DataFrame, model: ToxicModel | None, threshold: float =
                 names = [*part.schema.names, "score", "predicted"] + ["toxic_spans"] * with_spans
                 yield pa.RecordBatch.from_arrays([*part.columns, *arrays], names=names)
 
-    return kept.mapInArrow(predict, schema)
+    return map_texts(kept, predict, schema)
