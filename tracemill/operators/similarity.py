@@ -39,28 +39,25 @@ def response_curves(df: DataFrame, params: list[str], numeric: dict[str, Column]
     """One-factor-at-a-time curves: (param, benchmark, value, cpi).
 
     Rows that agree on every other parameter form a group; per (param, benchmark) the
-    largest group with at least two points is the curve. Group sizes are counted first,
-    combined before the shuffle, so a hot benchmark never travels whole.
+    largest group with at least two points is the curve, of equal ones that with the earliest
+    row. Rows are first counted by configuration, and only configurations are repeated for
+    every parameter; the rows of the chosen ones are joined back once.
     `numeric` gives the numeric value of each parameter.
     """
+    text = lambda names: F.md5(F.concat_ws("\x1f", *[F.coalesce(F.col(o).cast("string"), F.lit("\x00")) for o in names]))
     entries = F.explode(F.array(*[
-        F.struct(
-            F.lit(p).alias("param"),
-            F.md5(F.concat_ws("\x1f", *[F.coalesce(F.col(o).cast("string"), F.lit("\x00")) for o in params if o != p])).alias("others"),
-            numeric.get(p, F.col(p)).cast("double").alias("value"),
-        )
+        F.struct(F.lit(p).alias("param"), text([o for o in params if o != p]).alias("others"), numeric.get(p, F.col(p)).cast("double").alias("value"))
         for p in params
     ]))
     order = F.struct(*tie_break) if tie_break else F.lit(0)
-    long = df.select("benchmark", F.col(cpi).alias("cpi"), order.alias("_o"), entries.alias("e")).select("benchmark", "cpi", "_o", "e.*")
-    counts = long.groupBy("param", "benchmark", "others").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= 2)
-    top = counts.groupBy("param", "benchmark").agg(F.max("n").alias("_top"))
-    largest = counts.join(top, ["param", "benchmark"]).filter(F.col("n") == F.col("_top")).select("param", "benchmark", "others")
-    # Only the points of the largest groups are kept; ties between them go to the earliest row.
-    tied = dim_join(long, largest, ["param", "benchmark", "others"], "inner")
-    first = tied.groupBy("param", "benchmark", "others").agg(F.min("_o").alias("_first"))
-    chosen = first.groupBy("param", "benchmark").agg(F.min_by("others", F.struct("_first", "others")).alias("others"))
-    return tied.join(chosen, ["param", "benchmark", "others"]).select("param", "benchmark", "value", "cpi", "_o")
+    rows = df.withColumn("_config", text(params))
+    configs = rows.groupBy("benchmark", "_config", *params).agg(F.count(F.lit(1)).alias("_n"), F.min(order).alias("_first"))
+    long = configs.select("benchmark", "_config", "_n", "_first", entries.alias("e")).select("benchmark", "_config", "_n", "_first", "e.*")
+    groups = long.groupBy("param", "benchmark", "others").agg(F.sum("_n").alias("n"), F.min("_first").alias("_first")).filter(F.col("n") >= 2)
+    chosen = groups.groupBy("param", "benchmark").agg(F.min_by("others", F.struct(-F.col("n"), F.col("_first"), F.col("others"))).alias("others"))
+    picked = long.join(chosen, ["param", "benchmark", "others"]).select("param", "benchmark", "_config", "value")
+    points = rows.select("benchmark", "_config", F.col(cpi).alias("cpi"), order.alias("_o"))
+    return points.join(picked, ["benchmark", "_config"]).select("param", "benchmark", "value", "cpi", "_o")
 
 
 def curve_points(curves: DataFrame) -> DataFrame:
