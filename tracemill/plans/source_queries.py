@@ -251,6 +251,18 @@ def _(spark, sf_dir):
     return _latest(updates)
 
 
+@query("k2_closed_windows", f"{WITH_COUNTS} SELECT * FROM g WHERE size = {K}")
+def _(spark, sf_dir):
+    """Full windows of rows that arrive in several batches, each given out once."""
+    path, out = scratch_path(spark, "rows"), scratch_path(spark, "closed")
+    t = b.trace(spark, sf_dir).select("trace_id", "idx", "op_class", "branch_type", "inst_sync", "read_addrs", "write_addrs")
+    t.repartition(4, "idx").write.parquet(path)
+    stream = spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 2).parquet(path)
+    counts = streams.closed_window_counts(stream, K)
+    counts.writeStream.outputMode("append").format("parquet").option("checkpointLocation", out + "-state").trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.schema(counts.schema).parquet(out)
+
+
 def _latest(updates):
     """The last update of each window."""
     cols = [c for c in updates.columns if c != "batch"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -44,7 +46,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if sc.getCheckpointDir() is None:
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tracemill-checkpoint-"))
+        own = tempfile.mkdtemp(prefix="tracemill-checkpoint-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)  # scratch tables below it go too
+        sc.setCheckpointDir(own)
     return sc.getCheckpointDir()
 
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tracemill.functions.scalars import parse_name_list
 from tracemill.operators.ordered import bucketed_rank
@@ -71,3 +76,32 @@ def window_counts_stream(stream: DataFrame, k: int = WINDOW_ROWS) -> DataFrame:
 
 
 COUNT_NAMES = ["size", *COUNTED]
+
+
+def closed_window_counts(stream: DataFrame, k: int = WINDOW_ROWS, idle: int | None = None) -> DataFrame:
+    """Window counts in append mode: a window is given out once, when its k rows have come, and its state goes with it.
+
+    Rows may arrive in any order and over any number of batches. The last window of a trace may never fill: with `idle`
+    milliseconds it is given out as it is when no row has come for that long. State is one row of counters per open window.
+    """
+    flagged = ordinal_windows(stream if "is_load" in stream.columns else instruction_flags(stream), k)
+    rows = flagged.select("trace_id", "window_id", *[F.coalesce(c().cast("bigint"), F.lit(0)).alias(n) for n, c in COUNTED.items()])
+    keys = T.StructType([rows.schema["trace_id"], rows.schema["window_id"]])
+    counters = T.StructType([T.StructField(n, T.LongType()) for n in COUNT_NAMES])
+
+    def count(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        found = np.array(state.get if state.exists else [0] * len(COUNT_NAMES), np.int64)
+        for part in () if state.hasTimedOut else parts:
+            found += np.array([len(part), *part[list(COUNTED)].sum()], np.int64)
+        if state.hasTimedOut or found[0] >= k:
+            if state.exists:
+                state.remove()
+            yield pd.DataFrame([[*key, *found]], columns=[*keys.names, *COUNT_NAMES])
+        else:
+            state.update(tuple(int(n) for n in found))
+            if idle:
+                state.setTimeoutDuration(idle)
+
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout
+    out = T.StructType([*keys.fields, *counters.fields])
+    return rows.groupBy("trace_id", "window_id").applyInPandasWithState(count, out, counters, "append", timeout)
