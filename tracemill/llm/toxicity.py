@@ -201,8 +201,10 @@ def fit(texts: list[str], labels: list[int], steps: int = 40, ridge: float = 1e-
             gradient[:BUCKETS] += np.bincount(column, of_word, minlength=BUCKETS)
         gradient[0], gradient[BUCKETS] = 0, of_word.sum()
         left, right = forward[:-1][inner[1:]], (odds * backward)[1:][inner[1:]]
-        joint = np.stack([np.full_like(left, t[0, 0]), t[0, 1] * right, t[1, 0] * left, t[1, 1] * left * right])
-        gradient[BUCKETS + 1:] = (joint / joint.sum(0)).sum(1) - seen.ravel()
+        total = (t[0, 0] + t[0, 1] * right) + left * (t[1, 0] + t[1, 1] * right)
+        left, right = left / total, right / total
+        gradient[BUCKETS + 1:] = np.array([t[0, 0] * (1 / total).sum(), t[0, 1] * right.sum(), t[1, 0] * left.sum(), t[1, 1] * (left * right * total).sum()]) - seen.ravel()
+        del forward, backward, ratio, p, odds, left, right, total
         gradient = gradient / n + ridge * model
         mean, square = 0.9 * mean + 0.1 * gradient, 0.99 * square + 0.01 * gradient**2
         model -= rate * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-7)
