@@ -372,6 +372,17 @@ def test_pages(spark):
     assert html_extract.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_repeated_blocks_of_any_length_go(spark):
+    lengths = [n for n in range(6, 16) for _ in range(12)]
+    shared = [" ".join(f"s{k}x{i}" for i in range(n)) for k, n in enumerate(lengths)]
+    own = lambda page, k: " ".join(f"p{page}b{k}w{i}" for i in range(8))
+    body = lambda page: "".join(f"<p>{own(page, k)}</p><div>{text}</div>" for k, text in enumerate(shared))
+    rows = [(page, f"http://h.org/{page}", f"<html><body>{body(page)}</body></html>") for page in (1, 2)]
+    for r in html_extract.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        assert r.text == "\n\n".join(own(r.page_id, k) for k in range(len(shared)))
+        assert r.n_repeated == sum(lengths)
+
+
 # toxicity
 
 
