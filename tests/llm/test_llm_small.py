@@ -13,7 +13,8 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from tracemill.llm import byte_bpe, chat_format, decision_list, hilbert_ann, html_extract, language_id, mixing, simhash_dedup, toxicity, url_vocabulary
+import corpus_pipeline
+from tracemill.llm import byte_bpe, chat_format, decision_list, hilbert_ann, html_extract, language_id, minhash_dedup, mixing, simhash_dedup, toxicity, url_vocabulary
 from tracemill.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -201,6 +202,35 @@ def test_links_of_many_close_fingerprints(spark):
     assert {v: roots.get(v, v) for v in signed} == want
 
 
+def test_pipeline_drops_near_copies(spark, docs, none, monkeypatch):
+    rng = np.random.default_rng(11)
+    rows = []
+    for family in range(30):
+        base = [f"w{i}" for i in rng.integers(0, 5000, 200)]
+        for copy in range(4):
+            text = list(base)
+            for i in rng.choice(200, copy * 2, replace=False) if copy < 3 else rng.choice(200, 60, replace=False):
+                text[i] = f"n{family}x{copy}x{i}"
+            rows.append((family * 10 + copy, " ".join(text), "en", "s", 1))
+    shingled = {i: {tuple(t.split()[k:k + 5]) for k in range(196)} for i, t, *_ in rows}
+    parent = {i: i for i in shingled}
+    for i in shingled:
+        for j in shingled:
+            if i < j and len(shingled[i] & shingled[j]) >= 0.8 * len(shingled[i] | shingled[j]):
+                parent = {k: parent[i] if r == parent[j] else r for k, r in parent.items()}
+    want = sorted({min(k for k in parent if parent[k] == r) for r in parent.values()})
+    assert 30 < len(want) < len(rows)
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    stage = next(f for _, f in corpus_pipeline.STAGES if f is corpus_pipeline.drop_near_duplicates)
+    got = stage(spark, table, "")
+    assert got.columns == table.columns and sorted(r.doc_id for r in got.collect()) == want
+    monkeypatch.setattr(minhash_dedup, "PAIRED_MEMBERS", 2)
+    assert sorted(r.doc_id for r in minhash_dedup.keep_one(table).collect()) == want
+    assert minhash_dedup.keep_one(docs).columns == docs.columns and minhash_dedup.keep_one(none).count() == 0
+    kept = [r.doc_id for r in minhash_dedup.keep_one(docs).collect()]
+    assert len(kept) == len(set(kept)) and 0 in kept and not {1, 2, 9} & set(kept)
+
+
 def test_golay_neighbours():
     patterns = simhash_dedup.error_patterns()
     rng = np.random.default_rng(2)
