@@ -413,6 +413,16 @@ def test_repeated_blocks_of_any_length_go(spark):
         assert r.n_repeated == sum(lengths)
 
 
+def test_copied_pages_keep_their_article(spark):
+    article = " ".join(f"word{i}" for i in range(40))
+    notice = "we use cookies to make this site work better for all of you"
+    body = f"<body><div>{notice}</div><p>{article}</p></body>"
+    rows = [(1, "http://h.org/a", body), (2, "http://h.org/a?utm=1", body), (3, "http://h.org/print/a", body.replace("<p>", "<nav>print</nav>\n<p class='x'>"))]
+    rows += [(4, "http://h.org/b", f"<body><div>{notice}</div><p>another text</p></body>"), (5, None, f"<p>{article}</p>"), (6, None, f"<p>{article}</p>")]
+    got = {r.page_id: r.text for r in html_extract.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: article, 2: article, 3: article, 4: "another text", 5: article, 6: article}
+
+
 # toxicity
 
 
