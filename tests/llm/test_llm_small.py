@@ -423,6 +423,18 @@ def test_copied_pages_keep_their_article(spark):
     assert got == {1: article, 2: article, 3: article, 4: "another text", 5: article, 6: article}
 
 
+def test_names_that_hold_the_article():
+    real = "the real text"
+    for html in (
+        f"<body class='right-sidebar'><p>{real}</p></body>", f"<div class='content-sidebar-wrap'><p>{real}</p></div>", f"<main id='search'><p>{real}</p></main>",
+        f"<article class='post comments-open tag-social'><p>{real}</p></article>", f"<article class='post comments'><p>{real}</p></article>",
+        f"<body class='nav'><p>{real}</p><div class='x sidebar'>no</div><div id='cookie-banner'>no</div><aside>no</aside></body>",
+    ):
+        assert html_extract.candidates(html_extract.parse(html))[0] == real, html
+    related = html_extract.parse(f"<main><p>{real}</p><article>related post</article></main>")
+    assert html_extract.candidates(related)[0] == real + "\n\nrelated post"
+
+
 # toxicity
 
 
