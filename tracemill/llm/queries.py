@@ -271,7 +271,7 @@ found AS (SELECT *, string_split(phrase, ' ') AS words FROM counts WHERE f >= 30
 cuts AS (
   SELECT c.lang, c.phrase, c.f AS a, k, l.f AS l, r.f AS r, CAST((CAST(c.f AS HUGEINT) * 2000000) // (l.f + r.f) AS BIGINT) AS score
   FROM (SELECT *, unnest(range(1, length)) AS k FROM found WHERE length > 1) c
-  JOIN found l ON l.lang = c.lang AND l.phrase = array_to_string(c.words[1:k], ' ') JOIN found r ON r.lang = c.lang AND r.phrase = array_to_string(c.words[k + 1:length], ' ')),
+  JOIN found l ON l.lang = c.lang AND l.phrase = array_to_string(c.words[1:k], ' ') JOIN found r ON r.lang = c.lang AND r.phrase = array_to_string(c.words[k + 1:c.length], ' ')),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS pick FROM cuts) p WHERE pick = 1),
 inner_ AS (
   SELECT lang, array_to_string(words[i:i + size - 1], ' ') AS phrase, max(f) AS longer
