@@ -129,24 +129,42 @@ def test_spilled_subtrees_and_burst_containers_add_up(spark):
         want.update(" ".join(words[i:i + 3]) for i in range(len(words) - 2))
     got = phrase_mining.count_phrases(df, 3, np.full(1 << (phrase_mining.FILTER_BITS - 3), 255, np.uint8), trie_entries=500, burst=4)
     assert {r.phrase: r.n for r in got.groupBy("phrase").agg(F.sum("n").alias("n")).collect()} == want
-    trie, ids = phrase_mining.HatTrie(burst=3), Counter({(1, i, j): i + j + 1 for i in range(9) for j in range(9)})
-    trie.add(ids)
-    trie.add({(2, 0, 0): 5})
-    assert type(trie.root[1]) is phrase_mining.Node and type(trie.root[2]) is dict
-    first = dict(trie.spill(1))
-    assert first == ids and dict(trie.spill(0)) == {(2, 0, 0): 5} and not trie.root
+    trie, bits = phrase_mining.HatTrie(3, burst=3), phrase_mining.WORD_BITS
+    ids = [(1, i, j) for i in range(9) for j in range(9) for _ in range(i + j + 1)] + [(2, 0, 5)]
+    for part in (ids[::2], ids[1::2]):
+        trie.add(np.array([i[0] for i in part]), np.array([i[1] << bits | i[2] for i in part]))
+    assert type(trie.root[1]) is phrase_mining.Node and type(trie.root[2]) is Counter and trie.entries == 82
+    unpacked = lambda run: {(f, r >> bits, r & ((1 << bits) - 1)): n for f, r, n in zip(*(x.tolist() for x in run), strict=True)}
+    whole = Counter(ids)
+    assert unpacked(trie.spill(1)) == {i: n for i, n in whole.items() if i[0] == 1} and unpacked(trie.spill(0)) == {(2, 0, 5): 1} and not trie.root
+
+
+def test_ids_start_anew_in_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(phrase_mining, "VOCABULARY", 40)
+    monkeypatch.setattr(phrase_mining, "CHUNK_WORDS", 16)
+    rows = [(" ".join(f"t{i * i % 101}" for i in range(n)), "en") for n in (500, 3, 900)]
+    docs = spark.createDataFrame(rows, "text string, lang string").select("lang", "text").coalesce(1)
+    for length in (1, 2, 4):
+        want = Counter()
+        for text, _ in rows:
+            words = text.split()
+            want.update(" ".join(words[i:i + length]) for i in range(len(words) - length + 1))
+        full = None if length == 1 else np.full(1 << (phrase_mining.FILTER_BITS - 3), 255, np.uint8)
+        got = phrase_mining.count_phrases(docs, length, full).where("phrase <> ''").groupBy("phrase").agg(F.sum("n").alias("n")).collect()
+        assert {r.phrase: r.n for r in got} == want
 
 
 def test_filter_keeps_every_frequent_phrase(spark):
     frequent = spark.createDataFrame([("en", f"w{i} v{i}") for i in range(500)], "lang string, phrase string")
-    bits, words = phrase_mining.frequent_filter(frequent), phrase_mining.Words()
-    text = "\n".join(f"w{i} v{i} w{i} v{i}" for i in range(0, 1000, 7)).encode()
-    found = {b" ".join(list(words.ids)[i] for i in p).decode() for p in phrase_mining.phrases_of(words.encode(text), words, "en", 3, bits)}
-    assert found == set()  # v w is not frequent
-    text = "\n".join(f"w{i} v{i}" for i in range(0, 1000, 7)).encode()
-    ids = words.encode(text)
-    assert len(list(phrase_mining.phrases_of(ids, words, "en", 2, None))) == 143
-    assert int(np.unpackbits(bits).sum()) <= 500
+    single = frequent.select("lang", F.explode(F.split("phrase", " ")).alias("phrase"))
+    bits = phrase_mining.frequent_filter(frequent) | phrase_mining.frequent_filter(single)
+    assert 0 < int(np.unpackbits(bits).sum()) <= 1500
+    words = phrase_mining.Words("en", bits)
+    ids = words.encode(" A ".join(f"w{i} v{i} w{i}" for i in range(0, 1000, 7)).encode().split())
+    known = len(range(0, 500, 7))
+    assert len(phrase_mining.phrase_starts(ids, words, 2)) == 2 * known  # only the words count so far
+    assert len(phrase_mining.phrase_starts(ids, words, 3)) == 0  # v w is not frequent
+    assert len(phrase_mining.phrase_starts(words.encode([]), words, 2)) == 0
 
 
 def test_top_rows_of_ties(spark):

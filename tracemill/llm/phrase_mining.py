@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import islice
 from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,8 +22,10 @@ UNKNOWN_LANG = "und"
 SCORE_SCALE = 2_000_000
 SWALLOWED_PERCENT = 80
 BURST_ENTRIES = 4096        # entries of a hash container before it bursts by the next word
-TRIE_ENTRIES = 400_000      # entries of all tries of a task before whole subtrees are spilled
-VOCABULARY = 1 << 20        # words of a task before everything is spilled and word ids start anew
+TRIE_ENTRIES = 600_000      # entries of all tries of a task before whole subtrees are spilled
+VOCABULARY = 1 << 20        # words of a language in a task before everything is spilled and word ids start anew
+CHUNK_WORDS = 1 << 19       # words numbered at once
+WORD_BITS = 21              # holds VOCABULARY and a chunk; three ids fit into a signed long
 FILTER_BITS = 26            # the filter of frequent phrases has 2^26 bits, 8 MB, whatever the data
 RUN_ROWS = 20_000
 SALTS = 512
@@ -34,79 +38,100 @@ FACTORS = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93], np.uint64)
 
 
 class Node(dict):
-    """Inner node of the trie: word id -> Node or hash container (a plain dict: remaining word ids -> count)."""
+    """Inner node of the trie: word id -> Node or hash container (a Counter of the remaining word ids, packed into a number)."""
 
 
 class HatTrie:
     """Counts of word-id sequences of one length: hash containers under a trie that deepens where a container bursts."""
 
-    def __init__(self, burst: int = BURST_ENTRIES):
-        self.burst, self.root, self.sizes = burst, Node(), Counter()
-
-    def add(self, counts: dict[tuple[int, ...], int]) -> None:
-        root, sizes = self.root, self.sizes
-        for ids, n in counts.items():
-            node, first, rest = root, ids[0], ids[1:]
+    def __init__(self, length: int, burst: int = BURST_ENTRIES):
+        self.length, self.burst, self.root, self.entries = length, burst, Node(), 0
+
+    def add(self, firsts: np.ndarray, rests: np.ndarray) -> None:
+        """Counts sequences given by their first word id and the other ids, WORD_BITS each."""
+        if len(firsts):
+            self._add(self.root, firsts, rests, self.length - 1)
+
+    def _add(self, node: Node, firsts: np.ndarray, rests: np.ndarray, left: int) -> None:
+        order = np.argsort(firsts, kind="stable")
+        firsts, rests = firsts[order], rests[order]
+        cuts = (np.flatnonzero(firsts[1:] != firsts[:-1]) + 1).tolist()
+        values = rests.tolist()
+        for start, end in zip([0, *cuts], [*cuts, len(values)], strict=True):
+            first = int(firsts[start])
             child = node.get(first)
-            while type(child) is Node:
-                node, first, rest = child, rest[0], rest[1:]
-                child = node.get(first)
+            if type(child) is Node:
+                below = WORD_BITS * (left - 1)
+                self._add(child, rests[start:end] >> below, rests[start:end] & ((1 << below) - 1), left - 1)
+                continue
             if child is None:
-                child = node[first] = {}
-            known = child.get(rest)
-            if known is None:
-                child[rest] = n
-                sizes[ids[0]] += 1
-                if len(child) > self.burst and rest:
-                    node[first] = self._burst(child)
-            else:
-                child[rest] = known + n
+                child = node[first] = Counter()
+            before = len(child)
+            child.update(values[start:end])
+            self.entries += len(child) - before
+            if left > 1 and len(child) > self.burst:
+                node[first] = self._burst(child, WORD_BITS * (left - 1))
 
     @staticmethod
-    def _burst(container: dict[tuple[int, ...], int]) -> Node:
+    def _burst(container: Counter, below: int) -> Node:
         node = Node()
         for ids, n in container.items():
-            node.setdefault(ids[0], {})[ids[1:]] = n
+            node.setdefault(ids >> below, Counter())[ids & ((1 << below) - 1)] = n
         return node
 
-    def spill(self, keep: int) -> Iterator[tuple[tuple[int, ...], int]]:
-        """Takes whole subtrees out, large ones first, until `keep` entries are left; gives (ids, count)."""
-        total = self.sizes.total()
-        for first, size in self.sizes.most_common():
-            if total <= keep:
-                return
-            total -= size
-            del self.sizes[first]
-            stack = [((first,), self.root.pop(first))]
-            while stack:
-                prefix, node = stack.pop()
-                if type(node) is Node:
-                    stack.extend(((*prefix, i), child) for i, child in node.items())
-                else:
-                    yield from (((*prefix, *rest), n) for rest, n in node.items())
+    def _leaves(self, node: Node | Counter, prefix: int, left: int) -> Iterator[tuple[int, Counter]]:
+        if type(node) is not Node:
+            yield prefix, node
+            return
+        below = WORD_BITS * (left - 1)
+        for i, child in node.items():
+            yield from self._leaves(child, prefix | i << below, left - 1)
+
+    def spill(self, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Takes whole subtrees out, large ones first, until `keep` entries are left: a run (firsts, rests, counts) in order."""
+        subtrees = {first: list(self._leaves(child, 0, self.length - 1)) for first, child in self.root.items()}
+        sizes = Counter({first: sum(len(c) for _, c in leaves) for first, leaves in subtrees.items()})
+        firsts, lengths, prefixes, rests, counts = [], [], [], [], []
+        for first, size in sizes.most_common():
+            if self.entries <= keep:
+                break
+            self.entries -= size
+            del self.root[first]
+            for prefix, container in subtrees[first]:
+                firsts.append(first)
+                prefixes.append(prefix)
+                lengths.append(len(container))
+                rests.extend(container.keys())
+                counts.extend(container.values())
+        first = np.repeat(np.array(firsts, np.int64), lengths)
+        rest = np.array(rests, np.int64) | np.repeat(np.array(prefixes, np.int64), lengths)
+        order = np.lexsort((rest, first))
+        return first[order], rest[order], np.array(counts, np.int64)[order]
 
 
 class Words:
-    """Word ids of a task with the 64-bit hash of every word."""
+    """Word ids of one language in a task, with the 64-bit hash of every word and whether it may be frequent."""
 
-    def __init__(self) -> None:
+    def __init__(self, lang: str, frequent: np.ndarray | None) -> None:
+        self.lang, self.frequent = lang, frequent
         self.ids: defaultdict[bytes, int] = defaultdict()
         self.ids.default_factory = self.ids.__len__
         self.ids[BREAK]  # id 0
-        self.hashes, self.known = np.zeros(1024, np.uint64), 0
+        self.hashes, self.usable = np.zeros(1, np.uint64), np.zeros(1, bool)
 
-    def encode(self, text: bytes) -> np.ndarray:
-        parts = text.translate(PREPARED).replace(BREAK, b" " + BREAK + b" ").split()
-        return np.fromiter(map(self.ids.__getitem__, parts), np.int64, len(parts))
+    def encode(self, parts: list[bytes]) -> np.ndarray:
+        ids = np.fromiter(map(self.ids.__getitem__, parts), np.int64, len(parts))
+        known = len(self.hashes)
+        if self.frequent is not None and known < len(self.ids):
+            fresh = list(islice(self.ids, known, None))
+            hashes = np.fromiter(map(xxhash.xxh64_intdigest, fresh), np.uint64, len(fresh))
+            self.hashes = np.concatenate([self.hashes, hashes])
+            self.usable = np.concatenate([self.usable, self.may_be_frequent([hashes])])
+        return ids
 
-    def hash_of(self, ids: np.ndarray) -> np.ndarray:
-        if self.known < len(self.ids):
-            if len(self.hashes) < len(self.ids):
-                self.hashes = np.concatenate([self.hashes, np.zeros(len(self.ids), np.uint64)])
-            fresh = list(self.ids)[self.known:]
-            self.hashes[self.known:len(self.ids)] = np.fromiter(map(xxhash.xxh64_intdigest, fresh), np.uint64, len(fresh))
-            self.known = len(self.ids)
-        return self.hashes[ids]
+    def may_be_frequent(self, hashes: list[np.ndarray]) -> np.ndarray:
+        bits = filter_positions(self.lang, hashes)
+        return (self.frequent[(bits >> np.uint64(3)).astype(np.int64)] >> (bits & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
 def filter_positions(lang: str, words: list[np.ndarray]) -> np.ndarray:
@@ -117,24 +142,17 @@ def filter_positions(lang: str, words: list[np.ndarray]) -> np.ndarray:
     return ((mixed ^ (mixed >> np.uint64(29))) * FACTORS[1]) >> np.uint64(64 - FILTER_BITS)
 
 
-def phrases_of(ids: np.ndarray, words: Words, lang: str, length: int, frequent: np.ndarray | None) -> Iterator[tuple[int, ...]]:
-    """Word ids of every phrase of a length that holds no break and whose two parts, shorter by a word, may be frequent."""
+def phrase_starts(ids: np.ndarray, words: Words, length: int) -> np.ndarray:
+    """Where a phrase of a length starts that has no break, and whose words and two parts, shorter by a word, may be frequent."""
     n = len(ids) - length + 1
     if n <= 0:
-        return iter(())
-    alive = ids != 0
-    if frequent is not None:
-        hashes = words.hash_of(ids)
-        m = len(ids) - length + 2
-        whole = np.logical_and.reduce([alive[j:j + m] for j in range(length - 1)])
-        at = np.flatnonzero(whole)
-        bits = filter_positions(lang, [hashes[at + j] for j in range(length - 1)])
-        hit = frequent[(bits >> np.uint64(3)).astype(np.int64)] >> (bits & np.uint64(7)).astype(np.uint8) & 1
-        alive = np.zeros(m, bool)
-        alive[at] = hit.astype(bool)
-        alive = alive[:n] & alive[1:n + 1]
-    at = np.flatnonzero(alive[:n])
-    return zip(*[ids[at + j].tolist() for j in range(length)], strict=True)
+        return np.empty(0, np.int64)
+    usable = words.usable[ids]  # a break is not
+    at = np.flatnonzero(np.logical_and.reduce([usable[j:j + n] for j in range(length)]))
+    if length > 2 and len(at):
+        hashes = [words.hashes[ids[at + j]] for j in range(length)]
+        at = at[words.may_be_frequent(hashes[:-1]) & words.may_be_frequent(hashes[1:])]
+    return at
 
 
 def count_phrases(
@@ -142,45 +160,65 @@ def count_phrases(
 ) -> DataFrame:
     """(lang, phrase, n): runs of phrase counts of docs (lang, text), in which a phrase can occur several times.
 
-    Every task keeps a trie for each language. Beyond `trie_entries` the largest subtrees are written as sorted runs, the
-    rest at the end, so memory depends on no table. The shuffle merges the runs. At length 1 a row with the empty phrase
-    has the number of words of a language.
+    Every task keeps a trie for each language (at length 1: a count for each word id). Beyond `trie_entries` the largest
+    subtrees are written as sorted runs, the rest at the end, so memory depends on no table; a task that has met very many
+    words writes everything and numbers its words anew. The shuffle merges the runs, by whole phrases: the subtree of a hot
+    first word is spread over all partitions. At length 1 a row with the empty phrase has the number of words of a language.
     """
     shared = docs.sparkSession.sparkContext.broadcast(frequent) if frequent is not None else None
 
+    def rows(lang: str, phrases: pa.Array, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for start in range(0, len(counts), RUN_ROWS):
+            part = phrases.slice(start, RUN_ROWS)
+            yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), len(part)), part, pa.array(counts[start:start + RUN_ROWS])], names=["lang", "phrase", "n"])
+
+    def write(words: Words, trie: HatTrie, single: np.ndarray, keep: int) -> Iterator[pa.RecordBatch]:
+        texts = pa.array(list(words.ids), pa.binary()).cast(pa.string())
+        if length == 1:
+            order = np.flatnonzero(single[1:]) + 1
+            yield from rows(words.lang, texts.take(pa.array(order)), single[order])
+            yield from rows(words.lang, pa.array([""]), np.array([single[1:].sum()], np.int64))
+            return
+        firsts, rests, counts = trie.spill(keep)
+        for start in range(0, len(counts), RUN_ROWS):
+            part = slice(start, start + RUN_ROWS)
+            ids = [firsts[part], *(rests[part] >> WORD_BITS * j & ((1 << WORD_BITS) - 1) for j in reversed(range(length - 1)))]
+            yield from rows(words.lang, pc.binary_join_element_wise(*(texts.take(pa.array(i)) for i in ids), " "), counts[part])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = shared.value if shared else None
-        words, tries, totals = Words(), defaultdict(lambda: HatTrie(burst)), Counter()
-
-        def runs(keep: int) -> Iterator[pa.RecordBatch]:
-            text = list(words.ids)
-            for lang, trie in tries.items():
-                rows = sorted((b" ".join([text[i] for i in ids]), n) for ids, n in trie.spill(keep))
-                for start in range(0, len(rows), RUN_ROWS):
-                    part = rows[start:start + RUN_ROWS]
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array([lang] * len(part), pa.string()), pa.array([p for p, _ in part], pa.binary()).cast(pa.string()), pa.array([n for _, n in part], pa.int64()),
-                    ], names=["lang", "phrase", "n"])
-
+        found: dict[str, tuple[Words, HatTrie]] = {}
+        single: dict[str, np.ndarray] = {}
         for batch in batches:
             for part in slices(batch):
                 texts = defaultdict(list)
                 for lang, text in zip(part.column("lang").to_pylist(), part.column("text").cast(pa.binary()).to_pylist(), strict=True):
                     texts[lang].append(text)
                 for lang, own in texts.items():
-                    ids = words.encode(b"\n".join(own))
-                    if length == 1:
-                        totals[lang] += int(np.count_nonzero(ids))
-                    tries[lang].add(Counter(phrases_of(ids, words, lang, length, frequent)))
-                if len(words.ids) > VOCABULARY:
-                    yield from runs(0)
-                    words, tries = Words(), defaultdict(lambda: HatTrie(burst))
-                elif sum(t.sizes.total() for t in tries.values()) > trie_entries:
-                    yield from runs(trie_entries // (2 * len(tries)))
-        yield from runs(0)
-        if totals:
-            yield pa.RecordBatch.from_arrays([
-                pa.array(list(totals), pa.string()), pa.array([""] * len(totals), pa.string()), pa.array(list(totals.values()), pa.int64())], names=["lang", "phrase", "n"])
+                    parts = b"\n".join(own).translate(PREPARED).replace(BREAK, b" " + BREAK + b" ").split()
+                    for start in range(0, len(parts), CHUNK_WORDS):
+                        if lang not in found:
+                            found[lang], single[lang] = (Words(lang, frequent), HatTrie(length, burst)), np.zeros(0, np.int64)
+                        words, trie = found[lang]
+                        ids = words.encode(parts[start:start + CHUNK_WORDS + length - 1])
+                        if length == 1:
+                            counts = np.bincount(ids, minlength=len(words.ids))
+                            counts[:len(single[lang])] += single[lang]
+                            single[lang] = counts
+                        else:
+                            at = phrase_starts(ids, words, length)
+                            rests = np.zeros(len(at), np.int64)
+                            for j in range(1, length):
+                                rests = rests << WORD_BITS | ids[at + j]
+                            trie.add(ids[at], rests)
+                        if len(words.ids) > VOCABULARY:
+                            yield from write(words, trie, single[lang], 0)
+                            del found[lang], single[lang]
+                if sum(trie.entries for _, trie in found.values()) > trie_entries:
+                    for lang, (words, trie) in found.items():
+                        yield from write(words, trie, single[lang], trie_entries // (2 * len(found)))
+        for lang, (words, trie) in found.items():
+            yield from write(words, trie, single[lang], 0)
 
     return map_texts(docs, run, "lang string, phrase string, n long")
 
@@ -211,9 +249,11 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST_COUNT, longest: int = L
     Length by length: a phrase is only counted where both its parts, shorter by one word, may be frequent, as no phrase is
     more frequent than its parts. The filter that says so has a fixed size and only errs towards counting.
     """
-    found, total, shorter = None, None, None
+    if not 1 < longest <= 1 + 63 // WORD_BITS:
+        raise ValueError("phrases have two to four words")
+    found, total, frequent = None, None, None
     for length in range(1, longest + 1):
-        merged = count_phrases(docs, length, shorter).groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
+        merged = count_phrases(docs, length, frequent).groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
         merged = cut_lineage(merged.where((F.col("f") >= least) | (F.col("phrase") == "")))
         if length == 1:
             total = merged.where("phrase = ''").select("lang", F.col("f").alias("n"))
@@ -223,6 +263,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST_COUNT, longest: int = L
             shorter = frequent_filter(own)
             if not shorter.any():
                 break
+            frequent = shorter if frequent is None else frequent | shorter
     return found, total
 
 
