@@ -202,7 +202,32 @@ def test_links_of_many_close_fingerprints(spark):
     assert {v: roots.get(v, v) for v in signed} == want
 
 
-def test_pipeline_drops_near_copies(spark, docs, none, monkeypatch):
+def test_near_copies_of_large_chained_groups(spark, monkeypatch):
+    """One group of slowly drifting copies, so that few texts are linked to any head, and texts that only share a passage."""
+    rng = np.random.default_rng(4)
+    base, texts = [f"w{i}" for i in rng.integers(0, 9000, 120)], []
+    for i in range(60):
+        if i % 3 == 0:
+            base = list(base)
+            base[int(rng.integers(0, 120))] = f"n{i}"
+        texts.append(" ".join([*base, f"end{i}"]))
+    passage = [f"p{i}" for i in range(100)]
+    texts += [" ".join([*passage, *(f"q{i}x{k}" for k in range(30))]) for i in range(20)]
+    shingled = [{tuple(t.split()[k:k + 5]) for k in range(len(t.split()) - 4)} for t in texts]
+    close = {(i, j) for i in range(len(texts)) for j in range(i) if len(shingled[i] & shingled[j]) >= 0.8 * len(shingled[i] | shingled[j])}
+    parent = {i: i for i in range(len(texts))}
+    for i, j in close:
+        if parent[i] != parent[j]:
+            old = parent[i]
+            parent = {k: parent[j] if r == old else r for k, r in parent.items()}
+    rows = spark.createDataFrame(list(enumerate(texts)), "print long, text string")
+    monkeypatch.setattr(minhash_dedup, "PAIRED_MEMBERS", 5)
+    roots = {r.node: r.root for r in minhash_dedup.link_texts(rows, exact=True).collect()}
+    got = {i: roots.get(i, i) for i in parent}
+    assert len({(parent[i], got[i]) for i in parent}) == len(set(parent.values())) == len(set(got.values()))
+
+
+def test_pipeline_drops_near_copies(spark, docs, none):
     rng = np.random.default_rng(11)
     rows = []
     for family in range(30):
@@ -224,8 +249,6 @@ def test_pipeline_drops_near_copies(spark, docs, none, monkeypatch):
     stage = next(f for _, f in corpus_pipeline.STAGES if f is corpus_pipeline.drop_near_duplicates)
     got = stage(spark, table, "")
     assert got.columns == table.columns and sorted(r.doc_id for r in got.collect()) == want
-    monkeypatch.setattr(minhash_dedup, "PAIRED_MEMBERS", 2)
-    assert sorted(r.doc_id for r in minhash_dedup.keep_one(table).collect()) == want
     assert minhash_dedup.keep_one(docs).columns == docs.columns and minhash_dedup.keep_one(none).count() == 0
     kept = [r.doc_id for r in minhash_dedup.keep_one(docs).collect()]
     assert len(kept) == len(set(kept)) and 0 in kept and not {1, 2, 9} & set(kept)
