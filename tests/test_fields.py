@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tracemill.functions import opclass, scalars
 from tracemill.functions.registry import REGISTRY
-from tracemill.operators import encode, matrix, metrics, splits, sweeps, windows
+from tracemill.operators import encode, matrix, metrics, scoring, splits, sweeps, windows
 
 
 def one(spark, *cols, **values):
@@ -185,3 +186,41 @@ def test_early_stop(spark, segment):
     df = spark.createDataFrame([(1, i + 1, float(x), float(x)) for i, x in enumerate(loss)], "run_id int, epoch int, eval_loss double, percent_error double")
     r = metrics.best_epoch(df, segment_rows=segment).first()
     assert (r["best_epoch"], r["stop_epoch"], r["best_eval_loss"]) == (3, 13, 3.0)
+
+
+def test_r2_of_all_features(spark):
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(300, 4)) * [1.0, 1e6, 1e-3, 1.0] + [0.0, 5e7, 0.0, 3.0]
+    x[:, 3] = 2.0 * x[:, 0] + 7.0  # depends on another feature
+    y = x @ [1.0, 2e-6, 300.0, 0.5] + rng.normal(size=300)
+    group = rng.integers(0, 3, 300)
+    rows = [(int(g), *map(float, r), float(v), 4.0) for g, r, v in zip(group, x, y)]
+    df = spark.createDataFrame([*rows, (9, 1.0, 1.0, 1.0, 1.0, 1.0, 4.0), (0, None, 1.0, 1.0, 1.0, 1.0, 4.0)], "g int, a double, b double, c double, d double, cpi double, k double")
+
+    def brute(take):
+        own = np.column_stack([np.ones(take.sum()), x[take]])
+        own /= np.abs(own).max(0)
+        fit = own @ np.linalg.lstsq(own, y[take], rcond=1e-12)[0]
+        return 1 - ((y[take] - fit) ** 2).sum() / ((y[take] - y[take].mean()) ** 2).sum()
+
+    names = ["a", "b", "c", "d", "k"]  # k is constant
+    assert metrics.ols_r2(df.where("g < 9"), names) == pytest.approx(brute(group >= 0), abs=1e-8)
+    got = {r.g: (r.n, r.r2) for r in metrics.ols_r2_by_group(df, ["g"], names).collect()}
+    for g in range(3):
+        assert got[g][0] == (group == g).sum() and got[g][1] == pytest.approx(brute(group == g), abs=1e-8)
+    assert got[9][0] == 1 and got[9][1] != got[9][1]
+
+
+def test_least_absolute_deviations(spark):
+    rng = np.random.default_rng(1)
+    x = rng.integers(1, 9, 41).astype(float)
+    y = 3.0 * x - 2.0 + rng.normal(size=41)
+    y[:6] += 100.0
+    df = spark.createDataFrame([(float(a), 5.0, float(b)) for a, b in zip(x, y)] + [(None, 5.0, 1.0)], "x double, k double, cpi double")
+    lines = [((y[i] - y[j]) / (x[i] - x[j]), x[i], y[i]) for i in range(41) for j in range(i) if x[i] != x[j]]
+    best = min(np.abs(y - b - s * (x - a)).mean() for s, a, b in lines)  # an optimal line passes through two points
+    model = scoring.fit_regressor(df, ["x", "k"], kind="absolute")
+    got = scoring.predict(model, df.dropna()).agg(F.avg(F.abs(F.col("cpi") - F.col("predicted_cpi")))).first()[0]
+    assert best <= got + 1e-12 and got == pytest.approx(best, rel=2e-3)
+    with pytest.raises(ValueError):
+        scoring.fit_absolute(df.limit(0), ["x"])

@@ -105,9 +105,36 @@ def test_append_checks_columns(spark, tmp_path):
     df = spark.createDataFrame([("a", 1)], "benchmark string, x int")
     sweeps.append_training_rows(df, path)
     sweeps.append_training_rows(df, path)
-    assert spark.read.parquet(path).count() == 2
+    assert sweeps.read_training_rows(spark, path).count() == 2 and sweeps.read_training_rows(spark, path, 0).count() == 1
     with pytest.raises(ValueError, match="columns differ"):
         sweeps.append_training_rows(df.withColumnRenamed("x", "y"), path)
+    assert sweeps.read_training_rows(spark, path).schema.names == ["benchmark", "x"]
+
+
+def test_appends_of_two_writers(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    first, other = spark.createDataFrame([("1", 1)], "benchmark string, x int"), spark.createDataFrame([("1", 2.0)], "benchmark string, x double")
+    plain = sweeps._put_if_absent
+
+    def beaten(*args):
+        """Another writer commits between the check and the commit of this one."""
+        monkeypatch.setattr(sweeps, "_put_if_absent", plain)
+        sweeps.append_training_rows(rival, path)
+        return plain(*args)
+
+    rival = first
+    monkeypatch.setattr(sweeps, "_put_if_absent", beaten)
+    assert sweeps.append_training_rows(first, path) == 1
+    assert sorted(r.benchmark for r in sweeps.read_training_rows(spark, path).collect()) == ["1", "1"]
+    path = str(tmp_path / "u")
+    monkeypatch.setattr(sweeps, "_put_if_absent", beaten)
+    with pytest.raises(ValueError, match="columns differ"):
+        sweeps.append_training_rows(other, path)
+    assert [tuple(r) for r in sweeps.read_training_rows(spark, path).collect()] == [("1", 1)]
+    assert len([p for p in (tmp_path / "u").iterdir() if p.name.startswith("append_id=")]) == 1
+    write(tmp_path / "foreign" / "x.txt", "x")
+    with pytest.raises(ValueError, match="commit"):
+        sweeps.append_training_rows(first, str(tmp_path / "foreign"))
 
 
 def test_matrix_cache_is_reused(spark, tmp_path):
@@ -182,3 +209,25 @@ def test_boosted_regressor(spark):
     model = scoring.fit_regressor(df, ["x"], kind="gbt")
     assert scoring.predict(model, df).filter("predicted_cpi is null").count() == 0
     assert len(SEARCH_GRID) == 19
+
+
+def test_whole_windows_report_late_rows(spark, tmp_path):
+    """Rows of one trace in three batches, its end mark in the second, a row too many in the last."""
+    schema, k = "trace_id string, idx bigint, op_class string, branch_type string, inst_sync boolean, read_addrs array<bigint>, write_addrs array<bigint>", 4
+    row = lambda t, i: (t, i, "MemRead" if i % 2 else "IntAlu", None, None, [64] if i % 2 else [], [])
+    batches = [([("a", i) for i in (0, 1, 4, 9)] + [("b", 0)], []), ([("a", i) for i in (2, 3, 5, 6)], [("a", 10)]), ([("a", 7), ("a", 8), ("a", 1), ("c", 0)], [("none", 0)]), ([("b", i) for i in range(1, 5)] + [("b", 1)], []), ([("b", 2), ("b", 3)], [])]
+    for kind in ("rows", "ends"):
+        (tmp_path / kind).mkdir()
+    read = lambda kind, s: spark.readStream.schema(s).parquet(str(tmp_path / kind))
+    counts = streams.whole_window_counts(read("rows", schema), read("ends", "trace_id string, n_rows bigint"), k)
+    for rows, marks in batches:
+        spark.createDataFrame([row(*r) for r in rows], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "rows"))
+        if marks:
+            spark.createDataFrame(marks, "trace_id string, n_rows bigint").coalesce(1).write.mode("append").parquet(str(tmp_path / "ends"))
+        q = counts.writeStream.outputMode("append").format("parquet").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start(str(tmp_path / "out"))
+        q.awaitTermination()
+    got = sorted((r.trace_id, r.window_id, r.status, r["size"]) for r in spark.read.schema(counts.schema).parquet(str(tmp_path / "out")).collect())
+    assert ("a", 0, "closed", 4) in got and ("a", 1, "closed", 4) in got and ("a", 2, "closed", 2) in got
+    assert ("b", 0, "closed", 5) in got and not any(t == "c" for t, *_ in got)
+    assert [g for g in got if g[2] == "late"] == [("b", 0, "late", 2)]
+    assert sum(t == "a" for t, *_ in got) == 3 and len(got) == 5

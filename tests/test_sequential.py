@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tracemill.functions.registry import FIXED_PARAMS, SEARCH_GRID
 from tracemill.operators import design, encode, program, similarity, skyline, windows
-from tracemill.operators.ordered import block_product, bucketed_rank, dim_join, hash_rank, last_before, prefix_sum
+from tracemill.operators.ordered import block_product, bucketed_rank, dim_join, hash_rank, last_before, prefix_sum, value_buckets
 
 TRACE_SCHEMA = """trace_id string, idx bigint, ip bigint, op_class string, branch_type string, taken boolean, inst_sync boolean,
   read_addrs array<bigint>, write_addrs array<bigint>, reg_deps array<bigint>, mem_deps array<bigint>"""
@@ -393,3 +393,20 @@ def test_sensitivity_at_the_grid_edge(spark):
     assert got["fetch_width"]["max_abs_dcpi"] == pytest.approx(5.5)
     assert got["commit_width"]["max_abs_dcost"] == 10.0
     assert "branch_predictor" in got and set(got) <= set(SEARCH_GRID)
+
+
+def test_value_buckets_of_several_levels(spark):
+    """More pieces than one level can make; hot values, nulls and groups that stay whole."""
+    values = [float(v) for v in range(5000)] + [7.0] * 300 + [float("nan")] * 9
+    rows = [("big", v) for v in values] + [("small", 1.0), ("same", 2.0), ("same", 2.0), ("same", 2.0), (None, 1.0), (None, 2.0), (None, 3.0), ("big", None)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    got = value_buckets(df, ["g"], "x", "b", limit=2, fan=8).collect()
+    assert len(got) == len(rows)
+    assert {r.b for r in got if r.g != "big"} == {0}
+    big = sorted(((r.x != r.x, r.x), r.b) for r in got if r.g == "big" and r.x is not None)
+    assert [b for _, b in big] == sorted(b for _, b in big)
+    pieces = defaultdict(set)
+    for x, b in big:
+        pieces[b].add(str(x))
+    assert len(pieces) > 4096 // 2 and all(len(p) <= 2 for p in pieces.values())
+    assert sum(len(p) for p in pieces.values()) == 5001  # equal values are in one piece

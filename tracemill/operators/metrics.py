@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression
+from collections.abc import Sequence
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,19 +44,70 @@ def variance_decomposition(df: DataFrame, x: str = "cpi", group: str = "benchmar
     return out.withColumn("between_share", share("ss_between")).withColumn("within_share", share("ss_within"))
 
 
+def gram(df: DataFrame, columns: list[str], group: list[str] = (), weight: Column | None = None) -> DataFrame:
+    """group -> n, gram: all sums of w * a * b over the columns and a constant 1, as one native mergeable aggregate.
+
+    The upper triangle by rows, the constant first; rows with a null in a column are left out. Combined before the shuffle,
+    so a group of any size is one row a task.
+    """
+    w = F.lit(1.0) if weight is None else weight.cast("double")
+    one = [F.lit(1.0), *[F.col(c).cast("double") for c in columns]]
+    sums = [F.coalesce(F.sum(w * x * y), F.lit(0.0)) for i, x in enumerate(one) for y in one[i:]]
+    return df.dropna(subset=list(columns)).groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.array(*sums).alias("gram"))
+
+
+def gram_matrix(values: Sequence[float], size: int) -> np.ndarray:
+    """The symmetric matrix of (constant, columns...) from its upper triangle."""
+    upper = np.zeros((size + 1, size + 1))
+    upper[np.triu_indices(size + 1)] = values
+    return upper + np.triu(upper, 1).T
+
+
+def least_squares(values: Sequence[float], features: int) -> tuple[np.ndarray, float, float]:
+    """Coefficients, intercept and R² from the gram of (features..., label).
+
+    Features that depend on others share their effect (the solution of least norm), which leaves R² defined. NaN for a
+    constant label.
+    """
+    full = gram_matrix(values, features + 1)
+    mean = full[0, 1:] / full[0, 0]
+    centred = full[1:, 1:] - full[0, 0] * np.outer(mean, mean)
+    xx, xy, yy = centred[:-1, :-1], centred[:-1, -1], centred[-1, -1]
+    scale = np.sqrt(np.clip(np.diag(xx), 0.0, None))
+    scale[scale <= 1e-9 * np.sqrt(np.abs(np.diag(full)[1:-1]) + 1e-300)] = np.inf  # a constant feature has no effect
+    beta = np.linalg.lstsq(xx / np.outer(scale, scale), xy / scale, rcond=1e-10)[0] / scale
+    r2 = float(beta @ xy / yy) if yy > 1e-12 * abs(full[-1, -1]) else float("nan")
+    return beta, float(mean[-1] - beta @ mean[:-1]), r2
+
+
+def _spread(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns around their mean in units of their deviation, which keeps sums of squares exact enough."""
+    stats = df.dropna(subset=list(columns)).agg(*[f(F.col(c).cast("double")).alias(f"{n}{i}") for i, c in enumerate(columns) for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    return df.withColumns({c: (F.col(c).cast("double") - F.lit(stats[f"m{i}"] or 0.0)) / F.lit(stats[f"s{i}"] or 1.0) for i, c in enumerate(columns)})
+
+
 def ols_r2(df: DataFrame, features: list[str], label: str = "cpi") -> float:
-    """R² of a linear regression with intercept, fitted by Spark's normal-equation solver.
+    """R² of a linear regression with intercept over all features, from one Gram matrix.
 
-    Too few rows fail; a constant label gives NaN.
+    Too few complete rows fail; a constant label gives NaN; dependent features are allowed.
     """
-    stats = df.agg(F.count(label).alias("n"), F.var_pop(label).alias("v")).first()
-    if stats["n"] < len(features) + 1:
-        raise ValueError(f"{stats['n']} rows are too few for {len(features)} features")
-    if not stats["v"]:
-        return float("nan")
-    rows = VectorAssembler(inputCols=features, outputCol="_x").transform(df.select(*features, F.col(label).cast("double").alias(label)))
-    model = LinearRegression(featuresCol="_x", labelCol=label, solver="normal", regParam=0.0).fit(rows.select("_x", label))
-    return float(model.summary.r2)
+    columns = [*features, label]
+    row = gram(_spread(df.select(*columns), columns), columns).first()
+    if row is None or row["n"] < len(features) + 1:
+        raise ValueError(f"{row['n'] if row else 0} rows are too few for {len(features)} features")
+    return least_squares(row["gram"], len(features))[2]
+
+
+def ols_r2_by_group(df: DataFrame, group: list[str], features: list[str], label: str = "cpi") -> DataFrame:
+    """group -> n, r2 of a regression over all features in each group; NaN where rows are too few or the label is constant."""
+    columns, least = [*features, label], len(features) + 1
+
+    @F.pandas_udf("double")
+    def r2(n: pd.Series, grams: pd.Series) -> pd.Series:
+        return pd.Series([least_squares(g, len(features))[2] if rows >= least else float("nan") for rows, g in zip(n, grams, strict=True)], dtype="float64")
+
+    sums = gram(_spread(df.select(*group, *columns), columns), columns, group)
+    return sums.select(*group, "n", F.coalesce(r2("n", "gram"), F.lit(float("nan"))).alias("r2"))  # one small matrix a group goes to Python
 
 
 def r2_by_group(df: DataFrame, group: list[str], x: str, y: str) -> DataFrame:

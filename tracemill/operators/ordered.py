@@ -7,6 +7,7 @@ buckets), works inside the pieces, and carries one small summary row per piece.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -14,10 +15,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracemill.functions.scalars import col_of, hash_hex
+from tracemill.session import cut_lineage
 
 SEGMENT_ROWS = 1 << 20      # rows of one key that a window may sort in one task
 BUCKET_ROWS = 1 << 18       # distinct values of one group before it is split by value
-VALUE_BUCKETS = 4096        # most pieces that a large group is split into by value
+FAN = 256                   # pieces that a large piece is split into by value at one level
 BLOCK_PAIRS = 1 << 22       # combinations that one block of a product makes
 
 
@@ -136,30 +138,47 @@ def prefix_length(length: int | Column, holds: Callable[[Column], Column], longe
     return F.aggregate(F.array(*[F.lit(x) for x in steps]), F.lit(0), step)
 
 
-def bucket_number(cuts: str | Column, x: str | Column, longest: int = VALUE_BUCKETS) -> Column:
+@functools.cache
+def even_points(n: int) -> str:
+    """SQL text of the array 1/n, 2/n ... (n-1)/n: one expression, as a call for each number is slow in the driver."""
+    return "array(" + ", ".join(f"{i / n!r}D" for i in range(1, n)) + ")"
+
+
+def bucket_number(cuts: str | Column, x: str | Column, longest: int) -> Column:
     """Number of sorted split points below `x`; equal values get the same number."""
     c = col_of(cuts)
     return F.coalesce(prefix_length(F.size(c), lambda i: F.get(c, i) < col_of(x), longest), F.lit(0))
 
 
-def value_buckets(df: DataFrame, keys: list[str], x: str, out: str, limit: int | None = None) -> DataFrame:
-    """Bucket number that is monotone in `x`: 0 for small groups, split points for large ones.
+def value_buckets(df: DataFrame, keys: list[str], x: str, out: str, limit: int | None = None, fan: int | None = None) -> DataFrame:
+    """Bucket number (long) that is monotone in `x`: 0 for groups of up to `limit` rows, else pieces of about that size.
 
-    Split points come from a mergeable quantile sketch of the groups above `limit` rows
-    only, so equal values share a bucket and no group is gathered whole. A group gets one
-    split point per `limit` rows, up to VALUE_BUCKETS; whether the split points are
-    broadcast is decided by their size at run time.
+    A sample sort of several levels. Pieces above the limit are split at up to `fan` points of a mergeable quantile sketch
+    and counted again, until every piece fits or holds one value: equal values share a bucket, no group is gathered whole,
+    and a group of any size ends in pieces of bounded size. A split also takes the smallest value out, so each level makes
+    every piece smaller. One count at plan time decides each level; where no group is large, nothing else is done. The rows
+    are checkpointed before the first split and after each. Groups with a null key are left whole.
     """
-    limit = limit or BUCKET_ROWS
-    large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
-    points = F.array(*[F.lit(i / VALUE_BUCKETS) for i in range(1, VALUE_BUCKETS)])
-    sketch = df.select(*keys, x).join(large, keys).groupBy(*keys, "_n").agg(
-        F.percentile_approx(x, points, F.lit(20 * VALUE_BUCKETS)).alias("_sketch")
-    )
-    wanted = F.least(F.ceil(F.col("_n") / F.lit(limit)) - 1, F.lit(VALUE_BUCKETS - 1)).cast("int")
-    thinned = F.transform(F.sequence(F.lit(1), wanted), lambda i: F.get("_sketch", (i * VALUE_BUCKETS / (wanted + 1)).cast("int") - 1))
-    cuts = sketch.select(*keys, thinned.alias("_cuts"))
-    return df.join(cuts, keys, "left").withColumn(out, bucket_number("_cuts", x)).drop("_cuts")
+    limit, fan = limit or BUCKET_ROWS, fan or FAN
+    cut, pieces = df.withColumn(out, F.lit(0).cast("bigint")), [*keys, out]
+    known = [F.col(k).isNotNull() for k in keys]
+    level = 0
+    while True:
+        sizes = cut.groupBy(*pieces).agg(F.count(F.lit(1)).alias("_n"), F.min(x).alias("_lo"), F.max(x).alias("_hi"))
+        large = sizes.filter((F.col("_n") > limit) & (F.col("_lo") < F.col("_hi")))
+        for k in known:
+            large = large.filter(k)
+        if large.isEmpty():
+            return cut
+        if not level:
+            cut = cut_lineage(cut)
+        sketch = cut.select(*pieces, x).join(large.select(*pieces, "_n", "_lo"), pieces).groupBy(*pieces, "_n", "_lo").agg(
+            F.percentile_approx(x, F.expr(even_points(fan)), F.lit(20 * fan)).alias("_sketch"))
+        wanted = F.least(F.ceil(F.col("_n") / F.lit(limit)) - 1, F.lit(fan - 1)).cast("int")
+        thinned = F.transform(F.sequence(F.lit(1), wanted), lambda i: F.get("_sketch", (i * fan / (wanted + 1)).cast("int") - 1))
+        cuts = sketch.select(*pieces, F.array_sort(F.array_distinct(F.concat(F.array("_lo"), thinned))).alias("_cuts"))
+        cut = cut_lineage(cut.join(cuts, pieces, "left").withColumn(out, F.col(out) * (fan + 1) + bucket_number("_cuts", x, fan)).drop("_cuts"))
+        level += 1
 
 
 def dim_join(big: DataFrame, dim: DataFrame, on: list[str], how: str = "left") -> DataFrame:

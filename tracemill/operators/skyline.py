@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracemill.functions.scalars import must
-from tracemill.operators.ordered import bucket_number, bucketed_rank
+from tracemill.operators.ordered import bucket_number, bucketed_rank, even_points
 from tracemill.session import cut_lineage
 
 RANGES = 256  # value ranges of the first objective whose best points are compared first
@@ -17,8 +17,7 @@ RANGES = 256  # value ranges of the first objective whose best points are compar
 
 def _bucket(df: DataFrame, x: str, buckets: int) -> DataFrame:
     """Adds `_b`, the value range of `x` (equal values together), from a mergeable quantile sketch."""
-    points = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    cuts = df.agg(F.percentile_approx(x, points, F.lit(1000)).alias("c")).scalar()
+    cuts = df.agg(F.percentile_approx(x, F.expr(even_points(buckets)), F.lit(1000)).alias("c")).scalar()
     return df.withColumn("_cuts", cuts).withColumn("_b", bucket_number("_cuts", x, buckets)).drop("_cuts")
 
 

@@ -497,3 +497,35 @@ def _(spark, sf_dir):
     model = scoring.fit_regressor(s.filter(F.col("region") < 40), ["lq_entries"])
     out = scoring.predict(model, s.filter(F.col("region") >= 40))
     return rounded(out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "lq_entries", "predicted_cpi"), 4)
+
+
+def prepared_sweep(spark, sf_dir):
+    """All prepared features of the sweep beside its keys, label, region and benchmark number; and the features' names."""
+    s = b.sweep(spark, sf_dir).drop("predicted_cpi", "ship")
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    kept = s.withColumns({"region_id": F.col("region"), "benchmark_id": F.substring("benchmark", 2, 9).cast("int"), "label": F.col("cpi")})
+    wide = sweeps.prepare_features(kept)
+    features = [c for c in wide.columns if c not in (*keys, "region_id", "benchmark_id", "label")]
+    return wide.withColumns({c: F.col(c).cast("bigint") for c in (*keys, "region_id", "benchmark_id")}), features
+
+
+@query("d23_ols_r2_all_features")
+def _(spark, sf_dir):
+    """R² over all prepared features; two of them depend on others. Tested against a solver outside Spark."""
+    wide, features = prepared_sweep(spark, sf_dir)
+    return wide.agg(F.round(F.lit(metrics.ols_r2(wide, features, "label")), 6).alias("r2"))
+
+
+@query("d23_r2_all_features_by_group")
+def _(spark, sf_dir):
+    wide, features = prepared_sweep(spark, sf_dir)
+    return rounded(metrics.ols_r2_by_group(wide, ["benchmark_id"], features, "label"))
+
+
+@query("i1_fit_absolute")
+def _(spark, sf_dir):
+    """A plane of least absolute deviations over all prepared features, fitted on four fifths of the regions, applied to the rest."""
+    wide, features = prepared_sweep(spark, sf_dir)
+    model = scoring.fit_regressor(wide.where("region_id < 40"), features, "label", kind="absolute")
+    out = scoring.predict(model, wide.where("region_id >= 40"))
+    return rounded(out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("label").alias("cpi"), "predicted_cpi"), 4)

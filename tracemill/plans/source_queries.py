@@ -161,7 +161,7 @@ def _(spark, sf_dir):
     s = b.sweep(spark, sf_dir).select("benchmark", *KEY, "ship", "lq_entries")
     sweep_files.append_training_rows(s.filter(F.col("l_orderkey") % 2 == 0), path)
     sweep_files.append_training_rows(s.filter(F.col("l_orderkey") % 2 == 1), path)
-    return spark.read.parquet(path).select("benchmark", *KEY, "ship", "lq_entries")
+    return sweep_files.read_training_rows(spark, path).select("benchmark", *KEY, "ship", "lq_entries")
 
 
 @query("a12_consolidate", f"{WITH_S} SELECT benchmark, CAST(l_orderkey AS VARCHAR) AS l_orderkey, CAST(l_partkey AS VARCHAR) AS l_partkey, ship FROM s")
@@ -263,6 +263,19 @@ def _(spark, sf_dir):
     return spark.read.schema(counts.schema).parquet(out)
 
 
+@query("k2_whole_windows", f"{WITH_COUNTS} SELECT *, 'closed' AS status FROM g")
+def _(spark, sf_dir):
+    """All windows, the last of each trace included, of rows and end marks that arrive in several batches."""
+    path, out = scratch_path(spark, "rows"), scratch_path(spark, "whole")
+    t = b.trace(spark, sf_dir).select("trace_id", "idx", "op_class", "branch_type", "inst_sync", "read_addrs", "write_addrs")
+    t.repartition(4, "idx").write.parquet(path + "/rows")
+    t.groupBy("trace_id").agg(F.count(F.lit(1)).alias("n_rows")).repartition(3, "trace_id").write.parquet(path + "/ends")
+    read = lambda schema, kind: spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/{kind}")
+    counts = streams.whole_window_counts(read(t.schema, "rows"), read("trace_id bigint, n_rows bigint", "ends"), K)
+    counts.writeStream.outputMode("append").format("parquet").option("checkpointLocation", out + "-state").trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.schema(counts.schema).parquet(out)
+
+
 def _latest(updates):
     """The last update of each window."""
     cols = [c for c in updates.columns if c != "batch"]

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracemill.functions.scalars import must, require_columns
 from tracemill.operators.ordered import dim_join
@@ -100,21 +105,96 @@ def write_features(df: DataFrame, path: str, fmt: str | None = None, mode: str =
     df.write.mode(mode).options(**options).format(fmt).save(path)
 
 
-def append_training_rows(df: DataFrame, path: str, partition: str = "benchmark") -> None:
-    """Appends rows when their columns and types equal the existing table's."""
-    spark = df.sparkSession
+COMMITS = "_commits"
+
+
+def _files(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _path(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _commits(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """(version, file) of every commit of a table, in order."""
+    files, log = _files(spark, path), _path(spark, f"{path}/{COMMITS}")
+    if not files.exists(log):
+        if files.exists(_path(spark, path)) and len(files.listStatus(_path(spark, path))):
+            raise ValueError(f"{path} holds files, but none of them is a commit")
+        return []
+    names = [str(f.getPath().getName()) for f in files.listStatus(log)]
+    return sorted((int(n.removesuffix(".json")), f"{path}/{COMMITS}/{n}") for n in names if n[0].isdigit())
+
+
+def _schema_of(spark: SparkSession, commit: str) -> T.StructType:
+    return T.StructType.fromJson(json.loads(spark.read.text(commit, wholetext=True).first()[0])["schema"])
+
+
+def _check_columns(want: T.StructType, have: T.StructType) -> None:
+    old, new = ({f.name: f.dataType.simpleString() for f in schema.fields} for schema in (have, want))
+    if old != new:
+        raise ValueError(f"columns differ from the existing table: {sorted(set(old.items()) ^ set(new.items()))}")
+
+
+def _put_if_absent(spark: SparkSession, path: str, version: int, text: str) -> bool:
+    """Publishes a commit file under its version; False if another writer has that version. A file appears whole or not at all."""
+    jvm, files = spark._jvm, _files(spark, path)
+    staged, final = _path(spark, f"{path}/{COMMITS}/.{uuid.uuid4().hex}"), _path(spark, f"{path}/{COMMITS}/{version:020d}.json")
+    out = files.create(staged, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    kind = jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(kind, 1)
+    options[0] = kind.NONE  # does not replace an existing file
     try:
-        existing = spark.read.parquet(path)
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(staged.toUri() if staged.toUri().getScheme() else files.getUri(), spark._jsc.hadoopConfiguration()).rename(staged, final, options)
+    except Py4JJavaError as e:
+        files.delete(staged, False)
+        if "FileAlreadyExistsException" in e.java_exception.getClass().getName():
+            return False
+        raise
+    return True
+
+
+def append_training_rows(df: DataFrame, path: str, partition: str = "benchmark") -> int:
+    """Appends rows when their columns and types equal the existing table's; returns the version.
+
+    Rows are staged in a folder of their own that no reader looks into, then a commit file with the folder and the schema
+    is put under the next version, if no other writer has it. A writer that loses checks the winner's schema and tries the
+    next version; if the schemas differ it removes its folder and fails. Readers (`read_training_rows`) see whole commits
+    only, and a failed or repeated job leaves at most an unread folder.
+    """
+    spark, schema = df.sparkSession, T.StructType([T.StructField(f.name, f.dataType) for f in df.schema.fields])
+    commits = _commits(spark, path)
+    if commits:
+        _check_columns(schema, _schema_of(spark, commits[-1][1]))
+    folder = f"append_id={uuid.uuid4().hex}"
+    text = json.dumps({"folder": folder, "partition": partition, "schema": schema.jsonValue()})
+    _files(spark, path).mkdirs(_path(spark, f"{path}/{COMMITS}"))
+    df.write.partitionBy(partition).parquet(f"{path}/{folder}")
+    while True:
+        commits = _commits(spark, path)
+        try:
+            if commits:
+                _check_columns(schema, _schema_of(spark, commits[-1][1]))
+        except ValueError:
+            _files(spark, path).delete(_path(spark, f"{path}/{folder}"), True)
             raise
-        existing = None
-    if existing is not None:
-        have = {f.name: f.dataType.simpleString() for f in existing.schema.fields}
-        want = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-        if have != want:
-            raise ValueError(f"columns differ from the existing table: {sorted(set(have.items()) ^ set(want.items()))}")
-    df.write.mode("append").partitionBy(partition).parquet(path)
+        version = commits[-1][0] + 1 if commits else 0
+        if _put_if_absent(spark, path, version, text):
+            return version
+
+
+def read_training_rows(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """All rows of the commits up to a version (default: the latest). The log is one small file for each append."""
+    commits = [file for number, file in _commits(spark, path) if version is None or number <= version]
+    if not commits:
+        raise ValueError(f"{path} has no commit")
+    schema = _schema_of(spark, commits[-1])
+    texts = [r[0] for r in spark.read.text(commits, wholetext=True).collect()]
+    folders = [f"{path}/{json.loads(t)['folder']}" for t in texts]
+    return spark.read.schema(schema).option("basePath", path).parquet(*folders).select(*schema.names)
 
 
 def _newest(spark: SparkSession, path: str):

@@ -105,3 +105,57 @@ def closed_window_counts(stream: DataFrame, k: int = WINDOW_ROWS, idle: int | No
     timeout = GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout
     out = T.StructType([*keys.fields, *counters.fields])
     return rows.groupBy("trace_id", "window_id").applyInPandasWithState(count, out, counters, "append", timeout)
+
+
+def whole_window_counts(stream: DataFrame, ends: DataFrame, k: int = WINDOW_ROWS, forget: int | None = None) -> DataFrame:
+    """All windows of traces whose end is told: (trace_id, window_id, status, counts...) in append mode.
+
+    `ends` is a stream of (trace_id, n_rows), one mark for each finished trace, that may come before, between or after its
+    rows. A window is given out once, with status `closed`, when all its rows have come: k of them, or fewer for the last
+    window of a marked trace. Rows that come for a window given out before are reported as `late` with their counts, and
+    change nothing else. Marks are spread over the windows of their trace, so state is one row of counters per window and
+    a hot trace is spread over all tasks.
+
+    The state of a closed window stays as its record until the mark of its trace has come, or, with `forget` milliseconds,
+    until nothing has come for it for that long. With `forget`, a window that nothing has come for is given out as it is,
+    with status `partial`, so state ends empty even where a mark is lost. Marks of traces without rows add nothing.
+    """
+    flagged = ordinal_windows(stream if "is_load" in stream.columns else instruction_flags(stream), k)
+    rows = flagged.select("trace_id", "window_id", F.lit(1).cast("bigint").alias("size"), *[F.coalesce(c().cast("bigint"), F.lit(0).cast("bigint")).alias(n) for n, c in COUNTED.items()], F.lit(0).cast("bigint").alias("expected"))
+    id_type, window_type = rows.schema["trace_id"].dataType, rows.schema["window_id"].dataType
+    total = F.col("n_rows").cast("bigint")
+    marks = ends.where(total > 0).select(F.col("trace_id").cast(id_type), total.alias("n_rows"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.call_function("div", total - 1, F.lit(k)))).alias("w"))
+    marks = marks.select("trace_id", F.col("w").cast(window_type).alias("window_id"), *[F.lit(0).cast("bigint").alias(n) for n in COUNT_NAMES], F.least(F.lit(k).cast("bigint"), F.col("n_rows") - F.col("w") * k).alias("expected"))
+    keys = T.StructType([rows.schema["trace_id"], rows.schema["window_id"]])
+    state_type = T.StructType([*(T.StructField(n, T.LongType()) for n in COUNT_NAMES), T.StructField("expected", T.LongType()), T.StructField("given", T.BooleanType())])
+    out = T.StructType([*keys.fields, T.StructField("status", T.StringType()), *(T.StructField(n, T.LongType()) for n in COUNT_NAMES)])
+
+    def count(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        *held, expected, given = state.get if state.exists else (*[0] * len(COUNT_NAMES), 0, False)
+        found, fresh = np.array(held, np.int64), np.zeros(len(COUNT_NAMES), np.int64)
+        row = lambda status, counts: pd.DataFrame([[*key, status, *map(int, counts)]], columns=out.names)
+        if state.hasTimedOut:
+            state.remove()
+            if not given and found[0]:
+                yield row("partial", found)
+            return
+        for part in parts:
+            fresh += part[COUNT_NAMES].to_numpy(np.int64).sum(0)
+            expected = max(expected, int(part["expected"].max()))
+        if given and fresh[0]:
+            yield row("late", fresh)
+        elif not given:
+            found += fresh
+            given = bool(found[0]) and found[0] >= (expected or k)
+            if given:
+                yield row("closed", found)
+        if given and expected and not forget:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((*map(int, found), expected, given))
+            if forget:
+                state.setTimeoutDuration(forget)
+
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if forget else GroupStateTimeout.NoTimeout
+    return rows.unionByName(marks).groupBy("trace_id", "window_id").applyInPandasWithState(count, out, state_type, "append", timeout)
