@@ -22,7 +22,7 @@ UNKNOWN_LANG = "und"
 SCORE_SCALE = 2_000_000
 SWALLOWED_PERCENT = 80
 BURST_ENTRIES = 4096        # entries of a hash container before it bursts by the next word
-TRIE_ENTRIES = 600_000      # entries of all tries of a task before whole subtrees are spilled
+TRIE_ENTRIES = 800_000      # entries of all tries of a task before whole subtrees are spilled
 VOCABULARY = 1 << 20        # words of a language in a task before everything is spilled and word ids start anew
 CHUNK_WORDS = 1 << 19       # words numbered at once
 WORD_BITS = 21              # holds VOCABULARY and a chunk; three ids fit into a signed long
@@ -53,7 +53,7 @@ class HatTrie:
             self._add(self.root, firsts, rests, self.length - 1)
 
     def _add(self, node: Node, firsts: np.ndarray, rests: np.ndarray, left: int) -> None:
-        order = np.argsort(firsts, kind="stable")
+        order = np.argsort(firsts)
         firsts, rests = firsts[order], rests[order]
         cuts = (np.flatnonzero(firsts[1:] != firsts[:-1]) + 1).tolist()
         values = rests.tolist()
@@ -105,7 +105,8 @@ class HatTrie:
                 counts.extend(container.values())
         first = np.repeat(np.array(firsts, np.int64), lengths)
         rest = np.array(rests, np.int64) | np.repeat(np.array(prefixes, np.int64), lengths)
-        order = np.lexsort((rest, first))
+        below = WORD_BITS * (self.length - 1)
+        order = np.argsort(first << below | rest) if below + WORD_BITS < 64 else np.lexsort((rest, first))
         return first[order], rest[order], np.array(counts, np.int64)[order]
 
 
