@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tracemill.functions import opclass, scalars
 from tracemill.functions.registry import REGISTRY
 from tracemill.operators import encode, matrix, metrics, scoring, splits, sweeps, windows
+from tracemill.session import RELEASE_SHUFFLES, cut_lineage
 
 
 def one(spark, *cols, **values):
@@ -224,3 +225,13 @@ def test_least_absolute_deviations(spark):
     assert best <= got + 1e-12 and got == pytest.approx(best, rel=2e-3)
     with pytest.raises(ValueError):
         scoring.fit_absolute(df.limit(0), ["x"])
+
+
+def test_lineage_cut_leaves_its_input_usable(spark):
+    """Shuffle files go with the cut, the input keeps its own, and the setting is as before."""
+    counts = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    first = counts.orderBy("k").collect()
+    kept = cut_lineage(counts)
+    assert spark.conf.get(RELEASE_SHUFFLES, "false") == "false"
+    assert kept.orderBy("k").collect() == first == counts.orderBy("k").collect()
+    assert cut_lineage(kept.join(counts, ["k", "count"])).count() == 7

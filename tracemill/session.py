@@ -25,6 +25,9 @@ DEFAULTS = {
     "spark.ui.enabled": "false",
 }
 
+# Read when a plan is made; releases the plan's shuffle files at the end of its first job.
+RELEASE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def get_session(master: str | None = None, app: str = "tracemill", conf: dict[str, str] | None = None) -> SparkSession:
     builder = SparkSession.builder.appName(app)
@@ -53,9 +56,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives lost executors, unlike a local one."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Reliable checkpoint: survives lost executors, unlike a local one.
+
+    The shuffle files behind it are released once it is written, so that jobs of many steps hold those of one step. The
+    projection has a plan of its own: `df` keeps its shuffle files, if it has any, and can be used again.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    before = spark.conf.get(RELEASE_SHUFFLES, "false")
+    spark.conf.set(RELEASE_SHUFFLES, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        spark.conf.set(RELEASE_SHUFFLES, before)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
