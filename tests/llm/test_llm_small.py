@@ -202,7 +202,7 @@ def test_links_of_many_close_fingerprints(spark):
     assert {v: roots.get(v, v) for v in signed} == want
 
 
-def test_near_copies_of_large_chained_groups(spark, monkeypatch):
+def test_near_copies_of_large_chained_groups(spark):
     """One group of slowly drifting copies, so that few texts are linked to any head, and texts that only share a passage."""
     rng = np.random.default_rng(4)
     base, texts = [f"w{i}" for i in rng.integers(0, 9000, 120)], []
@@ -221,12 +221,44 @@ def test_near_copies_of_large_chained_groups(spark, monkeypatch):
             old = parent[i]
             parent = {k: parent[j] if r == old else r for k, r in parent.items()}
     rows = spark.createDataFrame(list(enumerate(texts)), "print long, text string")
-    monkeypatch.setattr(minhash_dedup, "PAIRED_MEMBERS", 5)
-    roots = {r.node: r.root for r in minhash_dedup.link_texts(rows, exact=True).collect()}
+    roots = {r.node: r.root for r in minhash_dedup.link_texts(rows).collect()}
     got = {i: roots.get(i, i) for i in parent}
     assert len({(parent[i], got[i]) for i in parent}) == len(set(parent.values())) == len(set(got.values()))
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_pairs_inside_a_large_group_of_unlike_copies(spark, monkeypatch, broadcast):
+    """Copies of one text, most below 0.8 to it and to each other, a second group beside it, and planted pairs just above 0.8."""
+    if not broadcast:
+        monkeypatch.setattr(minhash_dedup, "HEAD_HASHES", 0)
+    rng = np.random.default_rng(21)
+    texts = []
+
+    def edited(base, edits, tag):
+        return [f"{tag}e{i}" if i in edits else w for i, w in enumerate(base)]
+
+    for group, copies in enumerate((300, 120)):
+        centre = [f"g{group}w{i}" for i in rng.integers(0, 5000, 150)]
+        for c in range(copies):
+            texts.append(edited(centre, set(rng.choice(150, int(rng.integers(1, 14)), replace=False).tolist()), f"g{group}c{c}"))
+    for pair in range(40):
+        base = texts[int(rng.integers(0, 420))]
+        far = edited(base, set(range(5, 145, 12)), f"p{pair}")
+        texts += [far, edited(far, {20, 50, 80}, f"r{pair}")]
+    texts += [[], ["one"], ["one"], ["a", "b"]]
+    rows = spark.createDataFrame([(i, " ".join(t) + " " * (i % 3)) for i, t in enumerate(texts)], "print long, text string").repartition(5)
+    shingled = [{tuple(t[k:k + 5]) for k in range(max(len(t) - 4, 1))} for t in texts]
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if 10 * len(shingled[i] & shingled[j]) >= 8 * len(shingled[i] | shingled[j])]
+    assert all((420 + 2 * p + 1, 420 + 2 * p) in set(near) for p in range(40))
+    parent = {i: i for i in range(len(texts))}
+    for i, j in near:
+        if parent[i] != parent[j]:
+            low, high = sorted((parent[i], parent[j]))
+            parent = {k: low if r == high else r for k, r in parent.items()}
+    roots = {r.node: r.root for r in minhash_dedup.link_texts(rows).collect()}
+    assert {i: roots.get(i, i) for i in parent} == parent
+
+
 def test_pipeline_drops_near_copies(spark, docs, none):
     rng = np.random.default_rng(11)
     rows = []
