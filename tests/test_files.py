@@ -100,6 +100,29 @@ def test_arrays(spark, tmp_path):
     assert arrays.read_config_latency_arrays(spark, str(d / "all.npy")).filter("cfg_idx = 1 and idx = 2 and fetch_lat = 10 and exec_lat = 11").count() == 1
 
 
+def test_arrays_are_written_in_segments(spark, tmp_path):
+    """Sparse positions, several traces and configurations, segments far smaller than a trace, written twice."""
+    rows = [(t, c, 32, 512, 3 * i + 1, i + t, i * c) for t in (1, 2) for c in (16, 64) for i in range(50 * t)]
+    lat = spark.createDataFrame(rows, "trace_id long, l1i_kb int, l1d_kb int, l2_kb int, idx long, fetch_lat int, exec_lat int").repartition(7)
+    for _ in range(2):
+        arrays.write_latency_arrays(lat, f"file:{tmp_path}/lat", segment_rows=16)
+    files = sorted(f.name for f in (tmp_path / "lat" / "1").iterdir())
+    assert files == sorted(f"seg_{s}_l1i_{c}_l1d_32_l2_512_cache_latencies.npy" for s in (0, 16, 32, 48) for c in (16, 64))
+    assert np.load(tmp_path / "lat" / "1" / files[0]).shape == (16, 2)
+    got = {tuple(r) for r in arrays.read_latency_arrays(spark, f"{tmp_path}/lat/*/*.npy").collect()}
+    assert got == {(str(t), c, a, b, (i - 1) // 3, f, e) for t, c, a, b, i, f, e in rows}
+
+    thr = [("x", r, p, q, w, p + q + w / 8) for r, qs in (("alu", (0,)), ("rob", (0, 5))) for p in (1, 2) for q in qs for w in range(21)]
+    df = spark.createDataFrame(thr, "trace_id string, resource string, p0 int, p1 int, window_id long, thr double").repartition(5)
+    arrays.write_window_throughput(df, str(tmp_path / "thr"), segment_windows=8)
+    assert len(list((tmp_path / "thr" / "x").iterdir())) == 6
+    got = {tuple(r) for r in arrays.read_window_throughput(spark, f"{tmp_path}/thr/*/*.npy").drop("path", "cfg_idx").collect()}
+    assert got == set(thr)
+    empty = tmp_path / "none"
+    arrays.write_latency_arrays(lat.limit(0), str(empty))
+    assert not empty.exists()
+
+
 def test_append_checks_columns(spark, tmp_path):
     path = str(tmp_path / "t")
     df = spark.createDataFrame([("a", 1)], "benchmark string, x int")

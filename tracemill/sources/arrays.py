@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 import io
+import os
+import re
 import uuid
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracemill.operators.ordered import bucketed_rank
+
 BATCH_ROWS = 1 << 16
+SEGMENT_ROWS = 1 << 20     # rows of one written latency file
+SEGMENT_WINDOWS = 1 << 12  # windows of one written throughput file
 LATENCY_FILE = r"([^/]+)/[^/]*l1i_(\d+)_l1d_(\d+)_l2_(\d+)_cache_latencies\.npy$"
 
 
@@ -23,8 +29,8 @@ def _files(spark: SparkSession, glob: str) -> DataFrame:
 def read_latency_arrays(spark: SparkSession, glob: str, pattern: str = LATENCY_FILE) -> DataFrame:
     """(trace_id, l1i_kb, l1d_kb, l2_kb, idx, fetch_lat, exec_lat) from (N, 2) arrays.
 
-    The trace is the folder name, the sizes come from the file name. Files of another
-    shape are skipped.
+    The trace is the folder name, the sizes come from the file name, and so does the position of a segment's first row.
+    Files of another shape are skipped.
     """
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -38,49 +44,75 @@ def read_latency_arrays(spark: SparkSession, glob: str, pattern: str = LATENCY_F
 
     rows = _files(spark, glob).mapInPandas(decode, "path string, idx bigint, fetch_lat int, exec_lat int")
     sizes = [F.regexp_extract("path", pattern, i).cast("int").alias(n) for i, n in ((2, "l1i_kb"), (3, "l1d_kb"), (4, "l2_kb"))]
-    return rows.select(F.regexp_extract("path", pattern, 1).alias("trace_id"), *sizes, "idx", "fetch_lat", "exec_lat")
+    return rows.select(F.regexp_extract("path", pattern, 1).alias("trace_id"), *sizes, (_first() + F.col("idx")).alias("idx"), "fetch_lat", "exec_lat")
+
+
+def _filesystem(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path and the path inside it, as an executor sees them."""
+    plain = re.sub("^file:/+", "/", path)
+    return fs.FileSystem.from_uri(re.sub("^s3a:", "s3:", plain)) if "://" in plain else (fs.LocalFileSystem(), os.path.abspath(plain))
 
 
-def _local(path: str) -> Path:
-    """A folder of a mounted file system that all executors share."""
-    if "://" in path.replace("file:///", "/") or path.startswith(("hdfs:", "s3a:")):
-        raise ValueError(f"arrays are written to mounted folders only, not to {path}")
-    return Path(path.removeprefix("file://").removeprefix("file:"))
+def _save(folder: str, trace: str, name: str, array: np.ndarray) -> None:
+    """Written under another name and renamed, so that a repeated task leaves whole files."""
+    files, root = _filesystem(folder)
+    files.create_dir(f"{root}/{trace}", recursive=True)
+    part, file = f"{root}/{trace}/.{uuid.uuid4().hex}.part", f"{root}/{trace}/{name}"
+    whole = io.BytesIO()
+    np.save(whole, array)
+    with files.open_output_stream(part) as out:
+        out.write(whole.getbuffer())
+    if not isinstance(files, fs.LocalFileSystem) and files.get_file_info(file).type != fs.FileType.NotFound:
+        files.delete_file(file)  # of an earlier attempt; only local renames replace a file
+    files.move(part, file)
 
 
-def write_latency_arrays(latency: DataFrame, path: str) -> None:
-    """One (N, 2) array for each trace and cache configuration, rows in idx order, in the layout that is read below.
+def write_latency_arrays(latency: DataFrame, path: str, segment_rows: int = SEGMENT_ROWS) -> None:
+    """(n, 2) arrays of each trace and cache configuration, rows in idx order, in the layout that is read below.
 
-    A file is one array by its format, so a task holds one trace's latencies of one configuration. Files are written
-    under another name and renamed, so a repeated task leaves whole files.
+    A file holds `segment_rows` rows and names the position of its first one, so a hot trace is written by many tasks, each
+    of a fixed size. Positions are dense: an idx that is missing leaves no row.
     """
-    def save(pdf: pd.DataFrame) -> pd.DataFrame:
-        trace, l1i, l1d, l2 = (pdf[c].iloc[0] for c in ("trace_id", "l1i_kb", "l1d_kb", "l2_kb"))
-        array = pdf.sort_values("idx")[["fetch_lat", "exec_lat"]].to_numpy(np.int32)
-        _save(_local(path) / str(trace) / f"l1i_{l1i}_l1d_{l1d}_l2_{l2}_cache_latencies.npy", array)
+    keys = ["trace_id", "l1i_kb", "l1d_kb", "l2_kb"]
+    ranked = bucketed_rank(latency.select(*keys, "idx", "fetch_lat", "exec_lat"), keys, F.floor(F.col("idx") / F.lit(segment_rows)), ["idx"], "pos")
+    cut = ranked.select(*keys, "pos", "fetch_lat", "exec_lat", F.floor(F.col("pos") / F.lit(segment_rows)).alias("segment"))
+
+    def save(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        trace, l1i, l1d, l2, segment = key
+        start = int(segment) * segment_rows
+        array = np.empty((len(pdf), 2), np.int32)
+        array[pdf["pos"].to_numpy() - start] = pdf[["fetch_lat", "exec_lat"]].to_numpy(np.int32)
+        _save(path, trace, f"seg_{start}_l1i_{l1i}_l1d_{l1d}_l2_{l2}_cache_latencies.npy", array)
         return pd.DataFrame({"rows": [len(array)]})
 
-    latency.groupBy("trace_id", "l1i_kb", "l1d_kb", "l2_kb").applyInPandas(save, "rows bigint").agg(F.sum("rows")).collect()
+    cut.groupBy(*keys, "segment").applyInPandas(save, "rows bigint").agg(F.sum("rows")).collect()
 
 
-def write_window_throughput(throughput: DataFrame, path: str) -> None:
-    """One parameter-by-window matrix for each trace and resource, in the layout of read_window_throughput."""
-    def save(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot(index=["p0", "p1"], columns="window_id", values="thr").sort_index(axis=1)
-        p0, p1 = (wide.index.get_level_values(i).to_numpy() for i in (0, 1))
-        head = [np.full(len(wide), 2.0 if p1.any() else 1.0), p0, *([p1] if p1.any() else [])]
-        _save(_local(path) / str(pdf["trace_id"].iloc[0]) / f"thr_{pdf['resource'].iloc[0]}.npy", np.column_stack([*head, wide.to_numpy()]))
-        return pd.DataFrame({"rows": [len(wide)]})
+def write_window_throughput(throughput: DataFrame, path: str, segment_windows: int = SEGMENT_WINDOWS) -> None:
+    """Parameter-by-window matrices of each trace and resource, in the layout of read_window_throughput.
+
+    A file holds the columns of `segment_windows` windows and names the first one, so the size of a task follows from the
+    number of swept parameters alone. Windows without a value of a parameter are NaN.
+    """
+    cut = throughput.select("trace_id", "resource", "p0", "p1", "window_id", "thr", F.floor(F.col("window_id") / F.lit(segment_windows)).alias("segment"))
+
+    def save(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        trace, resource, segment = key
+        start = int(segment) * segment_windows
+        params, row = np.unique(pdf[["p0", "p1"]].to_numpy(), axis=0, return_inverse=True)
+        place = pdf["window_id"].to_numpy() - start
+        values = np.full((len(params), place.max() + 1), np.nan)
+        values[row.reshape(-1), place] = pdf["thr"].to_numpy()
+        head = [np.full(len(params), 2.0), params] if params[:, 1].any() else [np.full(len(params), 1.0), params[:, :1]]
+        _save(path, trace, f"seg_{start}_thr_{resource}.npy", np.column_stack([*head, values]))
+        return pd.DataFrame({"rows": [len(params)]})
 
-    throughput.groupBy("trace_id", "resource").applyInPandas(save, "rows bigint").agg(F.sum("rows")).collect()
+    cut.groupBy("trace_id", "resource", "segment").applyInPandas(save, "rows bigint").agg(F.sum("rows")).collect()
 
 
-def _save(file: Path, array: np.ndarray) -> None:
-    file.parent.mkdir(parents=True, exist_ok=True)
-    part = file.with_name(f".{uuid.uuid4().hex}.part")
-    with part.open("wb") as out:
-        np.save(out, array)
-    part.replace(file)
+def _first() -> Column:
+    """Position of a segment's first row or window, from the file name; 0 for a whole array."""
+    return F.coalesce(F.nullif(F.regexp_extract("path", r"/seg_(\d+)_[^/]*$", 1), F.lit("")).cast("bigint"), F.lit(0))
 
 
 def read_config_latency_arrays(spark: SparkSession, glob: str) -> DataFrame:
@@ -128,10 +160,10 @@ def read_window_throughput(spark: SparkSession, glob: str) -> DataFrame:
 
     rows = _files(spark, glob).mapInPandas(decode, "path string, p0 int, p1 int, window_id bigint, thr double")
     cfg = F.nullif(F.regexp_extract("path", r"/config_(\d+)/", 1), F.lit("")).cast("int")
-    trace = F.regexp_extract(F.regexp_replace("path", r"/config_\d+/", "/"), r"([^/]+)/thr_[^/]+$", 1)
+    trace = F.regexp_extract(F.regexp_replace("path", r"/config_\d+/", "/"), r"([^/]+)/(?:seg_\d+_)?thr_[^/]+$", 1)
     return rows.select(
         trace.alias("trace_id"), F.regexp_extract("path", r"thr_([^/]+)\.npy$", 1).alias("resource"),
-        F.coalesce(cfg, F.lit(0)).alias("cfg_idx"), "p0", "p1", "window_id", "thr",
+        F.coalesce(cfg, F.lit(0)).alias("cfg_idx"), "p0", "p1", (_first() + F.col("window_id")).alias("window_id"), "thr",
     )
 
 
