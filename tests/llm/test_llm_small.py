@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tracemill.llm import byte_bpe, chat_format, decision_list, hilbert_ann, html_extract, language_id, minhash_dedup, mixing, simhash_dedup, toxicity, url_vocabulary
 from tracemill.llm.components import components
+from tracemill.llm.queries import QUERIES
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LONG = " ".join(f"word{i % 977} {i}" for i in range(20_000))
@@ -533,3 +535,45 @@ def test_toxicity(spark, docs, none):
     assert len(got) == docs.count() and all(0 <= r.score < 0.3 and r.predicted == 0 for r in got)
     assert toxicity.score_toxicity(none, model).count() == 0 and toxicity.fit_sample(none, none.select("doc_id", F.lit(1).alias("toxic")), F.lit(True)) is None
     assert {r.score for r in toxicity.score_toxicity(docs, None).collect()} == {0.0}
+
+
+def test_toxic_words_in_runs_without_spaces(spark):
+    rng = np.random.default_rng(9)
+    clean = [f"w{i}" for i in range(300)] + ["plain", "garden", "river", "winter", "table", "paper", "日本語の文章です"]
+    make = lambda bad: " ".join(np.insert(rng.choice(clean, 60), 7, ["vile", "slur"] if bad else ["nice", "word"]))
+    y = [i % 2 for i in range(300)]
+    model = toxicity.fit([make(b) for b in y], y)
+    run = "gardenriverplaintablepaperwinter"
+    texts = [f"{run}VILE{run}", f"{run}nice{run}", f"{run * 40}slur{run * 40}", "日本語の文章ですvile日本語の文章です", "日本語の文章です" * 9, "x" * 100_000, f"some {run}{run} words"]
+    found, _, words = toxicity.score(model, pa.array(texts))
+    assert list(found >= 0.3) == [True, False, True, True, False, False, False]
+    assert list(words.lengths) == [68, 64 + 4, 80 * 32 + 4, 20, 72, 100_000, 66]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in toxicity.score_toxicity(df, model).collect():
+        assert abs(r.score - found[r.doc_id]) < 1e-9
+        hits = [r.text[s.start:s.end].lower() for s in r.toxic_spans]
+        assert len(hits) == int(found[r.doc_id] >= 0.3) and all("vile" in h or "slur" in h for h in hits)
+    one, other = "a" * 20 + "b" + "a" * 20, "a" * 20 + "c" + "a" * 20
+    a, b = (toxicity.read_words(pa.array([w])) for w in (one, other))
+    assert set(map(tuple, a.features)) != set(map(tuple, b.features))
+    assert [len(c) for c in toxicity.candidates("é日a".encode())] == [2, 2, 1]
+
+
+def test_toxicity_query_ignores_held_out_labels(spark, tmp_path):
+    """Flipped labels of the fold that is held out leave every score as it is; odd rows do not stop the query."""
+    rng = np.random.default_rng(3)
+    clean = [f"w{i}" for i in range(200)]
+    texts = [" ".join([*rng.choice(clean, 40), *(["vile", "slur"] if i % 3 == 0 else [])]) for i in range(240)] + [None, "", "one"]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, 0.5) for i, t in enumerate(texts)] + [(None, "vile slur", None, None, None, None)],
+                                 "doc_id long, text string, lang string, source string, n_chars long, score double")
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    got = []
+    for flip in (False, True):
+        folder = tmp_path / str(flip)
+        docs.write.parquet(str(folder / "documents.parquet"))
+        labels = [(i, int((i % 3 == 0) != (flip and held(i))), 1) for i in range(240)]
+        spark.createDataFrame(labels, "doc_id long, toxic int, quality int").write.parquet(str(folder / "labels.parquet"))
+        rows = QUERIES["op10_toxicity"](spark, str(folder)).collect()
+        assert len(rows) == len(texts) + 1 and all(r.held_out == held(r.doc_id) for r in rows if r.doc_id is not None)
+        got.append({r.doc_id: (r.score, r.predicted) for r in rows})
+    assert got[0] == got[1] and all(got[0][i][1] == int(i % 3 == 0) for i in range(240))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,7 +16,11 @@ from pyspark.sql import functions as F
 from tracemill.llm.common import map_texts, slices
 
 BUCKETS = 1 << 18
-PREFIXES, SUFFIXES, HEAD = range(3, 9), range(3, 6), 32
+PREFIXES, SUFFIXES = range(3, 9), range(3, 6)
+# Bytes of a word above which it is a run without spaces, and the same for one with characters of three bytes or more, as in
+# scripts that do not part words.
+LONGEST, LONGEST_WIDE = 32, 8
+WIDE = re.compile(rb"[\xe0-\xff]")
 WHOLE = len(PREFIXES)  # column of the whole word
 # A chain of more words is cut into parts that overlap on both sides.
 PART, OVERLAP = 2048, 512
@@ -35,30 +40,84 @@ class ToxicModel:
 
 @dataclass(frozen=True)
 class Words:
-    features: np.ndarray  # distinct words x features
-    codes: np.ndarray  # distinct word of each position
+    """Every position of a text has one candidate, its word, or several where a run without spaces has no words."""
+
+    features: np.ndarray  # distinct candidates x features
+    codes: np.ndarray  # distinct candidate of each candidate
+    heads: np.ndarray | None  # first candidate of each position; None if each has one
     starts: np.ndarray  # first position of each text
-    lengths: np.ndarray
+    lengths: np.ndarray  # positions of each text
+    firsts: np.ndarray | None  # first position of each word or run; None if each has one position
+    counts: np.ndarray  # words and runs of each text
+
+    def position(self) -> np.ndarray:
+        """Position of each candidate."""
+        return np.repeat(np.arange(len(self.heads)), np.diff(self.heads, append=len(self.codes))) if self.heads is not None else np.arange(len(self.codes))
+
+    def best(self, values: np.ndarray) -> np.ndarray:
+        """Largest value of each position's candidates."""
+        return values if self.heads is None else np.maximum.reduceat(values, self.heads)
+
+    def chosen(self, values: np.ndarray) -> np.ndarray:
+        """Code of each position's first candidate of the largest value."""
+        if self.heads is None:
+            return self.codes
+        place = np.flatnonzero(values == self.best(values)[self.position()])
+        return self.codes[place[np.searchsorted(place, self.heads)]]
+
+
+def is_run(word: bytes) -> bool:
+    return len(word) > LONGEST or len(word) > LONGEST_WIDE and WIDE.search(word) is not None
+
+
+def candidates(run: bytes) -> Iterator[list[bytes]]:
+    """For each character of a run without spaces what may be a word there: whole characters of as many bytes as a prefix that is a feature."""
+    ends = lambda at: at == len(run) or at < len(run) and run[at] & 0xC0 != 0x80
+    for i, b in enumerate(run):
+        if b & 0xC0 != 0x80:
+            yield [run[i:i + n] for n in PREFIXES if ends(i + n)] or [run[i:]]
 
 
 def read_words(texts: pa.Array) -> Words:
-    """Lower-cased words of each text (null: none) and the hashed features of the distinct ones."""
+    """Lower-cased words of each text (null: none), candidates within runs, and the hashed features of the distinct ones."""
     raw = pc.fill_null(pc.utf8_lower(texts), "").cast(pa.large_binary()).to_pylist()
-    lengths = np.zeros(len(raw), np.int64)
-    chunks, run = [], []
-    for i, text in enumerate(raw):
-        words = text.translate(SEPARATORS).split()
-        lengths[i] = len(words)
-        run += words
+    lengths, n_words = np.zeros(len(raw), np.int64), np.zeros(len(raw), np.int64)
+    chunks, run, sizes, positions = [], [], [], []
+
+    def keep(words: list[bytes]) -> None:
+        run.extend(words)
         if len(run) > 1 << 18:
             chunks.append(pa.array(run, pa.binary()))
-            run = []
+            run.clear()
+
+    for i, text in enumerate(raw):
+        words = text.translate(SEPARATORS).split()
+        lengths[i] = n_words[i] = len(words)
+        if max(map(len, words), default=0) <= LONGEST and not WIDE.search(text):
+            keep(words)
+            sizes.append(np.ones(len(words), np.int8))
+            positions.append(np.ones(len(words), np.int64))
+            continue
+        counts, per_word = array("b"), []
+        for word in words:
+            before = len(counts)
+            for near in candidates(word) if is_run(word) else ([word],):
+                keep(near)
+                counts.append(len(near))
+            per_word.append(len(counts) - before)
+        lengths[i] = len(counts)
+        positions.append(np.array(per_word, np.int64))
+        sizes.append(np.frombuffer(counts, np.int8) if counts else np.empty(0, np.int8))
     coded = pa.concat_arrays([*chunks, pa.array(run, pa.binary())]).dictionary_encode()
-    return Words(word_features(coded.dictionary), coded.indices.to_numpy(), lengths.cumsum() - lengths, lengths)
+    codes, per = coded.indices.to_numpy(), np.concatenate([*sizes, np.empty(0, np.int8)])
+    heads = per.cumsum(dtype=np.int64) - per if len(per) < len(codes) else None
+    wide = np.concatenate([*positions, np.empty(0, np.int64)])
+    firsts = wide.cumsum() - wide if len(wide) < len(per) else None
+    return Words(word_features(coded.dictionary), codes, heads, lengths.cumsum() - lengths, lengths, firsts, n_words)
 
 
 def word_features(words: pa.Array) -> np.ndarray:
-    """Buckets of the whole word, its prefixes and its suffixes in bytes; bucket 0 where the word is shorter."""
+    """Buckets of the whole word of LONGEST bytes or less, its prefixes and its suffixes in bytes; bucket 0 where it is shorter."""
     offsets = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, 4 * words.offset) if len(words) else np.zeros(1, np.int32)
     data = np.frombuffer(words.buffers()[2] or b"", np.uint8).astype(np.uint32)
     first, size = offsets[:-1].astype(np.int64), np.diff(offsets)
@@ -70,7 +129,7 @@ def word_features(words: pa.Array) -> np.ndarray:
         columns.append(np.where(real, (mixed ^ mixed >> np.uint32(15)) * np.uint32(0x85EBCA6B) % np.uint32(BUCKETS - 1) + np.uint32(1), 0).astype(np.int32))
 
     h = np.zeros(len(size), np.uint32)
-    for j in range(HEAD):
+    for j in range(LONGEST):
         inside = np.flatnonzero(size > j)
         h[inside] = h[inside] * np.uint32(0x01000193) + data[first[inside] + j] + np.uint32(1)
         if j + 1 in PREFIXES:
@@ -134,20 +193,24 @@ def chain_marginals(odds: np.ndarray, starts: np.ndarray, lengths: np.ndarray, t
 
 
 def word_odds(model: ToxicModel, words: Words) -> np.ndarray:
-    return np.exp(np.clip(model.weights[words.features].sum(1) + model.bias, -20, 20))[words.codes]
+    return words.best(np.exp(np.clip(model.weights[words.features].sum(1) + model.bias, -20, 20))[words.codes])
 
 
 def document_features(p: np.ndarray, words: Words) -> np.ndarray:
-    """Per text: 1, largest marginal, log of their sum and of their mean; zeros but for the 1 in a text without words."""
-    full = words.lengths > 0
-    out = np.zeros((len(words.lengths), 4))
+    """Per text: 1, largest marginal, log of their sum and of their mean; zeros but for the 1 in a text without words.
+
+    A run without spaces counts as one word of its largest marginal, so that its length alone adds nothing.
+    """
+    p = p if words.firsts is None else np.maximum.reduceat(p, words.firsts)
+    starts, full = words.counts.cumsum() - words.counts, words.counts > 0
+    out = np.zeros((len(words.counts), 4))
     out[:, 0] = 1
     if full.any():
-        at = words.starts[full]
+        at = starts[full]
         total = np.add.reduceat(p, at)
         out[full, 1] = np.maximum.reduceat(p, at)
         out[full, 2] = np.log1p(total)
-        out[full, 3] = np.log1p(100 * total / words.lengths[full])
+        out[full, 3] = np.log1p(100 * total / words.counts[full])
     return out
 
 
@@ -157,7 +220,7 @@ def label_words(words: Words, toxic: np.ndarray) -> np.ndarray:
     A feature does if the log ratio of its shares of toxic and other documents, less 2.5 standard errors, is above 1. A word
     that is itself in 20 documents or more is judged by itself, not by its prefixes and suffixes.
     """
-    document = np.repeat(np.arange(len(words.lengths)), words.lengths)
+    document = np.repeat(np.arange(len(words.lengths)), words.lengths)[words.position()]
     pairs = np.unique(document.astype(np.int64) * len(words.features) + words.codes)
     per_toxic, per_clean = np.zeros(BUCKETS), np.zeros(BUCKETS)
     of_doc, of_word = pairs // max(len(words.features), 1), pairs % max(len(words.features), 1)
@@ -172,7 +235,7 @@ def label_words(words: Words, toxic: np.ndarray) -> np.ndarray:
     marks[0] = False
     whole = words.features[:, WHOLE]
     judged = np.where((per_toxic + per_clean)[whole] >= 20, marks[whole], marks[words.features].any(1))
-    return judged[words.codes] & (toxic[document] > 0)
+    return words.best(judged[words.codes] & (toxic[document] > 0))
 
 
 def fit(texts: list[str], labels: list[int], steps: int = 40, ridge: float = 1e-4) -> ToxicModel:
@@ -187,15 +250,15 @@ def fit(texts: list[str], labels: list[int], steps: int = 40, ridge: float = 1e-
     seen = np.bincount(before * 2 + after, minlength=4).reshape(2, 2)
     mean, square = np.zeros_like(model), np.zeros_like(model)
     rate, n = 0.3, max(len(y), 1)
-    occurs = np.bincount(words.codes, minlength=len(words.features)).astype(float)
-    toxic_of_word = np.bincount(words.codes, y, minlength=len(words.features))
     for step in range(1, steps + 1):
         t = np.exp(model[BUCKETS + 1:].reshape(2, 2))
-        odds = np.exp(np.clip(model[:BUCKETS][words.features].sum(1) + model[BUCKETS], -20, 20))[words.codes]
+        odds = np.exp(np.clip(model[:BUCKETS][words.features].sum(1) + model[BUCKETS], -20, 20))
+        codes = words.chosen(odds[words.codes])
+        odds = odds[codes]
         forward, backward = _sweep(odds, words.starts, words.lengths, t, False), _sweep(odds, words.starts, words.lengths, t, True)
         ratio = forward * backward
         p = ratio / (1 + ratio)
-        of_word = np.bincount(words.codes, p, minlength=len(occurs)) - toxic_of_word
+        of_word = np.bincount(codes, p - y, minlength=len(words.features))
         gradient = np.zeros_like(model)
         for column in words.features.T:
             gradient[:BUCKETS] += np.bincount(column, of_word, minlength=BUCKETS)
@@ -231,15 +294,23 @@ def score(model: ToxicModel, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, W
 
 
 def offending(text: str, p: np.ndarray, least: float) -> list[dict]:
-    """Offsets (code points) and mean marginals of runs of words whose marginal is at least `least`."""
-    spans, last = [], None
-    for i, word in enumerate(WORD.finditer(text)):
-        if i < len(p) and p[i] >= least:
-            if last == i - 1 and spans:
-                spans[-1][1], spans[-1][2] = word.end(), [*spans[-1][2], p[i]]
-            else:
-                spans.append([word.start(), word.end(), [p[i]]])
-            last = i
+    """Offsets (code points) and mean marginals of runs of words whose marginal is at least `least`.
+
+    A position in a run without spaces stands for its longest candidate.
+    """
+    spans, last, i = [], None, 0
+    for word in WORD.finditer(pc.utf8_lower(pa.scalar(text)).as_py()):
+        whole = word.group().encode()
+        for k, near in enumerate(candidates(whole) if is_run(whole) else ([whole],)):
+            if i < len(p) and p[i] >= least:
+                start = word.start() + k
+                end = start + len(near[-1].decode())
+                if spans and (last == i - 1 or start < spans[-1][1]):
+                    spans[-1][1], spans[-1][2] = max(end, spans[-1][1]), [*spans[-1][2], p[i]]
+                else:
+                    spans.append([start, end, [p[i]]])
+                last = i
+            i += 1
     return [{"start": a, "end": z, "score": float(np.mean(s))} for a, z, s in spans]
 
 
