@@ -211,6 +211,32 @@ def test_stream_resumes_and_isolates_bad_traces(spark, tmp_path):
     assert w.filter("trace_id = 'good'").count() == 4 and w.filter("trace_id = 'later'").count() == 2
 
 
+def test_stream_waits_for_all_parts_of_a_trace(spark, tmp_path):
+    """One trace in three batches, out of order; one without its last part; one with a part too many; one not in the manifest."""
+    src, out = tmp_path / "in", tmp_path / "out"
+    manifest = spark.createDataFrame([("t", 3), ("u", 2), ("v", 1)], "trace_id string, n_parts int")
+    text = lambda rows: "\n".join([HEADER, *[line(i % 5) for i in rows]]) + "\n"
+
+    def drain(*files):
+        for name, rows in files:
+            write(src / name, text(rows))
+        streams.ingest_trace_parts_stream(
+            spark, str(src), manifest, f"{out}/s", f"{out}/f", f"{out}/w", f"{out}/x", f"{out}/l", f"{out}/c", k=8, files_per_batch=1, id_pattern=r"([^/]+)/[^/]+$",
+        ).awaitTermination()
+        done = sorted(r["trace_id"] for r in spark.read.parquet(f"{out}/f").collect()) if (out / "f").exists() else []
+        return done, [r["_file"].split("/")[-2:] for r in spark.read.parquet(f"{out}/l").collect()]
+
+    assert drain(("t/part-2.csv", range(20, 27)), ("u/part-0.csv", range(4)), ("w/part-0.csv", range(4))) == ([], [])
+    assert drain(("t/part-0.csv", range(10)), ("v/part-0.csv", range(3))) == (["v"], [])
+    assert drain(("t/part-1.csv", range(10, 20)), ("v/part-1.csv", range(9))) == (["t", "v"], [["v", "part-1.csv"]])
+    whole = tmp_path / "whole"
+    write(whole / "t.trace.csv", text(range(27)))
+    streams.ingest_traces_stream(spark, str(whole), f"{whole}/f", f"{whole}/w", f"{whole}/x", f"{whole}/c", k=8).awaitTermination()
+    for kind in ("f", "w"):
+        got, want = (spark.read.parquet(f"{d}/{kind}").filter("trace_id = 't'").drop("batch") for d in (out, whole))
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == (1 if kind == "f" else 4)
+
+
 def test_score_mlp_matches_numpy(spark):
     r = np.random.default_rng(0)
     weights = [(r.normal(size=(3, 256)), r.normal(size=256)), (r.normal(size=(256, 128)) / 16, r.normal(size=128)), (r.normal(size=(128, 1)) / 12, r.normal(size=1))]

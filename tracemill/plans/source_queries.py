@@ -236,7 +236,28 @@ def _(spark, sf_dir):
     return rounded(spark.read.parquet(out + "/features").drop("batch"))
 
 
-@query("k2_window_counts_stream", f"{WITH_COUNTS} SELECT * FROM g")
+@query(
+    "k1_ingest_trace_parts",
+    f"""{WITH_T}, {DEPS_SQL}, {DIST_SQL}, {DEPSTAT_SQL}, {FAN_SQL}, {BLOCK_SQL}, {DELTA_SQL}, {STRIDE_SQL},
+      x AS (SELECT trace_id, {MIX_SQL}, {BRANCH_SQL}, {SYNC_SQL}, {MEMORY_SQL}, {HAZARD_SQL}, {PAGES_SQL} FROM t GROUP BY ALL)
+      SELECT CAST(trace_id AS VARCHAR) AS trace_id, {_round_all(PROGRAM_FEATURES)} FROM x JOIN ds USING (trace_id) JOIN fo USING (trace_id) JOIN bb USING (trace_id) JOIN sr USING (trace_id)""",
+)
+def _(spark, sf_dir):
+    """Traces of three part files each, which arrive in several batches; a manifest tells when a trace is complete."""
+    rows = trace_files.annotated_rows(b.trace(spark, sf_dir))
+    path, out = scratch_path(spark, "incoming-parts"), scratch_path(spark, "streamed-parts")
+    rows.repartitionByRange(3, "idx").sortWithinPartitions("trace_id", "idx").drop("idx").write.partitionBy("trace_id").options(header=True, emptyValue="").csv(path)
+    files = spark.read.format("binaryFile").load(path + "/*/*.csv").select(F.regexp_extract("path", trace_files.TRACE_DIR, 1).alias("trace_id"))
+    manifest = files.groupBy("trace_id").agg(F.count(F.lit(1)).alias("n_parts"))
+    q = streams.ingest_trace_parts_stream(
+        spark, path, manifest, out + "/staged", out + "/features", out + "/windows", out + "/failed", out + "/late", out + "/state", K,
+        files_per_batch=10, id_pattern=trace_files.TRACE_DIR,
+    )
+    q.awaitTermination()
+    return rounded(spark.read.parquet(out + "/features").drop("batch"))
+
+
+@query("k2_window_counts_stream",f"{WITH_COUNTS} SELECT * FROM g")
 def _(spark, sf_dir):
     path, out = scratch_path(spark, "rows"), scratch_path(spark, "counts")
     t = b.trace(spark, sf_dir).select("trace_id", "idx", "op_class", "branch_type", "inst_sync", "read_addrs", "write_addrs")

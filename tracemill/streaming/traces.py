@@ -53,15 +53,61 @@ def ingest_traces_stream(
     )
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.withColumn("trace_id", F.regexp_extract("_file", id_pattern, 1)).withColumn("_mid", F.monotonically_increasing_id())
-        status = rows.groupBy("trace_id").agg(F.count_if(_bad_row()).alias("bad_rows"), F.count(F.lit(1)).alias("n_rows"))
-        broken = status.filter(F.col("bad_rows") > 0)
-        broken.write.mode("overwrite").parquet(f"{failed}/batch={batch_id}")
-        good = rows.join(broken, "trace_id", "left_anti")
-        ranked = bucketed_rank(good, ["trace_id"], file_place(), ["_mid"], "idx")
-        trace = cut_lineage(typed_trace(ranked, ["trace_id", F.col("idx").cast("bigint").alias("idx")]))
-        program_features(trace).write.mode("overwrite").parquet(f"{features}/batch={batch_id}")
-        window_counts(trace, k).write.mode("overwrite").parquet(f"{windows}/batch={batch_id}")
+        _process_traces(_placed(batch, id_pattern), features, windows, failed, batch_id, k)
+
+    return raw.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _placed(batch: DataFrame, id_pattern: str) -> DataFrame:
+    """Adds the trace of each row and its place within its file block."""
+    return batch.withColumn("trace_id", F.regexp_extract("_file", id_pattern, 1)).withColumn("_mid", F.monotonically_increasing_id())
+
+
+def _process_traces(rows: DataFrame, features: str, windows: str, failed: str, batch_id: int, k: int) -> None:
+    """Program features and window counts of whole traces, one output folder a batch; traces with unreadable rows go to `failed`."""
+    status = rows.groupBy("trace_id").agg(F.count_if(_bad_row()).alias("bad_rows"), F.count(F.lit(1)).alias("n_rows"))
+    broken = status.filter(F.col("bad_rows") > 0)
+    broken.write.mode("overwrite").parquet(f"{failed}/batch={batch_id}")
+    good = rows.join(broken, "trace_id", "left_anti")
+    ranked = bucketed_rank(good, ["trace_id"], file_place(), ["_mid"], "idx")
+    trace = cut_lineage(typed_trace(ranked, ["trace_id", F.col("idx").cast("bigint").alias("idx")]))
+    program_features(trace).write.mode("overwrite").parquet(f"{features}/batch={batch_id}")
+    window_counts(trace, k).write.mode("overwrite").parquet(f"{windows}/batch={batch_id}")
+
+
+def ingest_trace_parts_stream(
+    spark: SparkSession, source: str, manifest: DataFrame, staged: str, features: str, windows: str, failed: str, late: str,
+    checkpoint: str, k: int = WINDOW_ROWS, files_per_batch: int = 1000, id_pattern: str = TRACE_FILE,
+) -> StreamingQuery:
+    """As `ingest_traces_stream`, for traces of several part files that arrive in any order and in different batches.
+
+    `manifest` has (trace_id, n_parts). A batch keeps its rows and the names of its files below `staged`; a trace is processed
+    once, as a whole, in the batch that brings the last of its parts. Which traces those are follows from the names kept so
+    far, and every folder of a batch is overwritten on replay, so results are exactly once without other state. Traces that
+    the manifest does not list, or whose parts are missing, wait for a later run with their rows kept. Files that come for a
+    trace after it was complete are listed in `late` and change nothing. Staged rows are never deleted here.
+    """
+    raw = (
+        spark.readStream.schema(STREAM_SCHEMA).options(header=True, maxFilesPerTrigger=files_per_batch, recursiveFileLookup=True)
+        .csv(source)
+        .select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"))
+    )
+    expected = manifest.select(F.col("trace_id").cast("string").alias("trace_id"), "n_parts")
+
+    def process(batch: DataFrame, batch_id: int) -> None:
+        rows = _placed(batch, id_pattern)
+        rows.write.mode("overwrite").parquet(f"{staged}/rows/batch={batch_id}")
+        spark.read.schema(rows.schema).parquet(f"{staged}/rows/batch={batch_id}").select("trace_id", "_file").distinct().write.mode("overwrite").parquet(f"{staged}/files/batch={batch_id}")
+        files = spark.read.schema("trace_id string, _file string, batch bigint").parquet(f"{staged}/files").filter(F.col("batch") <= batch_id)
+        earlier = F.when(F.col("batch") < batch_id, F.col("_file"))
+        parts = files.groupBy("trace_id").agg(F.count_distinct("_file").alias("parts"), F.count_distinct(earlier).alias("before")).join(expected, "trace_id")
+        parts = cut_lineage(parts.filter(F.col("parts") >= F.col("n_parts")))
+        ready, closed = (parts.filter(c).select("trace_id") for c in (F.col("before") < F.col("n_parts"), F.col("before") >= F.col("n_parts")))
+        files.filter(F.col("batch") == batch_id).join(closed, "trace_id", "left_semi").drop("batch").write.mode("overwrite").parquet(f"{late}/batch={batch_id}")
+        needed = [r["batch"] for r in files.join(ready, "trace_id", "left_semi").select("batch").distinct().collect()]  # one number a batch
+        if needed:
+            kept = spark.read.schema(T.StructType([*rows.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{staged}/rows").filter(F.col("batch").isin(needed))
+            _process_traces(kept.drop("batch").join(ready, "trace_id", "left_semi"), features, windows, failed, batch_id, k)
 
     return raw.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
