@@ -381,6 +381,16 @@ def test_neighbor_density(spark, blocks):
         assert lo and got[i] == (min(ham), sum(h <= 1 for h in ham), sum(near))
 
 
+def test_neighbor_density_at_the_radius(spark):
+    """Distances of exactly l2_r count, wherever the two values lie; runs of equal leading columns give the same counts."""
+    train = spark.createDataFrame([(x, y, c) for x in range(11) for y in range(40) for c in "ab"], "x int, y int, c string")
+    q = spark.createDataFrame([(x, x, 7, "a") for x in range(11)], "id int, x int, y int, c string")
+    got = {x["id"]: tuple(x)[1:] for x in similarity.neighbor_density(q, train, "id", ["x", "y"], ["c"], 1, 0.3).collect()}
+    for x in range(11):
+        near = sum((((x - a) / 10) ** 2 + ((7 - b) / 39) ** 2) ** 0.5 <= 0.3 for a in range(11) for b in range(40))
+        assert got[x] == (0, 1 + 10 + 39 + 1, near)
+
+
 def test_sensitivity_at_the_grid_edge(spark):
     c = {p: v[0] for p, v in SEARCH_GRID.items()} | {"fetch_width": 12, "decode_width": 6, "rename_width": 5, "rob_size": 100, "lq_entries": 50, "sq_entries": 50}
     row = [(1, 1.0, 10.0, *c.values(), *FIXED_PARAMS.values())]

@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from tracemill.functions.scalars import must
 from tracemill.operators.ordered import dim_join
+from tracemill.session import cut_lineage
 
-QUERY_BLOCK = 2048          # queries compared by one task at a time
+QUERY_BLOCK = 1 << 14       # queries compared by one task at a time
 TRAIN_BLOCK = 1 << 18       # training configurations compared by one task at a time
+RUN_ROWS = 16               # training configurations that agree in the leading columns, on average, to be compared once
+EQUAL = 1e-9                # scaled values this near are equal
 
 
 def pairwise_distance(vectors: DataFrame, name: str = "benchmark", vector: str = "vector") -> DataFrame:
@@ -94,6 +97,61 @@ def nearest_combo(picks: DataFrame, combos: DataFrame, id_cols: list[str]) -> Da
     return out.select(*id_cols, "resource", "q0", "q1", F.col("_n.p0").alias("p0"), F.col("_n.p1").alias("p1"), F.sqrt("_n.d2").alias("distance"))
 
 
+def _different(codes: np.ndarray, low: int, high: int) -> np.ndarray:
+    """1 where a value number is outside low..high - 1."""
+    if high == low + 1:
+        return (codes != low).view(np.uint8)
+    return ((codes < low) | (codes >= high)).view(np.uint8)
+
+
+def _block_density(
+    q: list[np.ndarray], t: list[np.ndarray], n_cat: int, spans: list[float], hamming_r: int, l2_r: float,
+) -> list[tuple[int, int, int]]:
+    """Smallest Hamming distance, rows within `hamming_r` and rows within `l2_r` of every query; columns, categoricals first.
+
+    The training rows are sorted by their columns, those of few values first. A run of rows that agree in the leading
+    columns is compared once in these, the other columns row by row as small value numbers. Rows with a query's
+    categoricals are one stretch, the only one whose L2 distances are taken.
+    """
+    values, codes = zip(*(np.unique(c, return_inverse=True) for c in t), strict=True)
+    order = sorted(range(len(t)), key=lambda i: (i >= n_cat, len(values[i])))
+    codes = [c.astype(np.min_scalar_type(len(v))) for c, v in zip(codes, values, strict=True)]
+    sorting = np.lexsort([codes[i] for i in reversed(order)])
+    codes = [c[sorting] for c in codes]
+    numeric = [c[sorting].astype(float) for c in t[n_cat:]]
+    n = len(sorting)
+    starts, leading, cells = np.zeros(1, np.int64), 0, np.zeros(1, np.int64)
+    change = np.zeros(n, bool)
+    change[0] = True
+    for k, i in enumerate(order):
+        change[1:] |= codes[i][1:] != codes[i][:-1]
+        firsts = np.flatnonzero(change)
+        if k < n_cat:
+            cells = firsts
+        if len(firsts) * RUN_ROWS <= n:
+            starts, leading = firsts, k + 1
+    lengths = np.diff(starts, append=n)
+    heads = {i: codes[i][starts] for i in order[:leading]}
+    stretches = {tuple(int(codes[i][a]) for i in range(n_cat)): (a, z) for a, z in zip(cells, [*cells[1:], n], strict=True)}
+    slack = [*[0] * n_cat, *(EQUAL * s for s in spans)]
+    low = [np.searchsorted(v, c - e, "left") for v, c, e in zip(values, q, slack, strict=True)]
+    high = [np.searchsorted(v, c + e, "right") for v, c, e in zip(values, q, slack, strict=True)]
+    found = []
+    for k in range(len(q[0])):
+        run = np.zeros(len(starts), np.uint8)
+        for i in order[:leading]:
+            run += _different(heads[i], low[i][k], high[i][k])
+        ham = np.repeat(run, lengths)
+        for i in order[leading:]:
+            ham += _different(codes[i], low[i][k], high[i][k])
+        a, z = stretches.get(tuple(int(low[i][k]) for i in range(n_cat)), (0, 0)) if all(low[i][k] < high[i][k] for i in range(n_cat)) else (0, 0)
+        squares = np.zeros(z - a)
+        for column, c, s in zip(numeric, q[n_cat:], spans, strict=True):
+            squares += np.square((float(c[k]) - column[a:z]) / s)
+        found.append((int(ham.min()), int(np.count_nonzero(ham <= hamming_r)), int(np.count_nonzero(np.sqrt(squares) <= l2_r))))
+    return found
+
+
 def neighbor_density(
     queries: DataFrame, train: DataFrame, query_id: str, numeric: list[str], categorical: list[str],
     hamming_r: int = 10, l2_r: float = 0.5, query_block: int = QUERY_BLOCK, train_block: int = TRAIN_BLOCK,
@@ -101,38 +159,32 @@ def neighbor_density(
     """Per query: smallest Hamming distance to a training configuration, how many lie within
     `hamming_r`, and how many with equal categoricals lie within `l2_r` on [0, 1]-scaled numerics.
 
-    Distinct training configurations and queries are dealt into blocks; each pair of blocks
-    is one bounded task that returns one partial row per query, so pairs never leave a task.
+    Distinct training configurations and queries are kept once and dealt into blocks; each pair of
+    blocks is one bounded task that returns one partial row per query, so pairs never leave a task.
     """
-    cfg = train.select(*numeric, *categorical).distinct()
-    lo_hi = cfg.agg(*[f(c).cast("double").alias(f"{n}_{c}") for c in numeric for n, f in (("lo", F.min), ("hi", F.max))])
-    ranges = lo_hi.select(F.struct("*").alias("s")).scalar()
-    n_cfg, n_q = cfg.count(), queries.count()
-    t_blocks, q_blocks = -(-max(n_cfg, 1) // train_block), -(-max(n_q, 1) // query_block)
-
-    def scaled(df: DataFrame) -> DataFrame:
-        out = df.withColumn("_s", ranges)
-        cols = []
-        for c in numeric:
-            lo, hi = F.col(f"_s.lo_{c}"), F.col(f"_s.hi_{c}")
-            cols.append((F.col(c).cast("double") - lo) / F.when(hi > lo, hi - lo).otherwise(F.lit(1.0)))
-        return out.withColumn("num", F.array(*cols)).withColumn("cat", F.array(*[F.xxhash64(F.col(c).cast("string")) for c in categorical])).drop("_s")
-
-    t = scaled(cfg).withColumn("tb", F.pmod(F.xxhash64(*numeric, *categorical), F.lit(t_blocks))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))).select("tb", F.col("qb").cast("bigint").alias("qb"), "num", "cat")
-    q = scaled(queries).withColumn("qb", F.pmod(F.xxhash64(query_id), F.lit(q_blocks))).withColumn("tb", F.explode(F.sequence(F.lit(0), F.lit(t_blocks - 1)))).select(F.col("tb").cast("bigint").alias("tb"), "qb", F.col(query_id).cast("string").alias("qid"), "num", "cat")
+    if len(numeric) + len(categorical) > 255:
+        raise ValueError("more than 255 columns")
+    cfg = cut_lineage(train.select(*numeric, *categorical).distinct())
+    asked = cut_lineage(queries.select(F.col(query_id).cast("string").alias("qid"), *numeric, *categorical))
+    edges = [f(F.col(c).cast("double")) for c in numeric for f in (F.min, F.max)]
+    n_cfg, *edges = cfg.agg(F.count(F.lit(1)), *edges).first()
+    spans = [hi - lo if hi is not None and hi > lo else 1.0 for lo, hi in zip(edges[::2], edges[1::2], strict=True)]
+    t_blocks, q_blocks = -(-max(n_cfg, 1) // train_block), -(-max(asked.count(), 1) // query_block)
+
+    names = [*(f"c{i}" for i in range(len(categorical))), *(f"n{i}" for i in range(len(numeric)))]
+    plain = [*(F.xxhash64(F.col(c).cast("string")) for c in categorical), *(F.col(c).cast("double") for c in numeric)]
+    plain = [c.alias(n) for c, n in zip(plain, names, strict=True)]
+    deal = lambda cols, blocks: F.pmod(F.xxhash64(*cols), F.lit(blocks)).cast("int")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    t = cfg.select(deal([*numeric, *categorical], t_blocks).alias("tb"), every(q_blocks).alias("qb"), *plain)
+    q = asked.select(deal(["qid"], q_blocks).alias("qb"), every(t_blocks).alias("tb"), "qid", *plain)
 
     def compare(qs: pd.DataFrame, ts: pd.DataFrame) -> pd.DataFrame:
         if qs.empty or ts.empty:
             return pd.DataFrame({"qid": pd.Series(dtype="object"), **{c: pd.Series(dtype="int64") for c in ("h", "nh", "nl")}})
-        tn, tc = np.stack(ts["num"].to_numpy()), np.stack(ts["cat"].to_numpy())
-        rows = []
-        for qid, num, cat in zip(qs["qid"], qs["num"], qs["cat"]):
-            gap = np.abs(tn - np.asarray(num))
-            cats = (tc != np.asarray(cat)).sum(axis=1)
-            ham = cats + (gap > 1e-9).sum(axis=1)
-            near = (np.sqrt((gap * gap).sum(axis=1)) <= l2_r) & (cats == 0)
-            rows.append((qid, int(ham.min()), int((ham <= hamming_r).sum()), int(near.sum())))
-        return pd.DataFrame(rows, columns=["qid", "h", "nh", "nl"])
+        columns = lambda pdf: [pdf[n].to_numpy() for n in names]
+        out = pd.DataFrame(_block_density(columns(qs), columns(ts), len(categorical), spans, hamming_r, l2_r), columns=["h", "nh", "nl"])
+        return out.assign(qid=qs["qid"].to_numpy())[["qid", "h", "nh", "nl"]]
 
     partial = q.groupBy("qb", "tb").cogroup(t.groupBy("qb", "tb")).applyInPandas(compare, "qid string, h bigint, nh bigint, nl bigint")
     out = partial.groupBy("qid").agg(F.min("h").alias("min_hamming"), F.sum("nh").alias("n_within_hamming_r"), F.sum("nl").alias("n_within_l2_r"))
