@@ -123,6 +123,16 @@ def test_arrays_are_written_in_segments(spark, tmp_path):
     assert not empty.exists()
 
 
+
+def test_array_names_are_parsed_once_a_file(spark, tmp_path):
+    """What a file name says is read before its rows are made, not for each row."""
+    for name in ("l1i_16_l1d_32_l2_512_cache_latencies", "thr_alu"):
+        np.save(tmp_path / f"{name}.npy", np.ones((3, 2 + ("thr" in name)), np.int32))
+    for rows in (arrays.read_latency_arrays(spark, f"{tmp_path}/*latencies.npy"), arrays.read_window_throughput(spark, f"{tmp_path}/thr_*.npy")):
+        above = rows._jdf.queryExecution().optimizedPlan().toString().split("MapIn")[0]
+        assert "regexp" not in above and rows.count() == 3 and rows.first()["trace_id"] == tmp_path.name
+
+
 def test_append_checks_columns(spark, tmp_path):
     path = str(tmp_path / "t")
     df = spark.createDataFrame([("a", 1)], "benchmark string, x int")

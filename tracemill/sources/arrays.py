@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,25 +27,40 @@ def _files(spark: SparkSession, glob: str) -> DataFrame:
     return spark.read.format("binaryFile").load(glob).select("path", "content")
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """The files one by one: what their names say is read before, once a file and not for each row."""
+    for batch in batches:
+        for i in range(len(batch)):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
+def _batch(file: dict, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """Rows of a file: what holds for the file, repeated, then the columns."""
+    n = len(next(iter(columns.values())))
+    types = {int: pa.int32(), str: pa.string()}
+    same = [pa.repeat(pa.scalar(v, types.get(type(v), pa.int32())), n) for v in file.values()]
+    return pa.RecordBatch.from_arrays([*same, *(pa.array(np.ascontiguousarray(c)) for c in columns.values())], names=[*file, *columns])
+
+
 def read_latency_arrays(spark: SparkSession, glob: str, pattern: str = LATENCY_FILE) -> DataFrame:
     """(trace_id, l1i_kb, l1d_kb, l2_kb, idx, fetch_lat, exec_lat) from (N, 2) arrays.
 
     The trace is the folder name, the sizes come from the file name, and so does the position of a segment's first row.
     Files of another shape are skipped.
     """
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"]):
-                a = np.load(io.BytesIO(content), allow_pickle=False)
-                if a.ndim != 2 or a.shape[1] != 2:
-                    continue
-                for i in range(0, len(a), BATCH_ROWS):
-                    part = a[i:i + BATCH_ROWS].astype(np.int32)
-                    yield pd.DataFrame({"path": path, "idx": np.arange(i, i + len(part)), "fetch_lat": part[:, 0], "exec_lat": part[:, 1]})
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for file in _rows(batches):
+            a = np.load(io.BytesIO(file.pop("content")), allow_pickle=False)
+            first = file.pop("first")
+            if a.ndim != 2 or a.shape[1] != 2:
+                continue
+            for i in range(0, len(a), BATCH_ROWS):
+                part = a[i:i + BATCH_ROWS].astype(np.int32)
+                yield _batch(file, {"idx": np.arange(first + i, first + i + len(part)), "fetch_lat": part[:, 0], "exec_lat": part[:, 1]})
 
-    rows = _files(spark, glob).mapInPandas(decode, "path string, idx bigint, fetch_lat int, exec_lat int")
     sizes = [F.regexp_extract("path", pattern, i).cast("int").alias(n) for i, n in ((2, "l1i_kb"), (3, "l1d_kb"), (4, "l2_kb"))]
-    return rows.select(F.regexp_extract("path", pattern, 1).alias("trace_id"), *sizes, (_first() + F.col("idx")).alias("idx"), "fetch_lat", "exec_lat")
+    files = _files(spark, glob).select(F.regexp_extract("path", pattern, 1).alias("trace_id"), *sizes, _first().alias("first"), "content")
+    return files.mapInArrow(decode, "trace_id string, l1i_kb int, l1d_kb int, l2_kb int, idx bigint, fetch_lat int, exec_lat int")
 
 
 def _filesystem(path: str) -> tuple[fs.FileSystem, str]:
@@ -133,38 +149,37 @@ def read_config_latency_arrays(spark: SparkSession, glob: str) -> DataFrame:
 
 
 def read_window_throughput(spark: SparkSession, glob: str) -> DataFrame:
-    """(path, trace_id, resource, cfg_idx, p0, p1, window_id, thr) from parameter-by-window matrices.
+    """(trace_id, resource, cfg_idx, p0, p1, window_id, thr) from parameter-by-window matrices.
 
     Row layout: parameter count, one or two parameters, then one column per window. The
     count column tells whether a second parameter is present; a missing one is 0.
     """
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"]):
-                a = np.load(io.BytesIO(content), allow_pickle=False)
-                two = a.ndim == 2 and bool((a[:, 0].astype(int) >= 2).any())
-                first = 3 if two else 2
-                if a.ndim != 2 or a.shape[1] <= first:
-                    raise ValueError(f"{path}: not a throughput matrix, shape {a.shape}")
-                step = max(1, BATCH_ROWS // (a.shape[1] - first))
-                for i in range(0, len(a), step):
-                    part = a[i:i + step]
-                    n = part.shape[1] - first
-                    yield pd.DataFrame({
-                        "path": path,
-                        "p0": np.repeat(part[:, 1].astype(np.int32), n),
-                        "p1": np.repeat(part[:, 2].astype(np.int32) if two else np.zeros(len(part), np.int32), n),
-                        "window_id": np.tile(np.arange(n), len(part)),
-                        "thr": part[:, first:].reshape(-1).astype(np.float64),
-                    })
-
-    rows = _files(spark, glob).mapInPandas(decode, "path string, p0 int, p1 int, window_id bigint, thr double")
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for file in _rows(batches):
+            a = np.load(io.BytesIO(file.pop("content")), allow_pickle=False)
+            start, path = file.pop("first"), file.pop("path")
+            two = a.ndim == 2 and bool((a[:, 0].astype(int) >= 2).any())
+            first = 3 if two else 2
+            if a.ndim != 2 or a.shape[1] <= first:
+                raise ValueError(f"{path}: not a throughput matrix, shape {a.shape}")
+            step = max(1, BATCH_ROWS // (a.shape[1] - first))
+            for i in range(0, len(a), step):
+                part = a[i:i + step]
+                n = part.shape[1] - first
+                yield _batch(file, {
+                    "p0": np.repeat(part[:, 1].astype(np.int32), n),
+                    "p1": np.repeat(part[:, 2].astype(np.int32) if two else np.zeros(len(part), np.int32), n),
+                    "window_id": np.tile(np.arange(start, start + n), len(part)),
+                    "thr": part[:, first:].reshape(-1).astype(np.float64),
+                })
+
     cfg = F.nullif(F.regexp_extract("path", r"/config_(\d+)/", 1), F.lit("")).cast("int")
     trace = F.regexp_extract(F.regexp_replace("path", r"/config_\d+/", "/"), r"([^/]+)/(?:seg_\d+_)?thr_[^/]+$", 1)
-    return rows.select(
+    files = _files(spark, glob).select(
         trace.alias("trace_id"), F.regexp_extract("path", r"thr_([^/]+)\.npy$", 1).alias("resource"),
-        F.coalesce(cfg, F.lit(0)).alias("cfg_idx"), "p0", "p1", (_first() + F.col("window_id")).alias("window_id"), "thr",
+        F.coalesce(cfg, F.lit(0)).alias("cfg_idx"), _first().alias("first"), "path", "content",
     )
+    return files.mapInArrow(decode, "trace_id string, resource string, cfg_idx int, p0 int, p1 int, window_id bigint, thr double")
 
 
 def read_rate_arrays(spark: SparkSession, glob: str) -> DataFrame:
