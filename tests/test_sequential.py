@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracemill.functions.registry import FIXED_PARAMS, SEARCH_GRID
-from tracemill.operators import design, encode, program, similarity, skyline, windows
+from tracemill.operators import design, encode, program, similarity, skyline, sweeps, windows
 from tracemill.operators.ordered import block_product, bucketed_rank, dim_join, hash_rank, last_before, prefix_sum, value_buckets
 
 TRACE_SCHEMA = """trace_id string, idx bigint, ip bigint, op_class string, branch_type string, taken boolean, inst_sync boolean,
@@ -405,6 +405,13 @@ def test_sensitivity_at_the_grid_edge(spark):
     assert "branch_predictor" in got and set(got) <= set(SEARCH_GRID)
 
 
+def test_required_traces_do_not_shuffle_the_sweep(spark):
+    sweep = spark.createDataFrame([("a", i) for i in range(50)] + [("b", 0)], "benchmark string, i int")
+    present, missing = sweeps.require_traces(sweep, spark.createDataFrame([("a",), ("a",), (None,)], "benchmark string"), ["benchmark"])
+    assert "BroadcastHashJoin" in present._jdf.queryExecution().sparkPlan().toString() and present.count() == 50
+    assert [tuple(x) for x in missing.collect()] == [("b", 1)]
+
+
 def test_value_buckets_of_several_levels(spark):
     """More pieces than one level can make; hot values, nulls and groups that stay whole."""
     values = [float(v) for v in range(5000)] + [7.0] * 300 + [float("nan")] * 9

@@ -20,6 +20,7 @@ from tracemill.session import cut_lineage
 SEGMENT_ROWS = 1 << 20      # rows of one key that a window may sort in one task
 BUCKET_ROWS = 1 << 18       # distinct values of one group before it is split by value
 FAN = 256                   # pieces that a large piece is split into by value at one level
+SMALL_ROWS = 100_000        # rows of a per-key table that is broadcast
 BLOCK_PAIRS = 1 << 22       # combinations that one block of a product makes
 
 
@@ -126,6 +127,12 @@ def hash_rank(
     return ranked.withColumnRenamed("_size", total) if total else ranked.drop("_size")
 
 
+def small_broadcast(dim: DataFrame) -> DataFrame:
+    """Keeps a per-key table once and marks it for broadcast if it is counted small: the large side of a join is then not shuffled."""
+    kept = cut_lineage(dim)
+    return F.broadcast(kept) if kept.count() <= SMALL_ROWS else kept
+
+
 def prefix_length(length: int | Column, holds: Callable[[Column], Column], longest: int) -> Column:
     """Binary search: how many leading positions (0-based) satisfy a condition that holds on a prefix only."""
     steps = [1 << i for i in reversed(range(max(longest, 1).bit_length()))]

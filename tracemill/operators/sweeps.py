@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracemill.functions.registry import REGISTRY, Registry
 from tracemill.functions.scalars import all_of, encode_predictor, must, parse_size, require_columns
-from tracemill.operators.ordered import dim_join
+from tracemill.operators.ordered import dim_join, small_broadcast
 
 ON_MISSING = ("error", "zero", "drop")
 
@@ -139,8 +139,8 @@ def drop_benchmarks(df: DataFrame, names: list[str]) -> DataFrame:
 
 def require_traces(sweep: DataFrame, traces: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
     """Rows whose trace exists, and a count per missing trace."""
-    present = dim_join(sweep, traces.select(*on).distinct(), on, "left_semi")
-    missing = dim_join(sweep, traces.select(*on).distinct(), on, "left_anti")
+    known = small_broadcast(traces.select(*on).distinct())
+    present, missing = (dim_join(sweep, known, on, how) for how in ("left_semi", "left_anti"))
     return present, missing.groupBy(*on).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
