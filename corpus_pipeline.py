@@ -34,7 +34,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of every component of texts linked at a 5-word Jaccard similarity of 0.8 or more."""
+    """Keeps the smallest doc_id of every component of texts linked at a 5-word Jaccard similarity of 0.8 or more; SimHash and MinHash give the candidates."""
     return minhash_dedup.keep_one(docs.select(*COLUMNS))
 
 

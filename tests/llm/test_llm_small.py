@@ -288,6 +288,18 @@ def test_pipeline_drops_near_copies(spark, docs, none):
     assert len(kept) == len(set(kept)) and 0 in kept and not {1, 2, 9} & set(kept)
 
 
+def test_near_copies_by_simhash_without_bands(spark, monkeypatch):
+    """Where no two texts share a band, the classes of fingerprints still give the close copies; the sets still decide."""
+    monkeypatch.setattr(minhash_dedup, "_shared", lambda sketches: sketches.select(F.lit(0).cast("long").alias("band"), "print", "size").limit(0))
+    long = [f"w{i}" for i in range(3000)]
+    phrase = "a b c d e f g " * 60  # repeated shingles: near copies by their fingerprints, not by their sets
+    texts = [" ".join(long), " ".join([*long, "end"]), *(phrase + " ".join(f"{c}{i}" for i in range(6)) for c in "xy"), "one two three"]
+    prints = [brute_fingerprint(t) for t in texts]
+    assert (prints[0] ^ prints[1]).bit_count() <= 2 and (prints[2] ^ prints[3]).bit_count() <= 2
+    table = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, table, "").collect()) == [0, 2, 3, 4]
+
+
 def test_golay_neighbours():
     patterns = simhash_dedup.error_patterns()
     rng = np.random.default_rng(2)

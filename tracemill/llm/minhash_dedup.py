@@ -1,4 +1,4 @@
-"""Near copies by the Jaccard similarity of word shingles: MinHash bands give candidates, the shingle sets decide."""
+"""Near copies by the Jaccard similarity of word shingles: SimHash classes and MinHash bands give candidates, the shingle sets decide."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tracemill.llm.common import map_texts, slices
 from tracemill.llm.components import components
-from tracemill.llm.simhash_dedup import TO_LOWER
+from tracemill.llm.simhash_dedup import TO_LOWER, fingerprint, link_fingerprints
 from tracemill.session import cut_lineage
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
@@ -58,9 +58,12 @@ def _raw(part: pa.RecordBatch) -> list[bytes]:
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch):
-            sets = [shingle_hashes(t) for t in _raw(part)]
+            texts = _raw(part)
+            sets = [shingle_hashes(t) for t in texts]
             keys = pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column("print"), pa.array([len(s) for s in sets], pa.int32()), keys], names=["print", "size", "bands"])
+            marks = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("print"), pa.array([len(s) for s in sets], pa.int32()), keys, pa.array(marks)], names=["print", "size", "bands", "fingerprint"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,6 +97,15 @@ def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         F.least("head", "print").alias("a"), F.greatest("head", "print").alias("b")).distinct())
 
 
+def _simhash_pairs(sketches: DataFrame) -> DataFrame:
+    """(head, print) to compare: every text with the smallest print of its class of fingerprints at 2 or fewer differing bits, as in `simhash_dedup`."""
+    marks = cut_lineage(sketches.select("fingerprint").distinct())
+    classes = components(link_fingerprints(marks)).withColumnRenamed("node", "fingerprint")
+    named = cut_lineage(sketches.join(classes, "fingerprint", "left").select("print", "size", F.coalesce("root", "fingerprint").alias("class")))
+    heads = named.groupBy("class").agg(F.min(F.struct(F.col("print").alias("head"), F.col("size").alias("head_size"))).alias("h")).select("class", "h.*")
+    return cut_lineage(named.join(heads, "class").where((F.col("print") != F.col("head")) & _fits("size", "head_size")).select("head", "print"))
+
+
 def _shared(sketches: DataFrame) -> DataFrame:
     """(band, print, size) of the bands that two texts or more share."""
     bands = sketches.select("print", "size", F.explode("bands").alias("band"))
@@ -150,15 +162,17 @@ def _rare_pairs(open_: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def link_texts(texts: DataFrame) -> DataFrame:
-    """(node, root) of rows (print, text): texts at SIMILARITY or above that share a band are linked, root is the smallest print reachable.
+    """(node, root) of rows (print, text): root is the smallest print reachable over links.
 
-    Only texts of different classes are compared, as a pair within a class can't change the components. Rounds with one head
+    Texts at SIMILARITY or above are linked if they are in one class of SimHash fingerprints or share a band: the classes
+    of fingerprints are compared first, each with one head, and the bands find what lies beyond 2 bits. Only texts of different classes are compared, as a pair within a class can't change the components. Rounds with one head
     a band join the large groups while every fourth comparison joins two classes; when to stop them decides about speed
     alone, for the pairs they leave between classes are then found without exception (`_rare_pairs`).
     """
-    sketches = cut_lineage(map_texts(texts, _sketch, "print long, size int, bands array<long>").dropDuplicates(["print"]))
+    sketches = cut_lineage(map_texts(texts, _sketch, "print long, size int, bands array<long>, fingerprint long").dropDuplicates(["print"]))
     shared = _shared(sketches)
-    roots, joined = sketches.select(F.col("print").alias("node"), F.col("print").alias("root")).limit(0), 0
+    roots = cut_lineage(components(_linked(_simhash_pairs(sketches), texts)))
+    joined = roots.where("node <> root").count()
 
     def join_classes(linked: DataFrame) -> DataFrame:
         return cut_lineage(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(linked)))
