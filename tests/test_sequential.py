@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracemill.functions.registry import FIXED_PARAMS, SEARCH_GRID
-from tracemill.operators import design, encode, program, similarity, skyline, sweeps, windows
+from tracemill.operators import design, encode, ordered, program, similarity, skyline, splits, sweeps, windows
 from tracemill.operators.ordered import block_product, bucketed_rank, dim_join, hash_rank, last_before, prefix_sum, value_buckets
 
 TRACE_SCHEMA = """trace_id string, idx bigint, ip bigint, op_class string, branch_type string, taken boolean, inst_sync boolean,
@@ -427,3 +427,18 @@ def test_value_buckets_of_several_levels(spark):
         pieces[b].add(str(x))
     assert len(pieces) > 4096 // 2 and all(len(p) <= 2 for p in pieces.values())
     assert sum(len(p) for p in pieces.values()) == 5001  # equal values are in one piece
+
+
+def test_first_rows_by_hash_are_those_of_the_ranking(spark):
+    """Ranges of the hash that hold no wanted row are dropped before the ranking, in one key, hot keys and none."""
+    rows = [(f"b{0 if i % 10 else i % 7}", i) for i in range(5000)]
+    df = spark.createDataFrame(rows, "benchmark string, id long").repartition(4)
+    for keys, wanted in ((["benchmark"], F.rint(F.col("_size") * 0.03)), ([], F.lit(137)), ([], F.lit(0)), (["benchmark"], F.col("_size"))):
+        got = ordered.hash_first(df, keys, ["id"], 5, wanted, 16)
+        want = ordered.hash_rank(df, keys, ["id"], 5, "_rank", "_size").filter(F.col("_rank") < wanted)
+        assert got.columns == df.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*df.columns).collect()))
+    near = ordered.hash_first(df, [], ["id"], 5, F.lit(137), 16)
+    assert "Join" in near._jdf.queryExecution().optimizedPlan().toString().split("Window")[-1]  # ranges are dropped below the window
+    whole = [(f"b{i % 3}", i) for i in range(20)]
+    sample = splits.stratified_sample(spark.createDataFrame(whole, "benchmark string, id long"), 11, ["id"], 5)
+    assert sample.count() == sample.distinct().count() == 11

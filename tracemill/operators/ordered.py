@@ -19,6 +19,7 @@ from tracemill.session import cut_lineage
 
 SEGMENT_ROWS = 1 << 20      # rows of one key that a window may sort in one task
 BUCKET_ROWS = 1 << 18       # distinct values of one group before it is split by value
+PICK_ROWS = 1 << 14         # rows of a hash range where only the first rows of a key are wanted
 FAN = 256                   # pieces that a large piece is split into by value at one level
 SMALL_ROWS = 100_000        # rows of a per-key table that is broadcast
 BLOCK_PAIRS = 1 << 22       # combinations that one block of a product makes
@@ -109,6 +110,15 @@ def bucketed_rank(
     return ranked.drop("_b", "_in", "_off", "_all")
 
 
+def _hash_buckets(df: DataFrame, keys: list[str], row_key: list[str], seed: int | str, hashed: Column | None, rows: int) -> DataFrame:
+    """Adds `_size` (rows of the key), `_h` (hex hash) and `_b` (range of the hash values, about `rows` rows each)."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
+    sized = df.join(small_broadcast(sizes), keys) if keys else df.withColumn("_size", sizes.scalar())
+    with_hash = sized.withColumn("_h", hash_hex(row_key, seed) if hashed is None else hashed)
+    pieces = F.ceil(F.col("_size") / F.lit(rows))
+    return with_hash.withColumn("_b", F.floor(F.conv(F.substring("_h", 1, 8), 16, 10).cast("double") * pieces / F.lit(float(1 << 32))))
+
+
 def hash_rank(
     df: DataFrame, keys: list[str], row_key: list[str], seed: int | str, out: str,
     total: str | None = None, hashed: Column | None = None, bucket_rows: int | None = None,
@@ -118,15 +128,26 @@ def hash_rank(
     Hash values are uniform, so equal ranges of them are balanced buckets even when one key
     holds most rows. A key of n rows gets n / bucket_rows of them. `row_key` must be unique.
     """
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
-    sized = df.join(sizes, keys) if keys else df.withColumn("_size", sizes.scalar())
-    pieces = F.ceil(F.col("_size") / F.lit(bucket_rows or BUCKET_ROWS))
-    with_hash = sized.withColumn("_h", hash_hex(row_key, seed) if hashed is None else hashed)
-    bucket = F.floor(F.conv(F.substring("_h", 1, 8), 16, 10).cast("double") * pieces / F.lit(float(1 << 32)))
-    ranked = bucketed_rank(with_hash, keys, bucket, ["_h", *row_key], out).drop("_h")
+    cut = _hash_buckets(df, keys, row_key, seed, hashed, bucket_rows or BUCKET_ROWS)
+    ranked = bucketed_rank(cut, keys, F.col("_b"), ["_h", *row_key], out).drop("_h")
     return ranked.withColumnRenamed("_size", total) if total else ranked.drop("_size")
 
 
+def hash_first(df: DataFrame, keys: list[str], row_key: list[str], seed: int | str, wanted: Column, bucket_rows: int | None = None) -> DataFrame:
+    """The rows of each key whose `hash_rank` is below `wanted`, an expression over the key's row count `_size`.
+
+    Counts of the hash ranges tell which of them the wanted rows are in; the rows of the other ranges are dropped where they
+    are read, so that what is shuffled and sorted follows `wanted` and not the table.
+    """
+    cut = _hash_buckets(df, keys, row_key, seed, None, bucket_rows or PICK_ROWS)
+    counts = cut.groupBy(*keys, "_size", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = F.coalesce(F.sum("_n").over(_before(W.partitionBy(*keys).orderBy("_b"))), F.lit(0))
+    near = small_broadcast(counts.withColumn("_off", earlier).filter(F.col("_off") < wanted).select(*keys, "_b", "_off"))
+    inside = F.row_number().over(W.partitionBy(*keys, "_b").orderBy("_h", *row_key)) - 1
+    ranked = cut.join(near, [*keys, "_b"]).withColumn("_at", inside + F.col("_off"))
+    return ranked.filter(F.col("_at") < wanted).select(*df.columns)
+
+
 def small_broadcast(dim: DataFrame) -> DataFrame:
     """Keeps a per-key table once and marks it for broadcast if it is counted small: the large side of a join is then not shuffled."""
     kept = cut_lineage(dim)

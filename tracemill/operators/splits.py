@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from tracemill.functions.scalars import hash_hex, hash_uniform, must
 from tracemill.operators.encode import distribution
-from tracemill.operators.ordered import dim_join, hash_rank
+from tracemill.operators.ordered import dim_join, hash_first, hash_rank
+from tracemill.session import cut_lineage
 
 
 def _test_count(total: str, test: float) -> Column:
@@ -119,15 +120,21 @@ def one_region_per_benchmark(df: DataFrame, seed: int | str, region: str = "regi
 
 
 def stratified_sample(df: DataFrame, n: int, key: list[str], seed: int) -> DataFrame:
-    """n rows, proportional per benchmark (rounded), topped up from the rest when rounding falls short."""
-    ranked = hash_rank(df, ["benchmark"], key, seed, "_rank", "_size")
+    """n rows, proportional per benchmark (rounded), topped up from the rest when rounding falls short.
+
+    Only the rows with the first hashes are ranked. The rest's first rows are among the first n of the whole table under
+    the second seed, as no more than n minus the missing ones are picked before.
+    """
     total = df.select(F.count(F.lit(1)).alias("n")).scalar()
     share = F.least(F.lit(1.0), F.lit(float(n)) / total)
-    flagged = ranked.withColumn("_in", F.col("_rank") < F.rint(share * F.col("_size")))
-    picked = flagged.filter("_in").drop("_rank", "_size", "_in")
-    n_picked = picked.select(F.count(F.lit(1)).alias("n")).scalar()
-    rest = hash_rank(flagged.filter(~F.col("_in")).drop("_rank", "_size", "_in"), [], key, seed + 1, "_rank")
-    return picked.unionByName(rest.filter(F.col("_rank") < F.lit(n) - n_picked).drop("_rank"))
+    picked = cut_lineage(hash_first(df, ["benchmark"], key, seed, F.rint(share * F.col("_size"))))
+    short = n - picked.count()
+    if short <= 0:
+        return picked
+    taken = picked.select(*[F.col(k).alias(f"_t_{k}") for k in key])
+    same = reduce(lambda a, c: a & c, [F.col(k).eqNullSafe(F.col(f"_t_{k}")) for k in key])
+    rest = hash_first(df, [], key, seed + 1, F.lit(n)).join(taken, same, "left_anti")
+    return picked.unionByName(hash_first(rest, [], key, seed + 1, F.lit(short)))
 
 
 def quantile_edges(df: DataFrame, x: str, q: int) -> DataFrame:
