@@ -110,10 +110,13 @@ def bucketed_rank(
     return ranked.drop("_b", "_in", "_off", "_all")
 
 
-def _hash_buckets(df: DataFrame, keys: list[str], row_key: list[str], seed: int | str, hashed: Column | None, rows: int) -> DataFrame:
-    """Adds `_size` (rows of the key), `_h` (hex hash) and `_b` (range of the hash values, about `rows` rows each)."""
+def _hash_buckets(df: DataFrame, keys: list[str], row_key: list[str], seed: int | str, hashed: Column | None, rows: int, keep: Callable[[DataFrame], DataFrame] = lambda sizes: sizes) -> DataFrame:
+    """Adds `_size` (rows of the key), `_h` (hex hash) and `_b` (range of the hash values, about `rows` rows each).
+
+    `keep` may mark the sizes for broadcast, at the price of a scan at plan time.
+    """
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
-    sized = df.join(small_broadcast(sizes), keys) if keys else df.withColumn("_size", sizes.scalar())
+    sized = df.join(keep(sizes), keys) if keys else df.withColumn("_size", sizes.scalar())
     with_hash = sized.withColumn("_h", hash_hex(row_key, seed) if hashed is None else hashed)
     pieces = F.ceil(F.col("_size") / F.lit(rows))
     return with_hash.withColumn("_b", F.floor(F.conv(F.substring("_h", 1, 8), 16, 10).cast("double") * pieces / F.lit(float(1 << 32))))
@@ -139,7 +142,7 @@ def hash_first(df: DataFrame, keys: list[str], row_key: list[str], seed: int | s
     Counts of the hash ranges tell which of them the wanted rows are in; the rows of the other ranges are dropped where they
     are read, so that what is shuffled and sorted follows `wanted` and not the table.
     """
-    cut = _hash_buckets(df, keys, row_key, seed, None, bucket_rows or PICK_ROWS)
+    cut = _hash_buckets(df, keys, row_key, seed, None, bucket_rows or PICK_ROWS, small_broadcast)
     counts = cut.groupBy(*keys, "_size", "_b").agg(F.count(F.lit(1)).alias("_n"))
     earlier = F.coalesce(F.sum("_n").over(_before(W.partitionBy(*keys).orderBy("_b"))), F.lit(0))
     near = small_broadcast(counts.withColumn("_off", earlier).filter(F.col("_off") < wanted).select(*keys, "_b", "_off"))
