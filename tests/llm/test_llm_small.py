@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import zlib
 
@@ -589,3 +590,23 @@ def test_toxicity_query_ignores_held_out_labels(spark, tmp_path):
         assert len(rows) == len(texts) + 1 and all(r.held_out == held(r.doc_id) for r in rows if r.doc_id is not None)
         got.append({r.doc_id: (r.score, r.predicted) for r in rows})
     assert got[0] == got[1] and all(got[0][i][1] == int(i % 3 == 0) for i in range(240))
+
+
+def test_toxicity_is_fitted_in_a_task(spark, monkeypatch):
+    """The driver gets the finished model alone; the sample and the arrays of the fit stay out of its memory."""
+    rng = np.random.default_rng(5)
+    clean = [f"w{i}" for i in range(200)]
+    texts = [" ".join([*rng.choice(clean, 40), *(["vile", "slur"] if i % 3 == 0 else [])]) for i in range(120)]
+    toxic = [int(i % 3 == 0) for i in range(120)]
+    want, fit, driver = toxicity.fit(texts, toxic), toxicity.fit, os.getpid()
+
+    def not_here(*args):
+        assert os.getpid() != driver, "fitted in the driver"
+        return fit(*args)
+
+    monkeypatch.setattr(toxicity, "fit", not_here)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int")
+    got = toxicity.fit_sample(docs, labels, F.lit(True))
+    assert (got.weights == want.weights).all() and got.bias == want.bias
+    assert (got.transition == want.transition).all() and (got.document == want.document).all()

@@ -316,7 +316,9 @@ def offending(text: str, p: np.ndarray, least: float) -> list[dict]:
 
 def fit_sample(docs: DataFrame, labels: DataFrame, train: Column, per_label: int = 1500, longest: int = 50_000) -> ToxicModel | None:
     """Fits on a bounded sample of the labelled rows that `train` (of doc_id) admits: about `per_label` documents of each
-    label, none longer than `longest` characters, chosen by a hash of the id. None if a label is missing."""
+    label, none longer than `longest` characters, chosen by a hash of the id. None if a label is missing.
+
+    The sample is fitted in a task, so the driver holds the finished model alone."""
     rows = labels.where(train & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "toxic")
     found = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(found) < 2:
@@ -325,10 +327,23 @@ def fit_sample(docs: DataFrame, labels: DataFrame, train: Column, per_label: int
     share = F.when(F.col("toxic") == 1, min(1.0, per_label / found[1])).otherwise(min(1.0, per_label / found[0]))
     chosen = rows.where(draw < share).dropDuplicates(["doc_id"]).limit(4 * per_label)
     texts = docs.where(F.col("text").isNotNull() & (F.length("text") <= longest)).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    sample = texts.orderBy("doc_id", F.xxhash64("text")).select("text", "toxic").limit(8 * per_label).collect()
-    if len({r["toxic"] for r in sample}) < 2:
+    sample = texts.orderBy("doc_id", F.xxhash64("text")).select("text", "toxic").limit(8 * per_label)
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, labels = [], []
+        for batch in batches:
+            texts += batch.column("text").to_pylist()
+            labels += batch.column("toxic").to_pylist()
+        if len(set(labels)) == 2:
+            model = fit(texts, labels)
+            row = {"weights": model.weights.tobytes(), "bias": model.bias, "transition": model.transition.ravel().tolist(), "document": model.document.tolist()}
+            yield pa.RecordBatch.from_pylist([row])
+
+    learnt = map_texts(sample, learn, "weights binary, bias double, transition array<double>, document array<double>").collect()
+    if not learnt:
         return None
-    return fit([r["text"] for r in sample], [r["toxic"] for r in sample])
+    weights, bias, transition, document = learnt[0]
+    return ToxicModel(np.frombuffer(weights, np.float32), bias, np.array(transition).reshape(2, 2), np.array(document))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicModel | None, threshold: float = 0.3, span_threshold: float = 0.5, with_spans: bool = True) -> DataFrame:
