@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tracemill.functions.registry import FIXED_PARAMS, REGISTRY, SEARCH_GRID, Registry
 from tracemill.functions.scalars import all_of, hash_long, hash_uniform, must, parse_size
-from tracemill.operators.ordered import SEGMENT_ROWS, block_product, bucketed_rank, dim_join, hash_rank
+from tracemill.operators.ordered import SEGMENT_ROWS, block_product, bucketed_rank, dim_join, hash_rank, small_broadcast
 
 # Feasibility constants.
 ROB_HEADROOM = 8
@@ -289,26 +289,27 @@ def assemble_inference(
 ) -> DataFrame:
     """(config, trace) rows with configuration, program, cache and predictor features, z-scored.
 
-    The cache summary has one row per trace and memory configuration, so joining on the
-    memory configuration already pairs each config with every trace. Few memory
-    configurations are shared by all configs: the join salts them.
+    The cache, program and predictor rows of a trace become one table with a row per memory configuration, predictor and
+    trace, so one join pairs each config with every trace. It is kept once and broadcast if it is counted small: its few
+    keys would otherwise gather the rows of all configs in as many tasks.
     """
     memory = ["l1i_kb", "l1d_kb", "l2_kb"]
     # Each config becomes one row per trace: deal the narrow configs evenly first. The mean
     # over traces later reuses this partitioning.
     sizes = {f"{level}_kb": parse_size(f"{level}_size") for level in ("l1i", "l1d", "l2")}
-    keyed = configs.withColumns(sizes).repartition(F.col(config_id))
+    keyed = configs.withColumns(sizes).withColumn("branch_predictor", F.lower("branch_predictor")).repartition(F.col(config_id))
     keyed = keyed.withColumns({f"{level}_size": (F.col(f"{level}_kb") * 1024).cast("double") for level in ("l1i", "l1d", "l2")})
     lat = cache.select("trace_id", *[F.col(m).cast("bigint").alias(m) for m in memory], *[F.col(c).alias(f"cache_{c}") for c in CACHE_COLUMNS])
     n_traces = program.select(F.count(F.lit(1)).alias("n")).scalar()
-    per_memory = lat.groupBy(*memory).agg(F.count(F.lit(1)).alias("_n"))
+    per_memory = lat.groupBy(*memory).agg(F.count(F.lit(1)).alias("_n")).withColumn("_whole", F.col("_n") == n_traces).drop("_n")
     text = "cache latency rows are missing for a memory configuration"
-    paired = dim_join(keyed, lat.join(per_memory, memory), memory, "left")
-    paired = paired.filter(must(F.col("_n") == n_traces, text, F.lit(True))).drop("_n", *memory)
+    paired = dim_join(keyed, small_broadcast(per_memory), memory, "left")
+    paired = paired.filter(must(F.col("_whole"), text, F.lit(True))).drop("_whole")
     prog = program.select("trace_id", *[F.col(c).alias(f"prog_{c}") for c in program.columns if c != "trace_id"])
     bp_name = "misprediction_rate" if features and "misprediction_rate" in features else "bp_misprediction_rate"
     rate = rates.select("trace_id", F.lower("bp_type").alias("branch_predictor"), F.col("misprediction_rate").alias(bp_name))
-    wide = dim_join(dim_join(paired.withColumn("branch_predictor", F.lower("branch_predictor")), prog, ["trace_id"], "inner"), rate, ["trace_id", "branch_predictor"], "inner")
+    traces = small_broadcast(lat.join(prog, "trace_id").join(rate, "trace_id"))
+    wide = dim_join(paired, traces, [*memory, "branch_predictor"], "inner").drop(*memory)
     wide = wide.withColumns({
         **{f"stride_prefetcher_degree_{v}": (F.col("stride_prefetcher_degree") == v).cast("double") for v in SEARCH_GRID["stride_prefetcher_degree"]},
         **{f"reciprocal_{q}": F.lit(1.0) / F.col(q) for q in ("lq_entries", "sq_entries", "rob_size")},
