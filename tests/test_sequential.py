@@ -442,3 +442,60 @@ def test_first_rows_by_hash_are_those_of_the_ranking(spark):
     whole = [(f"b{i % 3}", i) for i in range(20)]
     sample = splits.stratified_sample(spark.createDataFrame(whole, "benchmark string, id long"), 11, ["id"], 5)
     assert sample.count() == sample.distinct().count() == 11
+
+
+def _joins(spark, df):
+    """Physical joins of a plan made while Spark itself may broadcast nothing."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = df._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    return text.count("BroadcastHashJoin"), text.count("SortMergeJoin")
+
+
+def test_lookups_do_not_deal_rows_by_few_keys(spark):
+    """A dimension of a few keys is broadcast whatever sizes Spark guesses: no task gets all rows of a benchmark."""
+    s = spark.createDataFrame([("a", "16KiB", "32KiB", "1MiB", "tage", 1), ("b", "16KiB", "32KiB", "1MiB", "local", 2)],
+                              "benchmark string, l1i_size string, l1d_size string, l2_size string, branch_predictor string, row int")
+    prog = spark.createDataFrame([("a", 1.5), ("b", 2.5)], "benchmark string, x double")
+    cache = spark.createDataFrame([("a", 16, 32, 1024, 7.0), ("b", 16, 32, 1024, 8.0)], "benchmark string, l1i_kb int, l1d_kb int, l2_kb int, exec_mean double")
+    rates = spark.createDataFrame([("a", "tage", 0.1), ("b", "local", 0.2)], "benchmark string, bp_type string, misprediction_rate double")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for out, n in (
+            (sweeps.build_training(s, prog, cache, rates), 3),
+            (sweeps.join_predictor_rate(s, rates.filter("bp_type = 'tage'"), default=0.05), 1),
+        ):
+            assert _joins(spark, out) == (n, 0)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    got = {r["row"]: (r["misprediction_rate"], r["prog_x"], r["cache_exec_mean"]) for r in sweeps.build_training(s, prog, cache, rates).collect()}
+    assert got == {1: (0.1, 1.5, 7.0), 2: (0.2, 2.5, 8.0)}
+
+
+def _inference_tables(spark):
+    configs = spark.createDataFrame(
+        [(i, size, "32KiB", "1MiB", bp, 4 * (i % 2), 8, 8, 64) for i, (size, bp) in enumerate([("16KiB", "TAGE"), ("32KiB", "local"), ("16KiB", "none")])],
+        "cid int, l1i_size string, l1d_size string, l2_size string, branch_predictor string, stride_prefetcher_degree int, lq_entries int, sq_entries int, rob_size int")
+    program = spark.createDataFrame([(t, 10.0 * t) for t in range(3)], "trace_id int, mean_value double")
+    names = ", ".join(f"{c} double" for c in design.CACHE_COLUMNS)
+    cache = spark.createDataFrame([(t, l1i, 32, 1024, *[float(t + l1i)] * 8) for t in range(3) for l1i in (16, 32)], f"trace_id int, l1i_kb int, l1d_kb int, l2_kb int, {names}")
+    rates = spark.createDataFrame([(t, bp, 0.1 * t) for t in range(3) for bp in ("Tage", "local")], "trace_id int, bp_type string, misprediction_rate double")
+    return configs, program, cache, rates
+
+
+def test_inference_rows_are_not_dealt_by_trace(spark):
+    configs, program, cache, rates = _inference_tables(spark)
+    features = ["rob_size", "prog_mean_value", "cache_exec_mean", "bp_misprediction_rate"]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = design.assemble_inference(configs, program, cache, rates, "cid", features)
+        assert _joins(spark, out) == (2, 0)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    got = sorted(tuple(r) for r in out.collect())
+    # A predictor without rates has no rows.
+    assert got == sorted((c, t, 64.0, 10.0 * t, float(t + l1i), 0.1 * t) for c, l1i in ((0, 16), (1, 32)) for t in range(3))
+    with pytest.raises(Exception, match="cache latency rows are missing"):
+        design.assemble_inference(configs, program, cache.filter("trace_id < 2 OR l1i_kb = 32"), rates, "cid", features).collect()

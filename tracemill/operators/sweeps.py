@@ -164,7 +164,7 @@ def _fill(df: DataFrame, cols: list[str], on: list[str], on_missing: str, what:
 
 def _lookup(sweep: DataFrame, dim: DataFrame, on: list[str], on_missing: str, what: str) -> DataFrame:
     cols = [c for c in dim.columns if c not in on]
-    joined = dim_join(sweep, dim.withColumn("_hit", F.lit(True)), on, "left")
+    joined = dim_join(sweep, small_broadcast(dim.withColumn("_hit", F.lit(True))), on, "left")
     return _fill(joined, cols, on, on_missing, what, "_hit")
 
 
@@ -204,7 +204,7 @@ def join_predictor_rate(
     )
     keyed = sweep.withColumn("_key", _trace_key(sweep)).withColumn("_bp", encode_predictor("branch_predictor"))
     if default is not None:
-        joined = dim_join(keyed, dim, ["_key", "_bp"], "left")
+        joined = dim_join(keyed, small_broadcast(dim), ["_key", "_bp"], "left")
         return joined.withColumn(out, F.coalesce(out, F.lit(float(default)))).drop("_key", "_bp")
     return _lookup(keyed, dim, ["_key", "_bp"], on_missing, "predictor rate").drop("_key", "_bp")
 
