@@ -499,3 +499,26 @@ def test_inference_rows_are_not_dealt_by_trace(spark):
     assert got == sorted((c, t, 64.0, 10.0 * t, float(t + l1i), 0.1 * t) for c, l1i in ((0, 16), (1, 32)) for t in range(3))
     with pytest.raises(Exception, match="cache latency rows are missing"):
         design.assemble_inference(configs, program, cache.filter("trace_id < 2 OR l1i_kb = 32"), rates, "cid", features).collect()
+
+
+def test_final_front_drops_infeasible_rows_before_copies(spark, monkeypatch):
+    """Only feasible rows are compared for copies; the front is the one of the feasible configurations' best rows."""
+    r = random.Random(4)
+    rows = [(r.randint(0, 9), r.randint(0, 5), float(r.randint(0, 30)), float(r.randint(0, 30))) for _ in range(200)]
+    seen, dedup = [], skyline.dedup_rows
+
+    def counted(df, *args):
+        seen.append(df.count())
+        return dedup(df, *args)
+
+    monkeypatch.setattr(skyline, "dedup_rows", counted)
+    df = spark.createDataFrame(rows, "a int, b int, cpi double, cost double")
+    got = skyline.final_front([df.filter("b < 3"), df.filter("b >= 3")], ["a", "b"], F.col("a") > 6)
+    best = {}
+    for a, b, cpi, cost in rows:
+        if a > 6:
+            best[a, b] = min(best.get((a, b), (cpi, cost)), (cpi, cost))
+    points = set(best.values())
+    want = sorted(((cpi, cost) for cpi, cost in points if not any(q != (cpi, cost) and q[0] <= cpi and q[1] <= cost for q in points)), key=lambda p: p[1])
+    assert [(x.cpi, x.cost) for x in got.collect()] == want
+    assert seen == [sum(a > 6 for a, *_ in rows)]

@@ -98,12 +98,16 @@ def dedup_rows(df: DataFrame, on: list[str], keep_first_by: list[str] | None = N
 
 
 def final_front(archives: list[DataFrame], config: list[str], valid: Column, f0: str = "cpi", f1: str = "cost") -> DataFrame:
-    """Archives stacked, copies of a configuration dropped, infeasible rows dropped, skyline ordered by cost."""
-    stacked = archives[0]
+    """Archives stacked, infeasible rows and copies of a configuration dropped, skyline ordered by cost.
+
+    `valid` is a condition on the columns of `config`, so copies stay or go together: infeasible rows are dropped where they
+    are read, and only the feasible ones are shuffled. These are kept once, as the skyline reads them several times.
+    """
+    stacked = archives[0].filter(valid)
     for a in archives[1:]:
-        stacked = stacked.unionByName(a)
-    unique = dedup_rows(stacked, config, [f0, f1])
-    return pareto_front(unique.filter(valid), f0, f1, config).orderBy(f1)
+        stacked = stacked.unionByName(a.filter(valid))
+    unique = cut_lineage(dedup_rows(stacked, config, [f0, f1]))
+    return pareto_front(unique, f0, f1, config).orderBy(f1)
 
 
 def flag_validation(front: DataFrame, k: int, cpi: str = "cpi", cost: str = "cost", tie_break: list[str] = ()) -> DataFrame:
