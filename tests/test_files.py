@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 
 import numpy as np
 import pytest
@@ -290,3 +291,27 @@ def test_whole_windows_report_late_rows(spark, tmp_path):
     assert ("b", 0, "closed", 5) in got and not any(t == "c" for t, *_ in got)
     assert [g for g in got if g[2] == "late"] == [("b", 0, "late", 2)]
     assert sum(t == "a" for t, *_ in got) == 3 and len(got) == 5
+
+
+def test_neighbouring_windows_share_a_state_row(spark, tmp_path):
+    """Open windows of a run lie in one state row; each is still given out by itself, when it is full or idle."""
+    schema, k = "trace_id string, idx bigint, op_class string, branch_type string, inst_sync boolean, read_addrs array<bigint>, write_addrs array<bigint>", 4
+    (tmp_path / "ends").mkdir()
+    spark.createDataFrame([("a", i, "IntAlu", None, None, [], []) for i in (0, 1, 2, 3, 4, 5, 9, 4 * 200)], schema).coalesce(1).write.parquet(str(tmp_path / "rows"))
+    read = lambda kind, s: spark.readStream.schema(s).parquet(str(tmp_path / kind))
+    rows, ends = read("rows", schema), read("ends", "trace_id string, n_rows bigint")
+    start = lambda df, name: df.writeStream.outputMode("append").format("parquet").option("checkpointLocation", str(tmp_path / f"state-{name}"))
+    found = lambda df, name: sorted((r.window_id, r["size"], r.n_alu) for r in spark.read.schema(df.schema).parquet(str(tmp_path / name)).collect())
+    for name, df in (("closed", streams.closed_window_counts(rows, k)), ("whole", streams.whole_window_counts(rows, ends, k))):
+        q = start(df, name).trigger(availableNow=True).start(str(tmp_path / name))
+        q.awaitTermination()
+        assert found(df, name) == [(0, 4, 4)] and q.lastProgress["stateOperators"][0]["numRowsTotal"] == 2
+    for name, df in (("idle", streams.closed_window_counts(rows, k, idle=500)), ("forget", streams.whole_window_counts(rows, ends, k, forget=500))):
+        (tmp_path / name).mkdir()
+        q, until = start(df, name).start(str(tmp_path / name)), time.time() + 60
+        while len(found(df, name)) < 4 and time.time() < until:
+            time.sleep(1)
+        q.stop()
+        assert found(df, name) == [(0, 4, 4), (1, 2, 2), (2, 1, 1), (200, 1, 1)]
+    status = {r.window_id: r.status for r in spark.read.schema(df.schema).parquet(str(tmp_path / "forget")).collect()}
+    assert status == {0: "closed", 1: "partial", 2: "partial", 200: "partial"}

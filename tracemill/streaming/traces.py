@@ -122,35 +122,61 @@ def window_counts_stream(stream: DataFrame, k: int = WINDOW_ROWS) -> DataFrame:
 
 
 COUNT_NAMES = ["size", *COUNTED]
+BLOCK_WINDOWS = 128  # windows that share a state row
+
+
+def _blocked(rows: DataFrame) -> DataFrame:
+    """Adds the number of the run of windows that share a state row: Python is called once a run, not once a window."""
+    return rows.withColumn("_block", F.call_function("div", F.col("window_id"), F.lit(BLOCK_WINDOWS)))
+
+
+BLOCK_STATE = T.StructType([T.StructField("windows", T.ArrayType(T.LongType())), T.StructField("values", T.ArrayType(T.LongType()))])
+
+
+def _held(state: GroupState, columns: list[str]) -> pd.DataFrame:
+    """The windows of a state row, one line each."""
+    windows, values = state.get if state.exists else ([], [])
+    return pd.DataFrame(np.array(values, np.int64).reshape(-1, len(columns)), pd.Index(windows, dtype="int64", name="window_id"), columns)
+
+
+def _keep(state: GroupState, held: pd.DataFrame, wait: int | None, now: int) -> None:
+    """Puts back the windows that stay; with `wait` the next call comes when the first of them has waited that long."""
+    if len(held):
+        state.update((held.index.tolist(), held.to_numpy(np.int64).ravel().tolist()))
+        if wait:
+            state.setTimeoutDuration(max(int(held["last"].min()) + wait - now, 1))
+    elif state.exists:
+        state.remove()
 
 
 def closed_window_counts(stream: DataFrame, k: int = WINDOW_ROWS, idle: int | None = None) -> DataFrame:
     """Window counts in append mode: a window is given out once, when its k rows have come, and its state goes with it.
 
     Rows may arrive in any order and over any number of batches. The last window of a trace may never fill: with `idle`
-    milliseconds it is given out as it is when no row has come for that long. State is one row of counters per open window.
+    milliseconds it is given out as it is when no row has come for that long. State is one row of counters per open window,
+    in one state row for BLOCK_WINDOWS neighbouring windows.
     """
     flagged = ordinal_windows(stream if "is_load" in stream.columns else instruction_flags(stream), k)
-    rows = flagged.select("trace_id", "window_id", *[F.coalesce(c().cast("bigint"), F.lit(0)).alias(n) for n, c in COUNTED.items()])
-    keys = T.StructType([rows.schema["trace_id"], rows.schema["window_id"]])
-    counters = T.StructType([T.StructField(n, T.LongType()) for n in COUNT_NAMES])
+    rows = _blocked(flagged.select("trace_id", "window_id", F.lit(1).cast("bigint").alias("size"), *[F.coalesce(c().cast("bigint"), F.lit(0).cast("bigint")).alias(n) for n, c in COUNTED.items()]))
+    out = T.StructType([rows.schema["trace_id"], rows.schema["window_id"], *(T.StructField(n, T.LongType()) for n in COUNT_NAMES)])
 
     def count(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        found = np.array(state.get if state.exists else [0] * len(COUNT_NAMES), np.int64)
+        now = state.getCurrentProcessingTimeMs() if idle else 0
+        found = [_held(state, [*COUNT_NAMES, "last"])]
         for part in () if state.hasTimedOut else parts:
-            found += np.array([len(part), *part[list(COUNTED)].sum()], np.int64)
-        if state.hasTimedOut or found[0] >= k:
-            if state.exists:
-                state.remove()
-            yield pd.DataFrame([[*key, *found]], columns=[*keys.names, *COUNT_NAMES])
-        else:
-            state.update(tuple(int(n) for n in found))
-            if idle:
-                state.setTimeoutDuration(idle)
+            found.append(part.groupby("window_id")[COUNT_NAMES].sum().assign(last=now))
+        found = pd.concat(found).groupby(level=0).agg({**dict.fromkeys(COUNT_NAMES, "sum"), "last": "max"})
+        done = found["size"] >= k
+        if idle:
+            done |= found["last"] + idle <= now
+        if done.any():
+            given = found.loc[done, COUNT_NAMES].reset_index()
+            given.insert(0, "trace_id", [key[0]] * len(given))
+            yield given
+        _keep(state, found[~done], idle, now)
 
     timeout = GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout
-    out = T.StructType([*keys.fields, *counters.fields])
-    return rows.groupBy("trace_id", "window_id").applyInPandasWithState(count, out, counters, "append", timeout)
+    return rows.groupBy("trace_id", "_block").applyInPandasWithState(count, out, BLOCK_STATE, "append", timeout)
 
 
 def whole_window_counts(stream: DataFrame, ends: DataFrame, k: int = WINDOW_ROWS, forget: int | None = None) -> DataFrame:
@@ -159,8 +185,8 @@ def whole_window_counts(stream: DataFrame, ends: DataFrame, k: int = WINDOW_ROWS
     `ends` is a stream of (trace_id, n_rows), one mark for each finished trace, that may come before, between or after its
     rows. A window is given out once, with status `closed`, when all its rows have come: k of them, or fewer for the last
     window of a marked trace. Rows that come for a window given out before are reported as `late` with their counts, and
-    change nothing else. Marks are spread over the windows of their trace, so state is one row of counters per window and
-    a hot trace is spread over all tasks.
+    change nothing else. Marks are spread over the windows of their trace, so state is one row of counters per window,
+    BLOCK_WINDOWS of them in a state row, and a hot trace is spread over all tasks.
 
     The state of a closed window stays as its record until the mark of its trace has come, or, with `forget` milliseconds,
     until nothing has come for it for that long. With `forget`, a window that nothing has come for is given out as it is,
@@ -172,36 +198,32 @@ def whole_window_counts(stream: DataFrame, ends: DataFrame, k: int = WINDOW_ROWS
     total = F.col("n_rows").cast("bigint")
     marks = ends.where(total > 0).select(F.col("trace_id").cast(id_type), total.alias("n_rows"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.call_function("div", total - 1, F.lit(k)))).alias("w"))
     marks = marks.select("trace_id", F.col("w").cast(window_type).alias("window_id"), *[F.lit(0).cast("bigint").alias(n) for n in COUNT_NAMES], F.least(F.lit(k).cast("bigint"), F.col("n_rows") - F.col("w") * k).alias("expected"))
-    keys = T.StructType([rows.schema["trace_id"], rows.schema["window_id"]])
-    state_type = T.StructType([*(T.StructField(n, T.LongType()) for n in COUNT_NAMES), T.StructField("expected", T.LongType()), T.StructField("given", T.BooleanType())])
-    out = T.StructType([*keys.fields, T.StructField("status", T.StringType()), *(T.StructField(n, T.LongType()) for n in COUNT_NAMES)])
+    out = T.StructType([rows.schema["trace_id"], rows.schema["window_id"], T.StructField("status", T.StringType()), *(T.StructField(n, T.LongType()) for n in COUNT_NAMES)])
+    brought = {**dict.fromkeys(COUNT_NAMES, "sum"), "expected": "max"}
 
     def count(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        *held, expected, given = state.get if state.exists else (*[0] * len(COUNT_NAMES), 0, False)
-        found, fresh = np.array(held, np.int64), np.zeros(len(COUNT_NAMES), np.int64)
-        row = lambda status, counts: pd.DataFrame([[*key, status, *map(int, counts)]], columns=out.names)
-        if state.hasTimedOut:
-            state.remove()
-            if not given and found[0]:
-                yield row("partial", found)
-            return
-        for part in parts:
-            fresh += part[COUNT_NAMES].to_numpy(np.int64).sum(0)
-            expected = max(expected, int(part["expected"].max()))
-        if given and fresh[0]:
-            yield row("late", fresh)
-        elif not given:
-            found += fresh
-            given = bool(found[0]) and found[0] >= (expected or k)
-            if given:
-                yield row("closed", found)
-        if given and expected and not forget:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((*map(int, found), expected, given))
-            if forget:
-                state.setTimeoutDuration(forget)
+        now = state.getCurrentProcessingTimeMs() if forget else 0
+        held = _held(state, [*brought, "given", "last"])
+        fresh = [held.iloc[:0][[*brought]], *(part.groupby("window_id")[[*brought]].agg(brought) for part in (() if state.hasTimedOut else parts))]
+        fresh = pd.concat(fresh).groupby(level=0).agg(brought)
+        found = held.reindex(held.index.union(fresh.index), fill_value=0)
+        touched = found.index.isin(fresh.index)
+        fresh = fresh.reindex(found.index, fill_value=0)
+        given = found["given"] > 0
+        found["expected"] = np.maximum(found["expected"], fresh["expected"])
+        found.loc[~given, COUNT_NAMES] += fresh.loc[~given, COUNT_NAMES]
+        closed = ~given & touched & (found["size"] > 0) & (found["size"] >= found["expected"].where(found["expected"] > 0, k))
+        stale = ~touched & (found["last"] + forget <= now) if forget else pd.Series(False, found.index)
+        for status, rows_of, which in (("late", fresh, given & (fresh["size"] > 0)), ("closed", found, closed), ("partial", found, stale & ~given & (found["size"] > 0))):
+            if which.any():
+                told = rows_of.loc[which, COUNT_NAMES].reset_index()
+                told.insert(0, "trace_id", [key[0]] * len(told))
+                told.insert(2, "status", status)
+                yield told
+        found["given"] = (given | closed).astype("int64")
+        found.loc[touched, "last"] = now
+        gone = stale if forget else (found["given"] > 0) & (found["expected"] > 0)
+        _keep(state, found[~gone], forget, now)
 
     timeout = GroupStateTimeout.ProcessingTimeTimeout if forget else GroupStateTimeout.NoTimeout
-    return rows.unionByName(marks).groupBy("trace_id", "window_id").applyInPandasWithState(count, out, state_type, "append", timeout)
+    return _blocked(rows.unionByName(marks)).groupBy("trace_id", "_block").applyInPandasWithState(count, out, BLOCK_STATE, "append", timeout)
