@@ -315,3 +315,14 @@ def test_neighbouring_windows_share_a_state_row(spark, tmp_path):
         assert found(df, name) == [(0, 4, 4), (1, 2, 2), (2, 1, 1), (200, 1, 1)]
     status = {r.window_id: r.status for r in spark.read.schema(df.schema).parquet(str(tmp_path / "forget")).collect()}
     assert status == {0: "closed", 1: "partial", 2: "partial", 200: "partial"}
+
+
+def test_run_names_are_cut_once_a_file(spark, tmp_path):
+    """The name of a run is taken from its path below the explode of epochs, so once a file."""
+    for i in range(2):
+        (tmp_path / f"run{i}").mkdir()
+        (tmp_path / f"run{i}" / "metrics.json").write_text(json.dumps({"total_duration": 1.0, "epochs": [{"eval_loss": i + e / 4} for e in range(3)]}))
+    df = runs.read_run_metrics(spark, str(tmp_path / "*" / "*.json"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("regexp_extract")
+    assert sorted((r.run_id, r.epoch, r.eval_loss) for r in df.collect()) == [(f"run{i}", e + 1, i + e / 4) for i in range(2) for e in range(3)]

@@ -25,8 +25,10 @@ def read_run_records(spark: SparkSession, glob: str) -> DataFrame:
 
 def read_run_metrics(spark: SparkSession, glob: str) -> DataFrame:
     """(path, run_id, epoch from 1, duration, train_loss, eval_loss, percent_error)."""
-    rows = read_run_records(spark, glob).select("path", F.posexplode("epochs").alias("pos", "e"))
-    return rows.select("path", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("run_id"), (F.col("pos") + 1).alias("epoch"), "e.*")
+    # The name is cut out of the path once a file, below the explode, not once an epoch.
+    records = read_run_records(spark, glob).select("path", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("run_id"), "epochs")
+    rows = records.select("path", "run_id", F.posexplode("epochs").alias("pos", "e"))
+    return rows.select("path", "run_id", (F.col("pos") + 1).alias("epoch"), "e.*")
 
 
 # The five block layouts of run summaries. Field name -> capture group.
