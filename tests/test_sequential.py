@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 from collections import defaultdict
+from hashlib import md5
 
 import numpy as np
 import pytest
@@ -444,6 +445,22 @@ def test_first_rows_by_hash_are_those_of_the_ranking(spark):
     assert sample.count() == sample.distinct().count() == 11
 
 
+def test_latin_hypercube_deals_no_row_by_its_dimension(spark):
+    """Hash ranges of a few rows give the strata of one whole ranking, and no shuffle or join goes by the 2 dimensions."""
+    grid = {"fetch_width": list(range(1, 8)), "rob_size": list(range(1, 41))}
+    ids = [i * 7 for i in range(300)]
+    df = spark.createDataFrame([(i,) for i in ids], "id long").coalesce(1)
+    wide = design.latin_hypercube(df, "id", 3, grid, 16)
+    digits = lambda i, p: md5(f"{i}|3|{p}".encode()).hexdigest()
+    for name, choices in grid.items():
+        place = {i: r for r, i in enumerate(sorted(ids, key=lambda i: digits(i, name)))}
+        drawn = {i: choices[int((place[i] + int(digits(i, f"{name}|u")[:13], 16) / 2**52) / len(ids) * len(choices))] for i in ids}
+        assert {r["id"]: r[name] for r in wide.collect()} == drawn
+    plan = design.latin_hypercube(df, "id", 3, grid)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(_dim" not in plan and "RoundRobinPartitioning" in plan
+    assert design.latin_hypercube(df.filter("id < 0"), "id", 3, grid).count() == 0
+
+
 def _joins(spark, df):
     """Physical joins of a plan made while Spark itself may broadcast nothing."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
+from hashlib import md5
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracemill.functions.registry import FIXED_PARAMS, REGISTRY, SEARCH_GRID, Registry
 from tracemill.functions.scalars import all_of, hash_long, hash_uniform, must, parse_size
-from tracemill.operators.ordered import SEGMENT_ROWS, block_product, bucketed_rank, dim_join, hash_rank, small_broadcast
+from tracemill.operators.ordered import SEGMENT_ROWS, block_product, bucketed_rank, dim_join, small_broadcast
+
+DEALT_ROWS = 1 << 19        # rows (dimension, id) that a task makes
+HASH_ROWS = 1 << 17         # rows of a dimension in one hash range
 
 # Feasibility constants.
 ROB_HEADROOM = 8
@@ -151,21 +158,61 @@ def sample_configs(ids: DataFrame, id_col: str, seed: int | str, registry: Regis
     return ids.select(id_col, *cols)
 
 
-def latin_hypercube(ids: DataFrame, id_col: str, seed: int | str, grid: dict[str, list] = SEARCH_GRID) -> DataFrame:
+def _hash_places(keys: list[bytes], name: str, dim: int, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """Range number of each key's hash in a dimension, and the hash as two longs that sort like its digits."""
+    tail = f"|{name}".encode()
+    halves = np.frombuffer(b"".join([md5(k + tail).digest() for k in keys]), ">u8").reshape(-1, 2).astype(np.uint64)
+    places = dim * ranges + np.floor((halves[:, 0] >> np.uint64(32)).astype(np.float64) * ranges / 2.0**32).astype(np.int64)
+    return places, (halves ^ np.uint64(1 << 63)).view(np.int64)
+
+
+def latin_hypercube(ids: DataFrame, id_col: str, seed: int | str, grid: dict[str, list] = SEARCH_GRID, bucket_rows: int | None = None) -> DataFrame:
     """One draw per stratum in every dimension, snapped to the grid.
 
     The stratum of a draw is its rank under a hash that differs per dimension. All
-    dimensions are ranked together, as rows (dimension, id), and folded back once.
+    dimensions are ranked together, as rows (dimension, id), and folded back once. Every
+    dimension has as many rows as there are ids, so no row is dealt by its dimension. The
+    ids are dealt first, as a scan of a few files would make all rows in a few tasks; the
+    rows move to their hash range, where NumPy sorts the hashes, and back to their id.
     """
-    dims = F.explode(F.array(*[F.lit(p) for p in grid]))
-    long = ids.select(id_col, dims.alias("_dim"))
-    hashed = F.md5(F.concat_ws("|", F.col(id_col).cast("string"), F.lit(str(seed)), F.col("_dim")))
-    ranked = hash_rank(long, ["_dim"], [id_col], seed, "_rank", "_total", hashed)
-    parts = [F.max(F.when(F.col("_dim") == p, F.col("_rank"))).alias(f"_r_{p}") for p in grid]
-    out = ranked.groupBy(id_col).agg(F.first("_total").alias("_total"), *parts)
+    n = ids.count()
+    ranges = max(1, -(-n // (bucket_rows or HASH_ROWS)))
+    key = F.concat_ws("|", F.col(id_col).cast("string"), F.lit(str(seed))).cast("binary").alias("_key")
+    dealt = ids.select(id_col, key).repartition(max(1, -(-n * len(grid) // DEALT_ROWS)))
+    id_type = ids.schema[id_col].dataType.simpleString()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column("_key").to_pylist()
+            for dim, name in enumerate(grid):
+                sizes = np.bincount(_hash_places(keys, name, dim, ranges)[0] - dim * ranges)
+                found = np.flatnonzero(sizes)
+                yield pa.RecordBatch.from_arrays([pa.array(dim * ranges + found), pa.array(sizes[found])], names=["_place", "_n"])
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column("_key").to_pylist()
+            for dim, name in enumerate(grid):
+                places, halves = _hash_places(keys, name, dim, ranges)
+                yield pa.RecordBatch.from_arrays([batch.column(id_col), *map(pa.array, (places, halves[:, 0].copy(), halves[:, 1].copy()))], names=[id_col, "_place", "_hi", "_lo"])
+
+    def rank(rows: pa.Table) -> pa.Table:
+        order = np.lexsort((rows["_lo"].to_numpy(), rows["_hi"].to_numpy()))
+        at = np.empty(len(order), np.int64)
+        at[order] = np.arange(len(order))
+        return rows.select([id_col, "_place"]).append_column("_in", pa.array(at))
+
+    dim = F.call_function("div", F.col("_place"), F.lit(ranges)).cast("int")
+    counts = dealt.select("_key").mapInArrow(count, "_place long, _n long").groupBy("_place").agg(F.sum("_n").alias("_n")).withColumn("_dim", dim)
+    earlier = F.coalesce(F.sum("_n").over(W.partitionBy("_dim").orderBy("_place").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = small_broadcast(counts.select("_place", "_dim", earlier.alias("_off")))
+    placed = dealt.mapInArrow(hashes, f"`{id_col}` {id_type}, _place long, _hi long, _lo long")
+    ranked = placed.groupBy("_place").applyInArrow(rank, f"`{id_col}` {id_type}, _place long, _in long").join(offsets, "_place")
+    rows = ranked.select(id_col, "_dim", (F.col("_in") + F.col("_off")).alias("_rank")).repartition(id_col)
+    out = rows.groupBy(id_col).agg(*[F.max(F.when(F.col("_dim") == i, F.col("_rank"))).alias(f"_r_{p}") for i, p in enumerate(grid)])
     values = {}
     for p, choices in grid.items():
-        u = (F.col(f"_r_{p}") + hash_uniform([id_col], f"{seed}|{p}|u")) / F.col("_total")
+        u = (F.col(f"_r_{p}") + hash_uniform([id_col], f"{seed}|{p}|u")) / F.lit(n)
         values[p] = grid_value(choices, F.least(F.floor(u * len(choices)), F.lit(len(choices) - 1)))
     return out.select(id_col, *[v.alias(p) for p, v in values.items()])
 
