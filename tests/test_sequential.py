@@ -445,11 +445,12 @@ def test_first_rows_by_hash_are_those_of_the_ranking(spark):
     assert sample.count() == sample.distinct().count() == 11
 
 
-def test_latin_hypercube_deals_no_row_by_its_dimension(spark):
+def test_latin_hypercube_deals_no_row_by_its_dimension(spark, monkeypatch):
     """Hash ranges of a few rows give the strata of one whole ranking, and no shuffle or join goes by the 2 dimensions."""
     grid = {"fetch_width": list(range(1, 8)), "rob_size": list(range(1, 41))}
     ids = [i * 7 for i in range(300)]
     df = spark.createDataFrame([(i,) for i in ids], "id long").coalesce(1)
+    monkeypatch.setattr(design, "DEALT_ROWS", 100)
     wide = design.latin_hypercube(df, "id", 3, grid, 16)
     digits = lambda i, p: md5(f"{i}|3|{p}".encode()).hexdigest()
     for name, choices in grid.items():
@@ -461,6 +462,29 @@ def test_latin_hypercube_deals_no_row_by_its_dimension(spark):
     assert design.latin_hypercube(df.filter("id < 0"), "id", 3, grid).count() == 0
 
 
+def test_held_out_configurations_are_told_without_a_join(spark):
+    """The hash of the last chosen configuration decides; a null is in no chosen configuration; the report counts as by hand."""
+    rng = random.Random(4)
+    rows = [(rng.choice([*range(40), None]), rng.choice("xyz"), f"b{rng.randrange(3)}", rng.randrange(4)) for _ in range(900)]
+    df = spark.createDataFrame(rows, "rob int, l2 string, benchmark string, region int")
+    distinct = sorted({r[:2] for r in rows}, key=lambda c: md5("|".join([*(str(x) for x in c if x is not None), "9"]).encode()).hexdigest())
+    for frac in (0.0, 0.25, 1.0):
+        chosen = {c for c in distinct[:int(frac * len(distinct))] if c[0] is not None}
+        split = splits.holdout_configs(df, ["rob", "l2"], frac, 9)
+        want = sorted([(*r, "test" if r[:2] in chosen else "train") for r in rows], key=str)
+        assert sorted(map(tuple, split.select(*df.columns, "part").collect()), key=str) == want
+        plan, names = split._jdf.queryExecution().optimizedPlan(), []
+        while plan.children().size():  # without what only the scalar needs
+            names.append(plan.nodeName())
+            plan = plan.children().head()
+        assert set(names) <= {"Project"}
+    mixed = [(1, "x", "a", 1, "train"), (1, "x", "a", 1, "train"), (1, "x", "a", 1, "test"), (1, "x", "b", 1, "test"), (2, "x", "b", 1, "train"), (3, "y", "c", 2, "test"), (3, "y", "c", 2, "test"), (3, "y", "c", 2, "test")]
+    report = splits.leak_report(spark.createDataFrame(mixed, "rob int, l2 string, benchmark string, region int, part string"), ["rob", "l2"], ["benchmark", "region"])
+    assert tuple(report.first()) == (1, 2, 1, 1, 2)
+    assert "_train_twice" in report._jdf.queryExecution().optimizedPlan().toString()  # rows are added up, not grouped again
+    assert tuple(splits.leak_report(split.filter("rob < 0"), ["rob", "l2"], ["benchmark", "region"]).first()) == (0, 0, 0, 0, 0)
+
+
 def _joins(spark, df):
     """Physical joins of a plan made while Spark itself may broadcast nothing."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.functions.scalars import hash_hex, hash_uniform, must
+from tracemill.functions.scalars import all_of, hash_hex, hash_uniform, must
 from tracemill.operators.encode import distribution
 from tracemill.operators.ordered import dim_join, hash_first, hash_rank
 from tracemill.session import cut_lineage
@@ -46,14 +46,20 @@ def _held_out(df: DataFrame, chosen: DataFrame, on: list[str]) -> DataFrame:
     return flagged.withColumn("part", _part(F.col("_test").isNotNull())).drop("_test")
 
 
-def chosen_configs(df: DataFrame, config: list[str], frac: float, seed: int | str) -> DataFrame:
-    ranked = hash_rank(df.select(*config).distinct(), [], config, seed, "_rank", "_total")
-    return ranked.filter(F.col("_rank") < F.floor(F.lit(frac) * F.col("_total"))).select(*config)
+def _config_chosen(df: DataFrame, config: list[str], frac: float, seed: int | str) -> Column:
+    """Whether a row's configuration is among the share with the first hashes.
+
+    The hash of the last chosen configuration decides, so rows are neither joined nor sorted. Configurations with a null are never chosen.
+    """
+    ranked = hash_rank(cut_lineage(df.select(*config).distinct()), [], config, seed, "_rank", "_total")
+    place = F.struct(hash_hex(config, seed).alias("_h"), *config)
+    last = ranked.filter(F.col("_rank") == F.floor(F.lit(frac) * F.col("_total")) - 1).select(place.alias("last")).scalar()
+    return F.coalesce(all_of([F.col(c).isNotNull() for c in config]) & (place <= last), F.lit(False))
 
 
 def holdout_configs(df: DataFrame, config: list[str], frac: float, seed: int | str) -> DataFrame:
     """Whole configurations move to the test part."""
-    return _held_out(df, chosen_configs(df, config, frac, seed), config)
+    return df.withColumn("part", _part(_config_chosen(df, config, frac, seed)))
 
 
 def chosen_regions(df: DataFrame, frac: float, seed: int | str, region: str = "region") -> DataFrame:
@@ -71,11 +77,9 @@ def holdout_regions(df: DataFrame, frac: float, seed: int | str, region: str = "
 
 def holdout_both(df: DataFrame, config: list[str], config_frac: float, region_frac: float, seed: int | str, region: str = "region") -> DataFrame:
     """Test: held-out configurations in held-out regions; train: neither."""
-    cfg = chosen_configs(df, config, config_frac, seed).withColumn("_c", F.lit(True))
     reg = chosen_regions(df, region_frac, seed, region).withColumn("_r", F.lit(True))
-    flagged = dim_join(dim_join(df, cfg, config, "left"), reg, ["benchmark", region], "left")
-    one_side = F.col("_c").isNull() == F.col("_r").isNull()
-    return flagged.filter(one_side).withColumn("part", _part(F.col("_c").isNotNull())).drop("_c", "_r")
+    flagged = dim_join(df.withColumn("_c", _config_chosen(df, config, config_frac, seed)), reg, ["benchmark", region], "left")
+    return flagged.filter(F.col("_c") == F.col("_r").isNotNull()).withColumn("part", _part(F.col("_c"))).drop("_c", "_r")
 
 
 def holdout_benchmark(df: DataFrame, name: str, key: list[str], onboard: int = 0, seed: int | str = 0, train_benchmarks: list[str] | None = None) -> DataFrame:
@@ -164,7 +168,8 @@ def shared_keys(train: DataFrame, test: DataFrame, on: list[str]) -> DataFrame:
 def leak_report(split: DataFrame, config: list[str], region: list[str]) -> DataFrame:
     """One row: duplicate keys in and across the parts, shared configurations, shared regions.
 
-    The split is read once: rows are counted by key in each part, and configurations and regions from those counts.
+    The split is read once: rows are counted by key in each part, and configurations and regions from those counts. The rows'
+    own figures are added up on the way; only configurations and regions are grouped again.
     """
     row = [*config, *region]
     n_train, n_test = F.count_if(F.col("part") == "train"), F.count_if(F.col("part") == "test")
@@ -172,13 +177,19 @@ def leak_report(split: DataFrame, config: list[str], region: list[str]) -> DataF
     levels = F.explode(F.array(*[F.lit(x) for x in ("row", "config", "region")]))
     long = by_row.withColumn("_level", levels)
     for c in row:
-        hidden = F.col("_level") == ("region" if c in config and c not in region else "config" if c in region and c not in config else "")
-        long = long.withColumn(c, F.when(~hidden, F.col(c)))
-    counts = long.groupBy("_level", *row).agg(F.sum("_train").alias("_train"), F.sum("_test").alias("_test"))
+        of = [level for level, cols in (("config", config), ("region", region)) if c in cols]
+        long = long.withColumn(c, F.when(F.col("_level").isin(of), F.col(c)))
+    here = F.col("_level") == "row"
+    counts = long.groupBy("_level", *row).agg(
+        F.sum("_train").alias("_train"), F.sum("_test").alias("_test"),
+        F.sum(F.when(here & (F.col("_train") > 1), F.col("_train") - 1)).alias("_train_twice"),
+        F.sum(F.when(here & (F.col("_test") > 1), F.col("_test") - 1)).alias("_test_twice"),
+        F.count_if(here & (F.col("_train") > 0) & (F.col("_test") > 0)).alias("_shared"),
+    )
     shared = lambda level: F.count_if((F.col("_level") == level) & (F.col("_train") > 0) & (F.col("_test") > 0))
-    twice = lambda c: F.coalesce(F.sum(F.when((F.col("_level") == "row") & (F.col(c) > 1), F.col(c) - 1)), F.lit(0))
+    added = lambda c: F.coalesce(F.sum(c), F.lit(0))
     return counts.agg(
-        twice("_train").alias("train_duplicates"), twice("_test").alias("test_duplicates"), shared("row").alias("shared_rows"),
+        added("_train_twice").alias("train_duplicates"), added("_test_twice").alias("test_duplicates"), added("_shared").alias("shared_rows"),
         shared("config").alias("shared_configs"), shared("region").alias("shared_regions"),
     )
 
