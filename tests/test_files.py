@@ -326,3 +326,30 @@ def test_run_names_are_cut_once_a_file(spark, tmp_path):
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate") < plan.index("regexp_extract")
     assert sorted((r.run_id, r.epoch, r.eval_loss) for r in df.collect()) == [(f"run{i}", e + 1, i + e / 4) for i in range(2) for e in range(3)]
+
+
+def test_streamed_rows_are_placed_without_a_sort(spark, tmp_path, monkeypatch):
+    """Rows of several blocks, files and traces get the places of their files; only the blocks' sums are ordered."""
+    folder = tmp_path / "in"
+    for trace, parts in (("a", (3, 2)), ("b", (4,))):
+        for part, n in enumerate(parts):
+            (folder / f"trace_id={trace}").mkdir(parents=True, exist_ok=True)
+            (folder / f"trace_id={trace}" / f"part-{part:05d}.csv").write_text("IP,Category\n" + "".join(f"0x{16 * part + i + 1:x},IntAlu\n" for i in range(n)))
+    raw = spark.read.schema("IP string, Category string").option("header", True).csv(str(folder) + "/*/*.csv")
+    raw = raw.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"))
+    raw = raw.withColumns({c: F.lit("") for c in streams.STREAM_SCHEMA.names if c not in raw.columns})
+    rows, plans, made = streams._placed(raw, r"/trace_id=([^/]+)/[^/]*$").localCheckpoint(), [], []
+
+    def keep(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        made.append(df.localCheckpoint())
+        return made[-1]
+
+    monkeypatch.setattr(streams, "cut_lineage", keep)
+    out = str(tmp_path)
+    streams._process_traces(rows, f"{out}/f", f"{out}/w", f"{out}/x", 0, 8)
+    (trace, plan), = ((t, p) for t, p in zip(made, plans) if "reg_deps" in t.columns)
+    assert "Window" not in plan
+    assert sorted(map(tuple, trace.select("trace_id", "idx", "ip").collect())) == [("a", 0, 1), ("a", 1, 2), ("a", 2, 3), ("a", 3, 17), ("a", 4, 18), *(("b", i, i + 1) for i in range(4))]
+    with pytest.raises(Exception, match="rows are missing"):
+        streams._process_traces(rows.filter("IP <> '0x2'"), f"{out}/f", f"{out}/w", f"{out}/x", 1, 8)

@@ -229,13 +229,13 @@ def stride_regularity(trace: DataFrame, min_samples: int = STRIDE_MIN_SAMPLES, s
 
 def program_features(
     trace: DataFrame, dep_window: int = DEP_WINDOW, crit_threshold: int = CRIT_THRESHOLD,
-    stride_min_samples: int = STRIDE_MIN_SAMPLES, segment_rows: int | None = None,
+    stride_min_samples: int = STRIDE_MIN_SAMPLES, segment_rows: int | None = None, kept: bool = False,
 ) -> DataFrame:
     """One row of 30 features per trace; all plain counts come from one scan.
 
-    The trace is read and placed once: its rows are kept in the checkpoint folder for the parts.
+    The trace is read and placed once: its rows are kept in the checkpoint folder for the parts, unless the caller has `kept` them.
     """
-    trace = cut_lineage(trace)
+    trace = trace if kept else cut_lineage(trace)
     checked = with_fu_group(trace).withColumn("fu_group", _known_group())
     counts = checked.groupBy("trace_id").agg(
         *_mix_columns(), *_branch_columns(), *_sync_columns(), *_memory_columns(), *_hazard_columns()

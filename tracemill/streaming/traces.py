@@ -7,13 +7,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tracemill.functions.scalars import parse_name_list
-from tracemill.operators.ordered import bucketed_rank
+from tracemill.functions.scalars import must, parse_name_list
+from tracemill.operators.ordered import small_broadcast
 from tracemill.operators.program import program_features
 from tracemill.operators.windows import COUNTED, WINDOW_ROWS, count_columns, instruction_flags, ordinal_windows, window_counts
 from tracemill.sources.traces import LATENCY_COLUMNS, TRACE_COLUMNS, TRACE_FILE, file_place, typed_trace
@@ -53,7 +54,7 @@ def ingest_traces_stream(
     )
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        _process_traces(_placed(batch, id_pattern), features, windows, failed, batch_id, k)
+        _process_traces(cut_lineage(_placed(batch, id_pattern)), features, windows, failed, batch_id, k)
 
     return raw.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -64,14 +65,22 @@ def _placed(batch: DataFrame, id_pattern: str) -> DataFrame:
 
 
 def _process_traces(rows: DataFrame, features: str, windows: str, failed: str, batch_id: int, k: int) -> None:
-    """Program features and window counts of whole traces, one output folder a batch; traces with unreadable rows go to `failed`."""
-    status = rows.groupBy("trace_id").agg(F.count_if(_bad_row()).alias("bad_rows"), F.count(F.lit(1)).alias("n_rows"))
+    """Program features and window counts of whole traces, one output folder a batch; traces with unreadable rows go to `failed`.
+
+    `rows` must be kept ones. Rows of a file block are numbered one after another where they are read, so the first number of
+    each block and the rows of earlier blocks place them: one small row a block is broadcast, and no row is moved or sorted.
+    """
+    first, last, n = F.min("_mid"), F.max("_mid"), F.count(F.lit(1))
+    placed = must(last - first + 1 == n, F.concat(F.lit("rows are missing in a block of "), F.first("_file")), n)
+    blocks = cut_lineage(rows.groupBy("trace_id", "_file", "_start").agg(F.count_if(_bad_row()).alias("bad_rows"), placed.alias("n_rows"), first.alias("_first")))
+    status = blocks.groupBy("trace_id").agg(F.sum("bad_rows").alias("bad_rows"), F.sum("n_rows").alias("n_rows"))
     broken = status.filter(F.col("bad_rows") > 0)
     broken.write.mode("overwrite").parquet(f"{failed}/batch={batch_id}")
-    good = rows.join(broken, "trace_id", "left_anti")
-    ranked = bucketed_rank(good, ["trace_id"], file_place(), ["_mid"], "idx")
-    trace = cut_lineage(typed_trace(ranked, ["trace_id", F.col("idx").cast("bigint").alias("idx")]))
-    program_features(trace).write.mode("overwrite").parquet(f"{features}/batch={batch_id}")
+    earlier = F.sum("n_rows").over(W.partitionBy("trace_id").orderBy(file_place()).rowsBetween(W.unboundedPreceding, -1))
+    shifts = blocks.join(broken, "trace_id", "left_anti").select("_file", "_start", (F.coalesce(earlier, F.lit(0)) - F.col("_first")).alias("_shift"))
+    ranked = rows.join(small_broadcast(shifts), ["_file", "_start"])
+    trace = cut_lineage(typed_trace(ranked, ["trace_id", (F.col("_mid") + F.col("_shift")).alias("idx")]))
+    program_features(trace, kept=True).write.mode("overwrite").parquet(f"{features}/batch={batch_id}")
     window_counts(trace, k).write.mode("overwrite").parquet(f"{windows}/batch={batch_id}")
 
 
@@ -107,7 +116,7 @@ def ingest_trace_parts_stream(
         needed = [r["batch"] for r in files.join(ready, "trace_id", "left_semi").select("batch").distinct().collect()]  # one number a batch
         if needed:
             kept = spark.read.schema(T.StructType([*rows.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{staged}/rows").filter(F.col("batch").isin(needed))
-            _process_traces(kept.drop("batch").join(ready, "trace_id", "left_semi"), features, windows, failed, batch_id, k)
+            _process_traces(kept.drop("batch").join(small_broadcast(ready), "trace_id", "left_semi"), features, windows, failed, batch_id, k)
 
     return raw.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
