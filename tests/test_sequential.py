@@ -11,8 +11,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracemill.functions.registry import FIXED_PARAMS, SEARCH_GRID
-from tracemill.operators import design, encode, ordered, program, similarity, skyline, splits, sweeps, windows
+from tracemill.operators import design, encode, metrics, ordered, program, similarity, skyline, splits, sweeps, windows
 from tracemill.operators.ordered import block_product, bucketed_rank, dim_join, hash_rank, last_before, prefix_sum, value_buckets
+from tracemill.session import compiled_methods
 
 TRACE_SCHEMA = """trace_id string, idx bigint, ip bigint, op_class string, branch_type string, taken boolean, inst_sync boolean,
   read_addrs array<bigint>, write_addrs array<bigint>, reg_deps array<bigint>, mem_deps array<bigint>"""
@@ -485,6 +486,23 @@ def test_held_out_configurations_are_told_without_a_join(spark):
     assert tuple(splits.leak_report(split.filter("rob < 0"), ["rob", "l2"], ["benchmark", "region"]).first()) == (0, 0, 0, 0, 0)
 
 
+def test_sums_of_products_run_as_compiled_methods_in_any_session(spark):
+    """The sums of all groups are made under the method limit of this library, whatever the session's own is, which stays."""
+    limit = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "65535")
+    try:
+        df = spark.createDataFrame([(i % 2, float(i), float(i * i % 7), 3.0 * i + i * i % 7) for i in range(40)], "g int, a double, b double, y double")
+        out = metrics.ols_r2_by_group(df, ["g"], ["a", "b"], "y")
+        assert "Aggregate" not in out._jdf.queryExecution().optimizedPlan().toString()  # made already, one row a group
+        assert {(r["g"], r["n"], round(r["r2"], 9)) for r in out.collect()} == {(0, 20, 1.0), (1, 20, 1.0)}
+        with compiled_methods(spark):
+            assert spark.conf.get(limit) == "8000"
+        assert spark.conf.get(limit) == "65535"
+    finally:
+        spark.conf.set(limit, before)
+
+
 def _joins(spark, df):
     """Physical joins of a plan made while Spark itself may broadcast nothing."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tracemill.functions.scalars import percent_error
 from tracemill.operators.ordered import dim_join, last_before, prefix_min
+from tracemill.session import compiled_methods, cut_lineage
 
 PATIENCE = 10  # fixed value: epochs without improvement before training stops
 
@@ -82,7 +83,9 @@ def least_squares(values: Sequence[float], features: int) -> tuple[np.ndarray, f
 
 def _spread(df: DataFrame, columns: list[str]) -> DataFrame:
     """The columns around their mean in units of their deviation, which keeps sums of squares exact enough."""
-    stats = df.dropna(subset=list(columns)).agg(*[f(F.col(c).cast("double")).alias(f"{n}{i}") for i, c in enumerate(columns) for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    moments = df.dropna(subset=list(columns)).agg(*[f(F.col(c).cast("double")).alias(f"{n}{i}") for i, c in enumerate(columns) for n, f in (("m", F.avg), ("s", F.stddev_pop))])
+    with compiled_methods(df.sparkSession):
+        stats = moments.first()
     return df.withColumns({c: (F.col(c).cast("double") - F.lit(stats[f"m{i}"] or 0.0)) / F.lit(stats[f"s{i}"] or 1.0) for i, c in enumerate(columns)})
 
 
@@ -92,7 +95,9 @@ def ols_r2(df: DataFrame, features: list[str], label: str = "cpi") -> float:
     Too few complete rows fail; a constant label gives NaN; dependent features are allowed.
     """
     columns = [*features, label]
-    row = gram(_spread(df.select(*columns), columns), columns).first()
+    sums = gram(_spread(df.select(*columns), columns), columns)
+    with compiled_methods(df.sparkSession):
+        row = sums.first()
     if row is None or row["n"] < len(features) + 1:
         raise ValueError(f"{row['n'] if row else 0} rows are too few for {len(features)} features")
     return least_squares(row["gram"], len(features))[2]
@@ -106,7 +111,8 @@ def ols_r2_by_group(df: DataFrame, group: list[str], features: list[str], label:
     def r2(n: pd.Series, grams: pd.Series) -> pd.Series:
         return pd.Series([least_squares(g, len(features))[2] if rows >= least else float("nan") for rows, g in zip(n, grams, strict=True)], dtype="float64")
 
-    sums = gram(_spread(df.select(*group, *columns), columns), columns, group)
+    with compiled_methods(df.sparkSession):
+        sums = cut_lineage(gram(_spread(df.select(*group, *columns), columns), columns, group))
     return sums.select(*group, "n", F.coalesce(r2("n", "gram"), F.lit(float("nan"))).alias("r2"))  # one small matrix a group goes to Python
 
 

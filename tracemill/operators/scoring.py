@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.operators.metrics import gram, least_squares
-from tracemill.session import cut_lineage
+from tracemill.session import compiled_methods, cut_lineage
 
 HIDDEN = (256, 128)  # fixed values: hidden layer widths
 
@@ -65,7 +65,8 @@ def fit_absolute(train: DataFrame, features: list[str], label: str = "cpi", roun
     beta, start, losses, floor, best = None, 0.0, [], 1e-1, None
     for _ in range(rounds):
         weight = None if beta is None else F.lit(1.0) / F.greatest(residual(beta, start), F.lit(floor))
-        row = gram(scaled, columns, weight=weight).first()
+        with compiled_methods(train.sparkSession):
+            row = gram(scaled, columns, weight=weight).first()
         beta, start, _r2 = least_squares(row["gram"], len(features))
         loss = scaled.agg(F.avg(residual(beta, start))).first()[0]
         if best is None or loss < best[0]:
